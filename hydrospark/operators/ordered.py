@@ -23,8 +23,8 @@ measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import Sequence
+from dataclasses import dataclass
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +45,9 @@ class Order:
     order: Sequence[str] = ("ts", "reading_id")
     ts: str = "ts"
     unit: str = DEFAULT_BUCKET_UNIT
-    extra: dict = field(default_factory=dict)
+    # Custom bucket expression (must be monotone in ``order``), e.g. for a
+    # reversed stream ordered by negated time.
+    bucket_fn: Callable[[], Column] | None = None
 
     def window(self) -> Window:
         return Window.partitionBy(*self.keys, BKT).orderBy(*self.order)
@@ -54,6 +56,8 @@ class Order:
         return Window.partitionBy(*self.keys, BKT).orderBy(*[F.col(c).desc() for c in self.order])
 
     def bucket(self) -> Column:
+        if self.bucket_fn is not None:
+            return self.bucket_fn()
         return F.date_trunc(self.unit, F.col(self.ts))
 
 
