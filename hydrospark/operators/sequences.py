@@ -164,7 +164,8 @@ EVENT_ORDER = Order(keys=("device_id",), order=("ts", "src", "event_id"))
 
 
 def _flip(state: Column, odd: Column) -> Column:
-    return F.when(odd, F.when(state == "ON", "OFF").otherwise("ON")).otherwise(state)
+    """ON <-> OFF when ``odd``; null stays null."""
+    return F.when(odd & state.isNotNull(), F.when(state == "ON", "OFF").otherwise("ON")).otherwise(state)
 
 
 def _timeline(ev: DataFrame) -> DataFrame:

@@ -31,4 +31,4 @@ def register(key: str, sql: str | None = None, raw_sql: bool = False):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from hydrospark.plans import registered_batch, registered_rows  # noqa: F401
+    from hydrospark.plans import registered_batch, registered_rows, registered_sequences  # noqa: F401
