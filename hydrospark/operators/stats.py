@@ -88,7 +88,8 @@ def dataset_summary(readings: DataFrame, keys=("device_id",)) -> DataFrame:
 def day_average(hourly: DataFrame, keys=("date",)) -> DataFrame:
     """Mean of the already-rounded hourly probabilities; ``avg_raw`` feeds
     thresholds, ``avg_probability`` (1 decimal) is what gets stored."""
-    return hourly.groupBy(*keys).agg(F.avg("probability").alias("avg_raw")) \
+    from hydrospark.plans.forecast import mean_of_tenths
+    return hourly.groupBy(*keys).agg(mean_of_tenths(F.col("probability")).alias("avg_raw")) \
         .withColumn("avg_probability", round_d(F.col("avg_raw"), 1))
 
 
