@@ -19,8 +19,8 @@ W = "PARTITION BY device_id ORDER BY ts, reading_id"
 
 # W1 / W2 ----------------------------------------------------------------------
 
-_FEATURE_COLS = {"temp": "temperature", "humidity": "humidity",
-                 "soil_dry": C.combined_dryness()}
+def _feature_cols():
+    return {"temp": "temperature", "humidity": "humidity", "soil_dry": C.combined_dryness()}
 _SOIL_DRY_SQL = "((CASE WHEN soil1 = 'DRY' THEN 1 ELSE 0 END) + (CASE WHEN soil2 = 'DRY' THEN 1 ELSE 0 END)) / 2.0"
 
 
@@ -30,8 +30,8 @@ SELECT reading_id, device_id,
              [("temp", "temperature"), ("humidity", "humidity"), ("soil_dry", _SOIL_DRY_SQL)] for n in (1, 2, 3))}
 FROM readings""")
 def q_lag_features(spark, sf):
-    df = SQ.lag_features(R(spark, sf), _FEATURE_COLS, lags=(1, 2, 3))
-    return df.select("reading_id", "device_id", *[f"{s}_lag_{n}" for s in _FEATURE_COLS for n in (1, 2, 3)])
+    df = SQ.lag_features(R(spark, sf), _feature_cols(), lags=(1, 2, 3))
+    return df.select("reading_id", "device_id", *[f"{s}_lag_{n}" for s in _feature_cols() for n in (1, 2, 3)])
 
 
 @register("rolling_means", f"""
@@ -41,9 +41,9 @@ SELECT reading_id, device_id,
 FROM readings
 WINDOW w3 AS ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w6 AS ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def q_rolling_means(spark, sf):
-    df = SQ.rolling_means(R(spark, sf), _FEATURE_COLS, windows=(3, 6))
+    df = SQ.rolling_means(R(spark, sf), _feature_cols(), windows=(3, 6))
     return df.select("reading_id", "device_id", *[C.round_d(F.col(f"{s}_ma_{n}"), 6).alias(f"{s}_ma_{n}")
-                                                  for s in _FEATURE_COLS for n in (3, 6)])
+                                                  for s in _feature_cols() for n in (3, 6)])
 
 
 # W3 -----------------------------------------------------------------------------
