@@ -8,8 +8,11 @@
 * Rows of one key inside a micro-batch are sorted by (ts, id) before they are
   folded, so results equal the batch operators when each device's rows
   arrive in time order (event time = arrival time, as in the original).
-  The state of a key that stays idle longer than ``idle_timeout`` is dropped
-  (processing-time timeout), so the state store stays bounded.
+  A watermark on event time (``watermark`` delay, default 10 minutes) bounds
+  lateness; the state of a key whose newest row is older than
+  ``idle_timeout`` behind the watermark is dropped (event-time timeout), so
+  the state store stays bounded. (A processing-time timeout would make every
+  trigger ask for another empty batch, so ``availableNow`` runs never end.)
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ def ingest_stream(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ingest(raw)
 
 
-def _fmt1(x: float) -> str:
-    # Round half away from zero on the binary value, like ``round_d``.
-    import math
-    v = math.floor(abs(x) * 10.0 + 0.5) / 10.0
-    return f"{math.copysign(v, x):.1f}"
-
-
 def _pump_alerts_fn(dry_minutes: float, idle_timeout_ms: int):
+    # The state functions reference nothing from this package, so executors
+    # only need pandas to run them.
+    def fmt1(x: float) -> str:
+        # Round half away from zero on the binary value, like ``round_d``.
+        import math
+        v = math.floor(abs(x) * 10.0 + 0.5) / 10.0
+        return f"{math.copysign(v, x):.1f}"
+
     def fn(key, pdfs, state):
         device_id, plant = key
         if state.hasTimedOut:
@@ -61,26 +65,32 @@ def _pump_alerts_fn(dry_minutes: float, idle_timeout_ms: int):
                 elapsed = (t_us - run_start) / 60e6
                 if soil == "DRY" and elapsed >= dry_minutes:
                     rows.append((device_id, int(rid), ts, 7 + int(plant), f"pump{plant}_still_dry", "warning",
-                                 f"Plant {plant} pump has been running for {_fmt1(elapsed)} minutes but soil is "
+                                 f"Plant {plant} pump has been running for {fmt1(elapsed)} minutes but soil is "
                                  f"still DRY! Check for issues."))
             else:
                 run_start = None
             last_pump = pump
         state.update((last_pump, run_start))
-        state.setTimeoutDuration(idle_timeout_ms)
+        state.setTimeoutTimestamp(max(int(ts_us[-1] // 1000) + idle_timeout_ms, state.getCurrentWatermarkMs() + 1))
         cols = ["device_id", "reading_id", "ts", "rule_pos", "type", "severity", "message"]
         yield pd.DataFrame(rows, columns=cols)
     return fn
 
 
-def pump_alert_stream(readings: DataFrame, dry_minutes: float = 5.0, idle_timeout: str = "7 days") -> DataFrame:
+def _with_watermark(df: DataFrame, delay: str) -> DataFrame:
+    return df.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", delay)
+
+
+def pump_alert_stream(readings: DataFrame, dry_minutes: float = 5.0, idle_timeout: str = "7 days",
+                      watermark: str = "10 minutes") -> DataFrame:
     """W4 + W5 on a stream of readings (device posts only)."""
     p = plant_rows(readings.filter(F.col("manual_override") == 0)) \
         .select("device_id", "plant", "reading_id", "ts", "soil", "pump")
+    p = _with_watermark(p, watermark)
     ms = int(pd.Timedelta(idle_timeout).total_seconds() * 1000)
     return p.groupBy("device_id", "plant").applyInPandasWithState(
         _pump_alerts_fn(float(dry_minutes), ms), ALERT_SCHEMA, "last_pump string, run_start_us long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def alert_stream(readings: DataFrame, settings: DataFrame, dry_minutes: float = 5.0) -> DataFrame:
@@ -103,33 +113,40 @@ def _throttle_fn(cooldown_us: int, key_col: str, idle_timeout_ms: int):
         batch = batch.sort_values(["ts", "reading_id", "rule_pos"], kind="mergesort")
         last = state.get[0] if state.exists else None
         keep = []
-        for t in batch["ts"].astype("datetime64[us]").astype("int64").to_numpy():
+        ts_us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        for t in ts_us:
             ok = last is None or t - last >= cooldown_us
             keep.append(ok)
             if ok:
                 last = int(t)
         state.update((last,))
-        state.setTimeoutDuration(idle_timeout_ms)
-        yield batch[keep]
+        state.setTimeoutTimestamp(max(int(ts_us[-1] // 1000) + idle_timeout_ms, state.getCurrentWatermarkMs() + 1))
+        yield batch[keep].drop(columns=["_et"])
     return fn
 
 
 def notification_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity",
-                        idle_timeout: str = "1 day") -> DataFrame:
+                        idle_timeout: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
     """R6 on a stream: enable switches (J4) then the greedy cooldown (W6) per
     (device, key), the last kept time held as state."""
     from hydrospark.operators.alerts import alert_enabled
     cfg = settings_row(settings).select("email_cooldown_minutes").first()  # one-row settings table
-    enabled = alert_enabled(alerts, settings, key)
+    enabled = _with_watermark(alert_enabled(alerts, settings, key), watermark)
     ms = int(pd.Timedelta(idle_timeout).total_seconds() * 1000)
     return enabled.groupBy("device_id", key).applyInPandasWithState(
         _throttle_fn(int(cfg["email_cooldown_minutes"]) * 60 * 1_000_000, key, ms), ALERT_SCHEMA,
-        "last_kept_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "last_kept_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available_now(df: DataFrame, name: str, checkpoint: str):
-    """Drain everything available into a memory table (tests, backfills)."""
+def run_available_now(df: DataFrame, name: str, checkpoint: str, timeout_s: int = 600):
+    """Drain everything available into a memory table (tests, backfills).
+    Raises if the query fails or does not finish within ``timeout_s``."""
     q = df.writeStream.format("memory").queryName(name).outputMode("append") \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    finished = q.awaitTermination(timeout_s)
+    if not finished:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s: {q.exception()}")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
     return q
