@@ -63,7 +63,13 @@ def features_schedule(readings: DataFrame, as_of: Column, days: int = 30, min_ro
     ``min_rows`` rows before or after cleaning -> empty.
     """
     r = complete_rows(trailing_window(readings, as_of, days))
-    r = _min_rows_guard(r, min_rows)
+    # Rows before and after cleaning, from per-device counts: with complete
+    # rows only the first 5 rows of a device lack a lag/rolling value.
+    per_dev = r.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = per_dev.agg(F.sum("_n").alias("_before"),
+                        F.sum(F.greatest(F.col("_n") - 5, F.lit(0))).alias("_after"))
+    r = r.crossJoin(F.broadcast(sizes)) \
+        .filter((F.col("_before") >= min_rows) & (F.col("_after") >= min_rows)).drop("_before", "_after")
     base = r.select(
         "reading_id", "device_id", "ts", "temperature", "humidity",
         combined_dryness().alias("soil_dry"),
@@ -77,7 +83,6 @@ def features_schedule(readings: DataFrame, as_of: Column, days: int = 30, min_ro
         (F.col("temperature") * F.col("humidity") / F.lit(100.0)).alias("temp_humidity_interaction"))
     lag_ma = [f"{s}_{k}" for s in ("temp", "humidity", "soil_dry") for k in ("lag_1", "lag_2", "lag_3", "ma_3", "ma_6")]
     out = _drop_incomplete(out, lag_ma)
-    out = _min_rows_guard(out, min_rows)
     return out.select("reading_id", "device_id", "ts", *SCHEDULE_FEATURES, "target")
 
 

@@ -11,9 +11,10 @@ in one task. Instead:
 2. The kept alerts are exactly ``first, next(first), next(next(first)), ...``.
    They are marked by pointer doubling: ``J0 = next``, ``J(k+1) = J(k) o J(k)``
    and ``S(k+1) = S(k) + J(k)(S(k))``, one equi-join per step, log2(chain
-   length) steps. Every step is a hash join on (key, alert id), so no key is
-   ever confined to one task. Lineage is cut with ``checkpoint()`` every few
-   steps (into ``spark.checkpoint.dir``).
+   length) steps, chains starting at every burst head (see ``throttle``).
+   Every step is a hash join on (key, alert id), so no key is ever confined
+   to one task. Lineage is cut with ``checkpoint()`` at every step (into
+   ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -33,19 +34,23 @@ def _rev_order(keys) -> Order:
 
 
 def next_after(alerts: DataFrame, keys, cooldown_seconds: int) -> DataFrame:
-    """(keys..., _seq, _nxt): for each alert the first same-key alert at or
-    after its ts + cooldown (null if none). ``alerts`` carries ``_seq``
-    (a per-key position, unique per key, increasing with (ts, tie-breakers))."""
+    """(keys..., _seq, _nxt, _nxt_head): for each alert the first same-key
+    alert at or after its ts + cooldown (null if none) and whether that alert
+    starts a burst. ``alerts`` carries ``_seq`` (per-key position) and
+    ``_head``."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    a = alerts.select(*keys, "_seq", us.alias("_us"))
+    a = alerts.select(*keys, "_seq", "_head", us.alias("_us"))
     targets = a.select(*keys, (-F.col("_us")).alias("_neg_us"), F.lit(0).alias("_kind"),
-                       (-F.col("_seq")).alias("_neg_seq"), F.col("_seq").alias("_tgt"),
+                       (-F.col("_seq")).alias("_neg_seq"),
+                       F.struct(F.col("_seq").alias("seq"), F.col("_head").alias("head")).alias("_tgt"),
                        F.lit(None).cast("long").alias("_probe"))
     probes = a.select(*keys, (-(F.col("_us") + F.lit(cooldown_seconds * 1_000_000))).alias("_neg_us"),
                       F.lit(1).alias("_kind"), (-F.col("_seq")).alias("_neg_seq"),
-                      F.lit(None).cast("long").alias("_tgt"), F.col("_seq").alias("_probe"))
+                      F.lit(None).cast("struct<seq:bigint,head:boolean>").alias("_tgt"),
+                      F.col("_seq").alias("_probe"))
     s = prefix(targets.unionByName(probes), _rev_order(keys), lasts={"_nxt": F.col("_tgt")})
-    return s.filter(F.col("_kind") == 1).select(*keys, F.col("_probe").alias("_seq"), "_nxt")
+    return s.filter(F.col("_kind") == 1).select(*keys, F.col("_probe").alias("_seq"),
+                                                F.col("_nxt.seq").alias("_nxt"), F.col("_nxt.head").alias("_nxt_head"))
 
 
 def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",)) -> DataFrame:
@@ -53,15 +58,26 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",))
 
     ``order_cols`` (starting with ``ts``) break ties among equal timestamps,
     e.g. reading id and rule position.
+
+    An alert at least ``cooldown`` after the previous alert of its key (a
+    burst head) is always kept, whatever came before, and ``next`` of any
+    alert is either in its own burst or the next burst's head. So chains start
+    at every head and only jumps inside a burst are followed: the number of
+    doubling rounds depends on the longest burst, not on the key's history.
     """
     keys = list(keys)
-    # Per-key positions 1..n: a running count on bucketed partitions.
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     numbered = prefix(alerts, Order(keys=tuple(keys), order=tuple(order_cols), ts="ts"),
-                      sums={"_seq": F.lit(1).cast("long")}).drop(BKT).checkpoint()
-    jump = next_after(numbered, keys, cooldown_seconds).withColumnRenamed("_nxt", "_j").checkpoint()
-    kept = numbered.filter(F.col("_seq") == 1).select(*keys, "_seq")
-    while True:
-        # S(k+1) = S(k) + J(k)(S(k)); the two parts are disjoint.
+                      sums={"_s0": F.lit(1).cast("long")}, lasts={"_prev_us": us}, inclusive=False).drop(BKT)
+    numbered = numbered.withColumn("_seq", F.col("_s0") + 1) \
+        .withColumn("_head", F.col("_prev_us").isNull()
+                    | (us - F.col("_prev_us") >= F.lit(cooldown_seconds * 1_000_000))) \
+        .drop("_s0", "_prev_us").checkpoint()
+    nxt = next_after(numbered, keys, cooldown_seconds)
+    jump = nxt.select(*keys, "_seq", F.when(~F.col("_nxt_head"), F.col("_nxt")).alias("_j")).checkpoint()
+    kept = numbered.filter(F.col("_head")).select(*keys, "_seq")
+    while jump.filter(F.col("_j").isNotNull()).limit(1).count() > 0:
+        # S(k+1) = S(k) + J(k)(S(k)); chains of different bursts are disjoint.
         reached = kept.join(jump, [*keys, "_seq"]).filter(F.col("_j").isNotNull()) \
             .select(*keys, F.col("_j").alias("_seq"))
         kept = kept.unionByName(reached).checkpoint()
@@ -70,6 +86,4 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",))
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._j") == F.col("b._seq")]
         jump = a.join(b, cond, "left").select(*[F.col(f"a.{k}") for k in keys], F.col("a._seq"),
                                               F.col("b._j").alias("_j")).checkpoint()
-        if jump.filter(F.col("_j").isNotNull()).limit(1).count() == 0:
-            break
-    return numbered.join(kept, [*keys, "_seq"], "left_semi").drop("_seq")
+    return numbered.join(kept, [*keys, "_seq"], "left_semi").drop("_seq", "_head")

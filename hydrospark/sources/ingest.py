@@ -15,8 +15,12 @@ from hydrospark.functions.columns import normalize_enum
 from hydrospark.schemas import REQUIRED_READING_KEYS
 
 
+_DOC = "_doc"
+
+
 def _field(name: str) -> Column:
-    return F.get_json_object(F.col("payload"), f"$.{name}")
+    # Values of the parsed document as text (numbers keep their JSON text).
+    return F.col(_DOC)[name]
 
 
 def _has(keys: Column, name: str) -> Column:
@@ -33,7 +37,8 @@ def parse_readings(raw: DataFrame, keep: tuple[str, ...] = ("device_id", "readin
     * durations: given value, else 60 when that pump is ON, else 0; a given
       value that is not an integer rejects the row.
     """
-    keys = F.json_object_keys(F.col("payload"))
+    raw = raw.withColumn(_DOC, F.from_json(F.col("payload"), "map<string,string>"))  # one parse per row
+    keys = F.map_keys(F.col(_DOC))
     missing = F.filter(F.array(*[F.when(~_has(keys, k), F.lit(k)) for k in REQUIRED_READING_KEYS]),
                        lambda x: x.isNotNull())
     temp = _field("temperature").try_cast("double")
