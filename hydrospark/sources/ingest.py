@@ -37,7 +37,11 @@ def parse_readings(raw: DataFrame, keep: tuple[str, ...] = ("device_id", "readin
     * durations: given value, else 60 when that pump is ON, else 0; a given
       value that is not an integer rejects the row.
     """
-    raw = raw.withColumn(_DOC, F.from_json(F.col("payload"), "map<string,string>"))  # one parse per row
+    # One parse per row. The parsed map is the output of a Generate, so
+    # Catalyst cannot inline ``from_json`` into every later reference (a
+    # plain projection would be pushed into the reject filter, once per use).
+    doc = F.from_json(F.col("payload"), "map<string,string>")
+    raw = raw.select("*", F.inline(F.array(F.struct(doc.alias(_DOC)))))
     keys = F.map_keys(F.col(_DOC))
     missing = F.filter(F.array(*[F.when(~_has(keys, k), F.lit(k)) for k in REQUIRED_READING_KEYS]),
                        lambda x: x.isNotNull())
@@ -90,9 +94,8 @@ def payloads_from_events(events: DataFrame) -> DataFrame:
     durations when k % 4 == 0 and a bad duration when k % 17 == 0.
     """
     from hydrospark.sources.testdata import readings_from_events
-    k = F.get_json_object("props", "$.k").cast("int")
-    et = events.select(F.col("event_id").alias("reading_id"), "event_type", k.alias("_k"))
-    r = readings_from_events(events).join(et, "reading_id")
+    r = readings_from_events(events, keep=("event_type", "props")) \
+        .withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     temp = F.when(F.col("_k") % 13 == 0, q(F.lit("hot"))).otherwise(F.col("temperature").cast("string"))
     soil1 = F.when(F.col("event_type") == "view", F.lower("soil1")).otherwise(F.col("soil1"))

@@ -45,10 +45,9 @@ def legacy_from_events(events: DataFrame) -> DataFrame:
     """Legacy-shaped rows derived from ``events`` (test input for S3, F8, F9):
     numeric soil = floor(value * 2), pump/water as the readings adapter."""
     from hydrospark.sources.testdata import readings_from_events
-    r = readings_from_events(events)
-    soil = events.select(F.col("event_id").alias("reading_id"),
-                         F.floor(F.col("value") * F.lit(2.0)).cast("int").alias("soil"))
-    return r.join(soil, "reading_id").select(
+    r = readings_from_events(events, keep=("value",)) \
+        .withColumn("soil", F.floor(F.col("value") * F.lit(2.0)).cast("int"))
+    return r.select(
         "reading_id", "device_id", F.col("ts").alias("timestamp"), "temperature", "humidity", "soil", "water",
         F.col("pump1").alias("pump"), F.col("pump1_duration").alias("pump_duration"), "manual_override")
 

@@ -24,8 +24,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def readings_from_events(events: DataFrame) -> DataFrame:
-    """Project events onto the dual-plant readings schema (narrow, no shuffle)."""
+def readings_from_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project events onto the dual-plant readings schema (narrow, no shuffle).
+    ``keep`` passes extra event columns through the same projection."""
     k = F.get_json_object("props", "$.k").cast("int")
     et = F.col("event_type")
     soil1 = F.when(et.isin("click", "error"), "DRY").otherwise("WET")
@@ -52,6 +53,7 @@ def readings_from_events(events: DataFrame) -> DataFrame:
         duration(pump1).alias("pump1_duration"),
         duration(pump2).alias("pump2_duration"),
         F.when(k % 7 == 0, 1).otherwise(0).cast("int").alias("manual_override"),
+        *keep,
     )
 
 
