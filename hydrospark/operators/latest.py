@@ -102,12 +102,14 @@ def training_log_recent(log: DataFrame, n: int = 7) -> DataFrame:
     return log.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(n)
 
 
-def schedule_ordered(schedule: DataFrame) -> DataFrame:
-    """Schedule by hour, minute; ``enabled`` as boolean, plant default 'both'."""
-    return schedule.select("id", "hour", "minute", "duration",
+def schedule_ordered(schedule: DataFrame, keys=("device_id",)) -> DataFrame:
+    """Schedule by hour, minute; ``enabled`` as boolean, plant default
+    'both'; ``position`` is the rank within the key (no global sort)."""
+    w = Window.partitionBy(*keys).orderBy("hour", "minute", "id")
+    return schedule.select(*keys, "id", "hour", "minute", "duration",
                            F.coalesce("plant", F.lit("both")).alias("plant"),
-                           (F.coalesce("enabled", F.lit(1)) != 0).alias("enabled")) \
-        .orderBy("hour", "minute", "id")
+                           (F.coalesce("enabled", F.lit(1)) != 0).alias("enabled"),
+                           F.row_number().over(w).cast("int").alias("position"))
 
 
 def best_hour(hourly: Column) -> Column:

@@ -12,22 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def settings_defaults(existing: DataFrame, defaults: DataFrame) -> DataFrame:
-    """K7: insert defaults only for keys that are absent (anti join + union)."""
-    missing = defaults.join(existing.select("key"), "key", "left_anti")
-    return existing.select("key", "value").unionByName(missing.select("key", "value"))
+def settings_defaults(existing: DataFrame, defaults: DataFrame, keys=()) -> DataFrame:
+    """K7: insert defaults only for keys that are absent (anti join + union).
+    ``keys`` scopes settings, e.g. per device."""
+    k = [*keys, "key"]
+    missing = defaults.join(existing.select(*k), k, "left_anti")
+    return existing.select(*k, "value").unionByName(missing.select(*k, "value"))
 
 
-def settings_upsert(existing: DataFrame, updates: DataFrame, version_col: str = "version") -> DataFrame:
+def settings_upsert(existing: DataFrame, updates: DataFrame, version_col: str = "version", keys=()) -> DataFrame:
     """K8: last write wins per key; values are stored as text.
 
     ``updates`` has (key, value, version); existing rows count as version -inf.
     """
-    old = existing.select("key", F.col("value").cast("string").alias("value"),
+    k = [*keys, "key"]
+    old = existing.select(*k, F.col("value").cast("string").alias("value"),
                           F.lit(None).cast("long").alias(version_col))
-    new = updates.select("key", F.col("value").cast("string").alias("value"), F.col(version_col).cast("long"))
+    new = updates.select(*k, F.col("value").cast("string").alias("value"), F.col(version_col).cast("long"))
     both = old.unionByName(new).withColumn("_v", F.coalesce(F.col(version_col), F.lit(-(2 ** 62))))
-    return both.groupBy("key").agg(F.max_by("value", "_v").alias("value"))
+    return both.groupBy(*k).agg(F.max_by("value", "_v").alias("value"))
 
 
 def cooldown_upsert(cooldown: DataFrame, sent: DataFrame, keys=("alert_type",)) -> DataFrame:
@@ -36,15 +39,16 @@ def cooldown_upsert(cooldown: DataFrame, sent: DataFrame, keys=("alert_type",))
         .groupBy(*keys).agg(F.max("last_sent").alias("last_sent"))
 
 
-def replace_schedule(new_rows: DataFrame) -> DataFrame:
-    """The new schedule replaces the old one; plant defaults to 'both',
-    enabled to 1, ids renumbered in list order."""
+def replace_schedule(new_rows: DataFrame, keys=("device_id",)) -> DataFrame:
+    """Each key's submitted list replaces its old schedule; plant
+    defaults to 'both', enabled to 1, ids renumbered in list order (``pos``)
+    within the key (a schedule is a handful of rows per device)."""
     from pyspark.sql import Window
-    w = Window.orderBy("pos")  # a schedule is a handful of rows
+    w = Window.partitionBy(*keys).orderBy("pos")
     return new_rows.select(
-        F.row_number().over(w).cast("long").alias("id"), "hour", "minute", "duration",
+        *keys, F.row_number().over(w).cast("long").alias("id"), "hour", "minute", "duration",
         F.coalesce("plant", F.lit("both")).alias("plant"),
-        F.when(F.coalesce(F.col("enabled"), F.lit(True)), 1).otherwise(0).alias("enabled"))
+        F.when(F.coalesce(F.col("enabled"), F.lit(True)), 1).otherwise(0).cast("int").alias("enabled"))
 
 
 def stored_alerts(alerts: DataFrame) -> DataFrame:

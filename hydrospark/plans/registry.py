@@ -31,5 +31,5 @@ def register(key: str, sql: str | None = None, raw_sql: bool = False):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from hydrospark.plans import (registered_batch, registered_models, registered_rows,  # noqa: F401
-                                  registered_sequences)
+    from hydrospark.plans import (registered_batch, registered_maintenance, registered_models,  # noqa: F401
+                                  registered_rows, registered_sequences)
