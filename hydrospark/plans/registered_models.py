@@ -322,9 +322,17 @@ def q_split_chronological(spark, sf):
 
 # M7-M12, M20, K13, K14 (model-based: rows-only checks) ------------------------------
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf):
-    f = FE.features_schedule(R(spark, sf), td.as_of_lit())
-    return TR.train_pump_classifier(f, FE.SCHEDULE_FEATURES, num_trees=20)
+    # Several registered queries score with the same model; train it once per
+    # session and data folder (the fitted model lives on the driver anyway).
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        f = FE.features_schedule(R(spark, sf), td.as_of_lit())
+        _TRAINED[key] = TR.train_pump_classifier(f, FE.SCHEDULE_FEATURES, num_trees=20)
+    return _TRAINED[key]
 
 
 @register("train_pump_classifier")
