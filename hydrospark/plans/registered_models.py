@@ -348,10 +348,16 @@ def q_score_readings(spark, sf):
     return s.select("reading_id", "device_id", "target", "p_on", "predicted")
 
 
+_ENSEMBLES: dict = {}
+
+
 def _ensemble(spark, sf):
-    lg = legacy.legacy_from_events(td.load(spark, sf, "events"))
-    f = FE.features_offline(lg, td.as_of_lit())
-    return f, TR.train_regressor_ensemble(f, FE.OFFLINE_FEATURES, trees=20)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ENSEMBLES:
+        lg = legacy.legacy_from_events(td.load(spark, sf, "events"))
+        f = FE.features_offline(lg, td.as_of_lit())
+        _ENSEMBLES[key] = (f, TR.train_regressor_ensemble(f, FE.OFFLINE_FEATURES, trees=20))
+    return _ENSEMBLES[key]
 
 
 @register("train_regressor_ensemble")
