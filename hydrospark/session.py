@@ -17,6 +17,25 @@ _LOCAL_DEFAULTS = {
 }
 
 
+# Settings for a large cluster (hundreds of TB of readings). Many shuffle
+# partitions plus AQE coalescing keep each reduce task near the advisory size
+# whatever the input; 256 MB file splits keep scan tasks in memory; skew-join
+# splitting covers hot devices in joins; summaries that grow with the data are
+# broadcast only when AQE measures them under the threshold.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.ui.enabled": "false",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "hydrospark", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes.
