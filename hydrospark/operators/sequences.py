@@ -104,10 +104,11 @@ def pump_runs(readings: DataFrame) -> DataFrame:
     Manual rows never pass the alert code path, so they are excluded first.
     """
     p = plant_rows(readings.filter(F.col("manual_override") == 0))
-    h = with_halo(p, 1, PLANT_ORDER)
-    prev = F.lag("pump", 1).over(PLANT_ORDER.window())
-    h = h.withColumn("run_start", (F.col("pump") == "ON") & (prev.isNull() | (prev != "ON")))
-    edges = drop_halo(h).drop(BKT)
+    # Previous known pump state: the last non-null value before the row (a
+    # run only ends on an explicit OFF), carried across buckets.
+    edges = prefix(p, PLANT_ORDER, lasts={"_prev": F.col("pump")}, inclusive=False).drop(BKT)
+    edges = edges.withColumn("run_start", (F.col("pump") == "ON")
+                             & (F.col("_prev").isNull() | (F.col("_prev") != "ON"))).drop("_prev")
     runs = prefix(edges, PLANT_ORDER, lasts={"_rs": F.when(F.col("run_start"), F.col("ts"))})
     return runs.withColumn("run_start_ts", F.when(F.col("pump") == "ON", F.col("_rs"))).drop("_rs", BKT)
 

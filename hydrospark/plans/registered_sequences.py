@@ -60,7 +60,8 @@ def q_watering_sessions(spark, sf):
 RUNS_SQL = f"""
 dev AS (SELECT * FROM readings WHERE manual_override = 0),
 pr AS ({PLANT_ROWS_SQL.format(src='dev')}),
-pl AS (SELECT *, LAG(pump) OVER (PARTITION BY device_id, plant ORDER BY ts, reading_id) AS prev FROM pr),
+pl AS (SELECT *, LAST_VALUE(pump IGNORE NULLS) OVER (PARTITION BY device_id, plant ORDER BY ts, reading_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM pr),
 pg AS (SELECT *, pump = 'ON' AND (prev IS NULL OR prev <> 'ON') AS run_start,
               SUM(CASE WHEN pump = 'OFF' THEN 1 ELSE 0 END) OVER (
                 PARTITION BY device_id, plant ORDER BY ts, reading_id ROWS UNBOUNDED PRECEDING) AS run_id FROM pl),

@@ -67,9 +67,10 @@ def _pump_alerts_fn(dry_minutes: float, idle_timeout_ms: int):
                     rows.append((device_id, int(rid), ts, 7 + int(plant), f"pump{plant}_still_dry", "warning",
                                  f"Plant {plant} pump has been running for {fmt1(elapsed)} minutes but soil is "
                                  f"still DRY! Check for issues."))
-            else:
+            elif pump == "OFF":  # only an explicit OFF ends a run
                 run_start = None
-            last_pump = pump
+            if pump is not None:
+                last_pump = pump
         state.update((last_pump, run_start))
         state.setTimeoutTimestamp(max(int(ts_us[-1] // 1000) + idle_timeout_ms, state.getCurrentWatermarkMs() + 1))
         cols = ["device_id", "reading_id", "ts", "rule_pos", "type", "severity", "message"]
