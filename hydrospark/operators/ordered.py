@@ -70,16 +70,25 @@ def with_bucket(df: DataFrame, o: Order = DEVICE_ORDER) -> DataFrame:
     return df.withColumn(BKT, o.bucket())
 
 
-def _bucket_summary(df: DataFrame, o: Order) -> DataFrame:
-    """One row per (keys, bucket): count, bucket index and rows before it."""
+def _bucket_summary(df: DataFrame, o: Order, n: int = 0) -> DataFrame:
+    """One row per (keys, bucket): count, bucket index, rows before it and
+    (for a halo of ``n`` rows) how many earlier buckets hold those rows."""
     counts = df.groupBy(*o.keys, BKT).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*o.keys).orderBy(BKT)
-    return counts.select(
+    cols = [
         *o.keys, BKT, "_cnt",
         F.row_number().over(w).alias("_bidx"),
         F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_before"),
-    )
+    ]
+    if n > 0:
+        # Counts of the n previous buckets, newest first; bucket j back is
+        # needed while the buckets in between hold fewer than n rows.
+        prev = F.reverse(F.collect_list("_cnt").over(w.rowsBetween(-n, -1)))
+        between = F.transform(prev, lambda x, i: F.aggregate(F.slice(prev, 1, i), F.lit(0).cast("long"),
+                                                             lambda acc, y: acc + y))
+        cols.append(F.size(F.filter(between, lambda b: b < n)).alias("_nsrc"))
+    return counts.select(*cols)
 
 
 def with_halo(df: DataFrame, n: int, o: Order = DEVICE_ORDER) -> DataFrame:
@@ -92,13 +101,14 @@ def with_halo(df: DataFrame, n: int, o: Order = DEVICE_ORDER) -> DataFrame:
     if n <= 0:
         return base
     cols = [c for c in base.columns if c not in (BKT, HALO)]
-    summary = _bucket_summary(base, o)
-    tgt = summary.select(*o.keys, F.col(BKT).alias("_tgt_bkt"), F.col("_bidx").alias("_tgt_idx"),
-                         F.col("_before").alias("_tgt_before"))
-    # Candidate source buckets: the n bucket indexes before the target.
-    tgt = tgt.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(n)))) \
-        .withColumn("_src_idx", F.col("_tgt_idx") - F.col("_j")) \
-        .filter(F.col("_src_idx") >= 1)
+    summary = _bucket_summary(base, o, n)
+    tgt = summary.filter(F.col("_nsrc") > 0).select(
+        *o.keys, F.col(BKT).alias("_tgt_bkt"), F.col("_bidx").alias("_tgt_idx"),
+        F.col("_before").alias("_tgt_before"), "_nsrc")
+    # Source buckets: exactly the earlier buckets that hold part of the n
+    # preceding rows (one when buckets are dense, at most n when sparse).
+    tgt = tgt.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_nsrc")))) \
+        .withColumn("_src_idx", F.col("_tgt_idx") - F.col("_j"))
     src = summary.select(*o.keys, F.col(BKT).alias("_src_bkt"), F.col("_bidx").alias("_src_idx"),
                          F.col("_before").alias("_src_before"), F.col("_cnt").alias("_src_cnt"))
     pairs = tgt.join(src, [*o.keys, "_src_idx"]) \
