@@ -151,3 +151,39 @@ def q_health_recommendations(spark, sf):
     return rep.select("device_id", "plant", F.posexplode("recommendations").alias("pos", "r")).select(
         "device_id", "plant", (F.col("pos") + 1).cast("int").alias("position"),
         "r.priority", "r.message", "r.action")
+
+
+# A11 / H1 / H2 as their own keys --------------------------------------------------
+
+@register("plant_health_metrics", f"""
+WITH {HEALTH_SQL}
+SELECT device_id, plant, ROUND(avg_soil, 6) AS avg_soil, ROUND(soil_stability, 6) AS soil_stability,
+       watering_events, ROUND(frequency, 6) AS frequency, ROUND(avg_duration, 6) AS avg_duration,
+       total_water_time, latest_temperature, latest_humidity
+FROM m""")
+def q_plant_health_metrics(spark, sf):
+    from hydrospark.functions.columns import round_d
+    from hydrospark.operators.filters import trailing_window
+    from hydrospark.operators.sequences import watering_sessions
+    from hydrospark.operators.stats import plant_health_metrics
+    w = trailing_window(td.readings(spark, sf), td.as_of_lit(), 7)
+    m = plant_health_metrics(w, watering_sessions(w), td.as_of_lit(), 7)
+    return m.select("device_id", "plant", *[round_d(F.col(c), 6).alias(c) for c in
+                                            ("avg_soil", "soil_stability")],
+                    "watering_events", *[round_d(F.col(c), 6).alias(c) for c in ("frequency", "avg_duration")],
+                    "total_water_time", "latest_temperature", "latest_humidity")
+
+
+@register("health_score", f"WITH {HEALTH_SQL} SELECT device_id, plant, score FROM sc")
+def q_health_score(spark, sf):
+    from hydrospark.plans.plant_health import plant_health_scores
+    return plant_health_scores(td.readings(spark, sf), td.as_of_lit()).select("device_id", "plant", "score")
+
+
+@register("health_status", f"""
+WITH {HEALTH_SQL}
+SELECT device_id, plant, CASE WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair'
+       WHEN score >= 30 THEN 'Poor' ELSE 'Critical' END AS health FROM sc""")
+def q_health_status(spark, sf):
+    from hydrospark.plans.plant_health import plant_health_scores
+    return plant_health_scores(td.readings(spark, sf), td.as_of_lit()).select("device_id", "plant", "health")

@@ -597,3 +597,34 @@ FROM readings""")
 def q_export_readings_csv(spark, sf):
     from hydrospark.sinks.writers import export_readings_frame
     return export_readings_frame(R(spark, sf))
+
+
+# M16 / M17 / T10 / T11 as their own keys -----------------------------------------------
+
+@register("confidence_bucket", f"""
+WITH {_HOURLY_SQL.strip()}
+SELECT device_id, day_offset, CAST(hour AS INTEGER) AS hour, confidence, recommended FROM hrs2""")
+def q_confidence_bucket(spark, sf):
+    return q_forecast_scores(spark, sf).select("device_id", "day_offset", "hour", "confidence", "recommended")
+
+
+@register("day_recommendations", f"""
+WITH {_HOURLY_SQL.strip()}
+SELECT device_id, date_s AS date, recs AS recommendations FROM fc""")
+def q_day_recommendations(spark, sf):
+    fc = _freq_forecast(spark, sf)
+    return fc.select("device_id", "date", F.array_join("recommendations", " | ").alias("recommendations"))
+
+
+@register("best_hour", f"""
+WITH {_HOURLY_SQL.strip()}
+SELECT device_id, date_s AS date, CAST(best AS INTEGER) AS best_hour FROM fc""")
+def q_best_hour(spark, sf):
+    from hydrospark.operators.latest import best_hour
+    return _freq_forecast(spark, sf).select("device_id", "date", best_hour(F.col("predictions")).alias("best_hour"))
+
+
+@register("best_model")
+def q_best_model(spark, sf):
+    from hydrospark.operators.latest import best_model
+    return best_model(_ensemble(spark, sf)[1][0], "r2", "name", "pos")

@@ -295,3 +295,15 @@ SELECT * FROM (
 WHERE rank <= 500""")
 def q_first_n_chronological(spark, sf):
     return latest.first_n_chronological(R(spark, sf), n=500)
+
+
+# F7 ---------------------------------------------------------------------------------
+
+@register("nonnull_pump_filter", "SELECT * FROM readings WHERE pump1 IS NOT NULL AND pump2 IS NOT NULL")
+def q_nonnull_pump_filter(spark, sf):
+    return filters.nonnull_pumps(R(spark, sf))
+
+
+@register("nonnull_water_filter", "SELECT * FROM readings WHERE water IS NOT NULL")
+def q_nonnull_water_filter(spark, sf):
+    return filters.nonnull_water(R(spark, sf))
