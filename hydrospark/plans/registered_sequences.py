@@ -148,7 +148,7 @@ for _pos, _key, _type in [(1, "alert_soil_dry", ("soil_dry_plant1", "soil_dry_pl
 
 @register("with_settings", """
 SELECT reading_id, device_id, CAST(500 AS INTEGER) AS soil_dry_threshold1, CAST(450 AS INTEGER) AS soil_dry_threshold2,
-       40.0 AS max_temperature, 30.0 AS min_humidity, CAST(5 AS INTEGER) AS alert_dry_duration,
+       CAST(40.0 AS DOUBLE) AS max_temperature, CAST(30.0 AS DOUBLE) AS min_humidity, CAST(5 AS INTEGER) AS alert_dry_duration,
        CAST(10 AS INTEGER) AS email_cooldown_minutes
 FROM readings""")
 def q_with_settings(spark, sf):
