@@ -65,6 +65,8 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",))
     at every head and only jumps inside a burst are followed: the number of
     doubling rounds depends on the longest burst, not on the key's history.
     """
+    from hydrospark.session import checkpoint_dir
+    checkpoint_dir(alerts.sparkSession)  # the shared folder named by spark.checkpoint.dir
     keys = list(keys)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     numbered = prefix(alerts, Order(keys=tuple(keys), order=tuple(order_cols), ts="ts"),
