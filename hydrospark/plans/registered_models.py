@@ -69,9 +69,14 @@ recent AS (
 
 @register("recent_averages", f"""
 WITH {RECENT_SQL.strip()}
-SELECT *, (soil1_dry_ratio + soil2_dry_ratio) / 2.0 AS avg_soil_dry FROM recent""")
+SELECT device_id, ROUND(avg_temperature, 6) AS avg_temperature, ROUND(avg_humidity, 6) AS avg_humidity,
+       ROUND(soil1_dry_ratio, 6) AS soil1_dry_ratio, ROUND(soil2_dry_ratio, 6) AS soil2_dry_ratio,
+       ROUND((soil1_dry_ratio + soil2_dry_ratio) / 2.0, 6) AS avg_soil_dry FROM recent""")
 def q_recent_averages(spark, sf):
-    return ST.recent_averages(R(spark, sf), td.as_of_lit())
+    r = ST.recent_averages(R(spark, sf), td.as_of_lit())
+    return r.select("device_id", *[C.round_d(F.col(c), 6).alias(c) for c in
+                                   ("avg_temperature", "avg_humidity", "soil1_dry_ratio", "soil2_dry_ratio",
+                                    "avg_soil_dry")])
 
 
 @register("table_counts", """
