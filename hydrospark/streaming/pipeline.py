@@ -151,3 +151,39 @@ def run_available_now(df: DataFrame, name: str, checkpoint: str, timeout_s: int
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return q
+
+
+def start_ingest_job(raw: DataFrame, settings: DataFrame, out_dir: str, checkpoint_dir: str,
+                     trigger: dict | None = None, dry_minutes: float = 5.0, key: str = "severity") -> dict:
+    """The ingest flow as streaming queries: posted payloads -> accepted
+    readings (Parquet partitioned by date, K1) and rejects; readings -> alert
+    rows (R5); alerts -> notifications (R6).
+
+    Two stateful steps cannot share one streaming query, so the flow is
+    multi-hop: the notifications query streams from the alerts sink folder.
+    Every sink is a file sink with its own checkpoint folder (exactly-once,
+    restartable); ``checkpoint_dir`` must be shared storage. With an
+    ``availableNow`` trigger the second hop starts once the first is drained.
+    Returns the started queries by name."""
+    trig = trigger or {"availableNow": True}
+    drain = "availableNow" in trig or "once" in trig
+    ok, bad = ingest(raw)
+    alerts = alert_stream(ok, settings, dry_minutes)
+
+    def sink(df, name, partition=None):
+        w = df.writeStream.format("parquet").option("path", f"{out_dir}/{name}") \
+            .option("checkpointLocation", f"{checkpoint_dir}/{name}").outputMode("append").queryName(name)
+        if partition:
+            w = w.partitionBy(partition)
+        return w.trigger(**trig).start()
+
+    queries = {
+        "readings": sink(ok.withColumn("date", F.to_date("ts")), "readings", "date"),
+        "rejects": sink(bad, "rejects"),
+        "alerts": sink(alerts, "alerts"),
+    }
+    if drain:
+        queries["alerts"].awaitTermination()
+    alert_rows = raw.sparkSession.readStream.schema(ALERT_SCHEMA).parquet(f"{out_dir}/alerts")
+    queries["notifications"] = sink(notification_stream(alert_rows, settings, key), "notifications")
+    return queries

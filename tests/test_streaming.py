@@ -56,3 +56,30 @@ def test_notification_stream_equals_batch(spark):
     exp = sorted(_key(r) for r in throttle(AL.alert_enabled(alerts, settings, "severity"), ["device_id", "severity"],
                                            600 * 60, order_cols=("ts", "reading_id", "rule_pos")).collect())
     assert got == exp and len(got) > 0
+
+
+def test_ingest_job_equals_batch(spark):
+    from hydrospark.sources import ingest
+    from hydrospark.streaming.pipeline import start_ingest_job
+    events = td.load(spark, SF, "events")
+    payloads = ingest.payloads_from_events(events)
+    base = scratch_path(spark, f"job-{uuid.uuid4().hex}")
+    src = os.path.join(base, "payloads")
+    _split_to_files(spark, payloads, src)
+    settings = AL.settings_table(spark, {"email_enabled": "1", "email_recipient": "a@example.invalid"})
+    raw = spark.readStream.schema(payloads.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    queries = start_ingest_job(raw, settings, os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    for q in queries.values():
+        assert q.awaitTermination(600)
+        assert q.exception() is None
+    ok, bad = ingest.ingest(payloads)
+    out = os.path.join(base, "out")
+    assert spark.read.parquet(os.path.join(out, "readings")).count() == ok.count()
+    assert spark.read.parquet(os.path.join(out, "rejects")).count() == bad.count()
+    exp_alerts = AL.alerts_all(ok, settings)
+    got_alerts = spark.read.parquet(os.path.join(out, "alerts"))
+    assert sorted(_key(r) for r in got_alerts.collect()) == sorted(_key(r) for r in exp_alerts.collect())
+    exp_notes = throttle(AL.alert_enabled(exp_alerts, settings, "severity"), ["device_id", "severity"], 600,
+                         order_cols=("ts", "reading_id", "rule_pos"))
+    got_notes = spark.read.parquet(os.path.join(out, "notifications"))
+    assert sorted(_key(r) for r in got_notes.collect()) == sorted(_key(r) for r in exp_notes.collect())
