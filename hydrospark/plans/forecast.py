@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.functions.columns import any_pump_on, round_d, sin_cos
-from hydrospark.operators.latest import best_hour, latest_water
+from hydrospark.operators.latest import best_hour
 from hydrospark.operators.stats import recent_averages
 from hydrospark.schemas import DEFAULT_PREDICTION_HOURS, RECENT_DEFAULTS
 
@@ -39,10 +39,13 @@ def forecast_grid(devices: DataFrame, as_of: Column, hours_setting: Column | Non
 
 def forecast_inputs(readings: DataFrame, as_of: Column) -> DataFrame:
     """Per device: A3 recent averages (defaults where missing) and T3 latest water."""
-    devices = readings.select("device_id").distinct()
+    # One pass lists every device and its newest non-null water state (T3):
+    # max_by ignores rows whose ordering key is null.
+    water = readings.groupBy("device_id").agg(F.max_by(
+        "water", F.when(F.col("water").isNotNull(), F.struct("ts", "reading_id"))).alias("_w")) \
+        .select("device_id", F.when(F.col("_w") == "AVAILABLE", 1).otherwise(0).alias("water_available"))
     recent = recent_averages(readings, as_of)
-    water = latest_water(readings)
-    j = devices.join(recent, "device_id", "left").join(water, "device_id", "left")
+    j = water.join(recent, "device_id", "left")
     t = F.coalesce("avg_temperature", F.lit(RECENT_DEFAULTS["avg_temperature"]))
     h = F.coalesce("avg_humidity", F.lit(RECENT_DEFAULTS["avg_humidity"]))
     s = F.coalesce("avg_soil_dry", F.lit((RECENT_DEFAULTS["soil1_dry_ratio"] + RECENT_DEFAULTS["soil2_dry_ratio"]) / 2))
