@@ -33,7 +33,9 @@ BKT = "_bkt"
 HALO = "_halo"
 
 # Bucket width: a device's rows inside one bucket are processed by one task.
-# At a 5 s reporting cadence an hour is 720 rows per device.
+# At a 5 s reporting cadence an hour is 720 rows per device. ``"auto"`` picks
+# the coarsest of day/hour/minute/second that keeps every bucket under
+# ``Order.target_rows`` (one extra aggregate per ordered operator).
 DEFAULT_BUCKET_UNIT = "hour"
 
 
@@ -48,6 +50,8 @@ class Order:
     # Custom bucket expression (must be monotone in ``order``), e.g. for a
     # reversed stream ordered by negated time.
     bucket_fn: Callable[[], Column] | None = None
+    # unit="auto": largest number of rows one (key, bucket) may hold.
+    target_rows: int = 2_000_000
 
     def window(self) -> Window:
         return Window.partitionBy(*self.keys, BKT).orderBy(*self.order)
@@ -64,9 +68,31 @@ class Order:
 DEVICE_ORDER = Order()
 
 
+AUTO_UNITS = ("day", "hour", "minute", "second")
+
+
+def resolve_unit(df: DataFrame, o: Order) -> str:
+    """Coarsest bucket unit whose fullest (key, bucket) holds at most
+    ``o.target_rows`` rows. One aggregate: rows per (key, minute), rolled up
+    to hour and day maxima; only the three maxima reach the driver."""
+    per_min = df.groupBy(*o.keys, F.date_trunc("minute", F.col(o.ts)).alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    per_hour = per_min.groupBy(*o.keys, F.date_trunc("hour", "_m").alias("_h")).agg(
+        F.sum("_n").alias("_n"), F.max("_n").alias("_max_min"))
+    per_day = per_hour.groupBy(*o.keys, F.date_trunc("day", "_h")).agg(
+        F.sum("_n").alias("_n"), F.max("_n").alias("_max_hour"), F.max("_max_min").alias("_max_min"))
+    m = per_day.agg(F.max("_n").alias("day"), F.max("_max_hour").alias("hour"),
+                    F.max("_max_min").alias("minute")).first()
+    for unit in AUTO_UNITS[:3]:
+        if (m[unit] or 0) <= o.target_rows:
+            return unit
+    return "second"
+
+
 def with_bucket(df: DataFrame, o: Order = DEVICE_ORDER) -> DataFrame:
     if BKT in df.columns:
         return df
+    if o.unit == "auto" and o.bucket_fn is None:
+        return df.withColumn(BKT, F.date_trunc(resolve_unit(df, o), F.col(o.ts)))
     return df.withColumn(BKT, o.bucket())
 
 

@@ -74,3 +74,20 @@ def test_halo_keeps_window_partitions_bucketed(spark):
         ._jdf.queryExecution().executedPlan().toString()
     # the window is partitioned by (device_id, bucket), never by device alone
     assert "_bkt" in plan
+
+
+def test_auto_unit_splits_a_hot_device(spark):
+    from hydrospark.operators.ordered import resolve_unit
+    df, pdf = _frame(spark)
+    # device 1 holds ~70% of the rows; a tiny row target forces fine buckets
+    assert resolve_unit(df, Order(keys=("device_id",), unit="auto", target_rows=10_000)) == "day"
+    assert resolve_unit(df, Order(keys=("device_id",), unit="auto", target_rows=3)) in ("minute", "second")
+    auto = Order(keys=("device_id",), order=("ts", "reading_id"), unit="auto", target_rows=3)
+    out = prefix(df, auto, sums={"c": F.lit(1).cast("long")})
+    got = out.toPandas().sort_values(["device_id", "ts", "reading_id"]).reset_index(drop=True)
+    exp = pdf.groupby("device_id").cumcount() + 1
+    assert (got["c"].to_numpy() == exp.to_numpy()).all()
+    h = with_halo(df, 3, auto)
+    lag = drop_halo(h.select("*", F.lag("v", 3).over(auto.window()).alias("lag3"))).drop(BKT)
+    got = lag.toPandas().sort_values(["device_id", "ts", "reading_id"]).reset_index(drop=True)
+    pd.testing.assert_series_equal(got["lag3"], pdf.groupby("device_id")["v"].shift(3), check_names=False)
