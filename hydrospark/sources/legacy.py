@@ -35,7 +35,7 @@ def read_snapshots(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """
     df = spark.read.schema(LEGACY_READINGS).option("header", True) \
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(paths) \
-        .withColumn("_file", F.input_file_name())
+        .withColumn("_file", F.col("_metadata.file_path"))
     w = Window.partitionBy("_file", "timestamp").orderBy(F.monotonically_increasing_id())
     numbered = df.withColumn("_occ", F.row_number().over(w))
     return numbered.dropDuplicates(["timestamp", "_occ"]).drop("_file", "_occ")
