@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.functions.columns import any_pump_on, combined_dryness, dow_monday0, dow_sunday0, is_dry, \
-    sin_cos, water_available
+from hydrospark.functions.columns import any_pump_on, combined_dryness, dow_monday0, dow_sunday0, sin_cos, \
+    water_available
 from hydrospark.operators.filters import complete_rows, trailing_window
 from hydrospark.operators.ordered import BKT, DEVICE_ORDER, prefix
 from hydrospark.operators.sequences import sequence_features
@@ -186,5 +186,4 @@ def label_counts(df: DataFrame, label: str = "target") -> DataFrame:
 
 
 __all__ = ["features_schedule", "features_offline", "features_eval", "scaler_stats", "standardize",
-           "split_stratified", "split_chronological", "SCHEDULE_FEATURES", "OFFLINE_FEATURES", "EVAL_FEATURES",
-           "is_dry"]
+           "split_stratified", "split_chronological", "SCHEDULE_FEATURES", "OFFLINE_FEATURES", "EVAL_FEATURES"]

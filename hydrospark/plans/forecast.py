@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.functions.columns import any_pump_on, round_d, sin_cos
+from hydrospark.functions.columns import any_pump_on, round_d
 from hydrospark.operators.latest import best_hour
 from hydrospark.operators.stats import recent_averages
 from hydrospark.schemas import DEFAULT_PREDICTION_HOURS, RECENT_DEFAULTS

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from hydrospark.operators.features import scaler_stats, split_chronological, split_stratified, standardize
 from hydrospark.operators.stats import class_balance, regression_metrics
-from hydrospark.schemas import TRAINING_LOG
 
 
 @dataclass
@@ -201,6 +200,6 @@ def training_report(metrics: DataFrame, importance: DataFrame | None, trained_at
     return rep
 
 
-__all__ = ["TRAINING_LOG", "train_pump_classifier", "score", "train_regressor_ensemble", "feature_importance",
+__all__ = ["train_pump_classifier", "score", "train_regressor_ensemble", "feature_importance",
            "train_health_classifier", "save_model", "load_model", "training_log_row", "model_status",
            "training_report"]
