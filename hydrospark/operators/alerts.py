@@ -44,8 +44,7 @@ def settings_row(settings: DataFrame) -> DataFrame:
     switch_keys = sorted({v for _, v in ALERT_ENABLE_KEYS} | {"email_enabled", "email_recipient"})
     aggs += [raw(k).alias(k) for k in switch_keys]
     row = settings.agg(*aggs)
-    typed = [F.coalesce(F.col(k).try_cast(t) if hasattr(F.col(k), "try_cast") else F.expr(f"try_cast({k} as {t})"),
-                        F.lit(d)).alias(k) for k, (t, d) in TYPED_SETTINGS.items()]
+    typed = [F.coalesce(F.col(k).try_cast(t), F.lit(d)).alias(k) for k, (t, d) in TYPED_SETTINGS.items()]
     return row.select(*typed, *switch_keys)
 
 
