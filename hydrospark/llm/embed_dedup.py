@@ -1,10 +1,13 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors are kept in inverted lists by their nearest coarse centroid, as
-subspace codes of the residual. A query visits every list that can hold a
-vector within the link distance (a geometric bound, so the probes are
-sufficient by construction), compares by asymmetric table-lookup distances and
-confirms what is left by exact cosine in double precision.
+subspace codes of the residual. Two vectors within the link distance r of each
+other lie on both sides of the boundary of their lists, at distances that add
+up to r at most, so one of them is within r / 2 of it. A query therefore visits
+the lists whose boundary is within r / 2 (sufficient by construction), compares
+by asymmetric table-lookup distances and confirms what is left by exact cosine
+in double precision. Of the two visits that may find a pair the one from the
+vector nearer to the boundary counts, for both vectors.
 """
 
 from __future__ import annotations
@@ -70,19 +73,26 @@ def encode(index: Index, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, n
     return codes.astype(np.uint8), np.linalg.norm(res - back, axis=1)
 
 
-def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of all lists that can hold a vector within ``radius``: those
-    whose boundary with the row's own list is no farther than that."""
+def side(index: Index, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Distance of each row, in list ``own``, from the boundary with list ``other``."""
+    a, b = index.centroids[own], index.centroids[other]
+    gap = a - b
+    return (np.einsum("ij,ij->i", gap, x) - ((a * a).sum(axis=1) - (b * b).sum(axis=1)) / 2) / np.sqrt(
+        (gap * gap).sum(axis=1))
+
+
+def probes(index: Index, x: np.ndarray, home: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of every row's own list and all lists with a boundary within ``reach``."""
     c = index.centroids
-    gaps = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 0)) if len(c) <= 512 else None
+    sq = (c * c).sum(axis=1)
+    gaps = np.sqrt(np.maximum(sq[:, None] - 2 * c @ c.T + sq, 0))
     rows, lists = [], []
-    for lo in range(0, len(x), 2048):
-        part = x[lo:lo + 2048]
-        d2 = (part * part).sum(axis=1)[:, None] - 2 * part @ c.T + (c * c).sum(axis=1)
-        own = d2.argmin(axis=1)
-        gap = gaps[own] if gaps is not None else np.sqrt(np.maximum(
-            (c * c).sum(axis=1)[own][:, None] - 2 * c[own] @ c.T + (c * c).sum(axis=1), 0))
-        r, li = np.nonzero(d2 - d2[np.arange(len(part)), own][:, None] <= 2 * (radius + _SLACK) * gap + _SLACK)
+    for lo in range(0, len(x), 1024):
+        own = home[lo:lo + 1024]
+        d2 = sq - 2 * x[lo:lo + 1024] @ c.T  # without the row's own norm
+        near = d2 - d2[np.arange(len(own)), own][:, None] <= 2 * (reach + _SLACK) * gaps[own] + _SLACK
+        near[np.arange(len(own)), own] = True
+        r, li = np.nonzero(near)
         rows.append(r + lo)
         lists.append(li)
     return np.concatenate(rows), np.concatenate(lists)
@@ -98,14 +108,18 @@ def cell_matches(index: Index, cell: int, q: np.ndarray, y: np.ndarray, codes: n
     """
     radius = np.sqrt(max(0.0, 2 - 2 * min_cosine))
     m = len(index.codebooks)
+    # The slack covers the single precision of the tables, whose sums are at most about 4.
+    limit = ((radius + errors + _SLACK) ** 2 + 1e-5)[:, None]
     for lo in range(0, len(q), 512):
         part = q[lo:lo + 512]
         res = np.split(part - index.centroids[cell], m, axis=1)
-        d2 = np.zeros((len(part), len(y)))
+        d2 = np.zeros((len(y), len(part)), dtype=np.float32)
         for k, book in enumerate(index.codebooks):
-            table = (res[k] ** 2).sum(axis=1)[:, None] - 2 * res[k] @ book.T + (book * book).sum(axis=1)
-            d2 += table[:, codes[:, k]]
-        a, b = np.nonzero(d2 <= (radius + errors + _SLACK)[None, :] ** 2)
+            table = (res[k] ** 2).sum(axis=1) - 2 * book @ res[k].T + (book * book).sum(axis=1)[:, None]
+            d2 += np.take(table.astype(np.float32), codes[:, k], axis=0)
+        b, a = np.nonzero(d2 <= limit)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
         for s in range(0, len(a), 1 << 18):
             i, j = a[s:s + (1 << 18)], b[s:s + (1 << 18)]
             ok = np.einsum("ij,ij->i", part[i], y[j]) >= min_cosine
@@ -137,8 +151,8 @@ def _unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                     min_cosine: float = 0.95, sample_rows: int = 16_384, list_rows: int = 1024,
-                     max_lists: int = 1024, cell_rows: int = 4096) -> DataFrame:
+                     min_cosine: float = 0.95, sample_rows: int = 65_536, list_rows: int = 256,
+                     max_lists: int = 4096, cell_rows: int = 4096) -> DataFrame:
     """One row per vector: the id, ``n_links`` (other vectors linked directly),
     ``component_id`` (smallest id reachable) and ``kept``.
 
@@ -204,19 +218,19 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
             u = np.stack([np.frombuffer(v.as_py()) for v in b.column(2)])
             home = _nearest(u, index.centroids)
             codes, errors = encode(index, u, home)
-            row, lists = probes(index, u, radius)
+            row, lists = probes(index, u, home, radius / 2)
             is_home = lists == home[row]
             none = np.full(len(row), None, dtype=object)
             code_col = none.copy()
             code_col[is_home] = [codes[i].tobytes() for i in row[is_home]]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([
-                pa.array(lists), pa.array(is_home), b.column(0).take(take), b.column(1).take(take),
+                pa.array(lists), pa.array(home[row]), pa.array(is_home), b.column(0).take(take), b.column(1).take(take),
                 b.column(2).take(take), pa.array(code_col.tolist(), pa.binary()), pa.array(errors[row])],
-                names=["list", "home", "rep", "n", "u", "code", "err"])
+                names=["list", "own", "home", "rep", "n", "u", "code", "err"])
 
     placed = cut_lineage(reps.select("rep", "n", "u").mapInArrow(
-        assign, "list long, home boolean, rep long, n long, u binary, code binary, err double"))
+        assign, "list long, own long, home boolean, rep long, n long, u binary, code binary, err double"))
     # One row per list: at most max_lists rows.
     sizes = placed.groupBy("list").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / cell_rows).cast("int").alias("ky"),
@@ -225,10 +239,10 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
     block = F.xxhash64("rep")
     members = dealt.where("home").select(
         "list", F.pmod(block, "ky").cast("int").alias("by"), F.explode(F.sequence(F.lit(0), F.col("kq") - 1)).alias("bq"),
-        F.lit(True).alias("member"), "rep", "n", "u", "code", "err")
+        F.lit(True).alias("member"), "own", "rep", "n", "u", "code", "err")
     queries = dealt.select(
         "list", F.explode(F.sequence(F.lit(0), F.col("ky") - 1)).alias("by"), F.pmod(block, "kq").cast("int").alias("bq"),
-        F.lit(False).alias("member"), "rep", F.lit(0).cast("long").alias("n"), "u",
+        F.lit(False).alias("member"), "own", "rep", "n", "u",
         F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("err"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,8 +253,9 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
         q = np.stack([np.frombuffer(v) for v in qs["u"]])
         codes = np.stack([np.frombuffer(v, dtype=np.uint8) for v in ms["code"]])
         yid, qid = ms["rep"].to_numpy(), qs["rep"].to_numpy()
-        n = ms["n"].to_numpy()
-        count, ids = np.zeros(len(q), dtype=np.int64), np.unique(np.concatenate([yid, qid]))
+        ny, nq, own, cell = ms["n"].to_numpy(), qs["n"].to_numpy(), qs["own"].to_numpy(), int(key[0])
+        ids = np.unique(np.concatenate([yid, qid]))
+        count = np.zeros(len(ids), dtype=np.int64)
         parent = np.arange(len(ids))
         ym, qm = np.searchsorted(ids, yid), np.searchsorted(ids, qid)
 
@@ -250,10 +265,16 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
                 i = parent[i]
             return i
 
-        for i, j in cell_matches(index, int(key[0]), q, y, codes, ms["err"].to_numpy(), min_cosine):
-            other = qid[i] != yid[j]
-            i, j = i[other], j[other]
-            np.add.at(count, i, n[j])
+        for i, j in cell_matches(index, cell, q, y, codes, ms["err"].to_numpy(), min_cosine):
+            first = qid[i] < yid[j]
+            away = own[i] != cell
+            if away.any():
+                o, here = own[i[away]], np.full(int(away.sum()), cell)
+                sx, sy = side(index, q[i[away]], o, here), side(index, y[j[away]], here, o)
+                first[away] = (sx < sy) | (sx == sy) & first[away]
+            i, j = i[first], j[first]
+            np.add.at(count, qm[i], ny[j])
+            np.add.at(count, ym[j], nq[i])
             # The pairs come by query; after a few queries a group has one parent.
             for rows in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
                 if not len(rows):
@@ -268,7 +289,7 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
         roots = np.array([find(i) for i in range(len(ids))])
         tree = np.flatnonzero(roots != np.arange(len(ids)))
         linked = np.flatnonzero(count)
-        return pd.DataFrame({"x": pd.array(np.concatenate([ids[tree], qid[linked]]), "Int64"),
+        return pd.DataFrame({"x": pd.array(np.concatenate([ids[tree], ids[linked]]), "Int64"),
                              "y": pd.array([*ids[roots[tree]].tolist(), *[None] * len(linked)], "Int64"),
                              "c": pd.array([*[None] * len(tree), *count[linked].tolist()], "Int64")})
 
