@@ -144,10 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if not ones:
         return None
     chosen = _thinned(known.where("y = 1").select("_id").distinct(), "_id", max_positive, 1)
-    positive = _matrix(_featurised(fold.join(F.broadcast(chosen), "_id", "left_semi").select("text").limit(
-        2 * max_positive)))
-    unlabelled = _matrix(_featurised(_thinned(fold, "_id", max_unlabelled, 2).select("text").limit(
-        2 * max_unlabelled)))
+    positive = _matrix(_featurised(fold.join(F.broadcast(chosen), "_id", "left_semi").select("text")).limit(
+        2 * max_positive))
+    unlabelled = _matrix(_featurised(_thinned(fold, "_id", max_unlabelled, 2).select("text")).limit(
+        2 * max_unlabelled))
     if not len(positive):
         return None
     prior = min(max(ones / n, 0.02), 0.98)
