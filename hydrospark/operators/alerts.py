@@ -37,20 +37,45 @@ def settings_table(spark: SparkSession, overrides: dict[str, str] | None = None)
 
 def settings_row(settings: DataFrame) -> DataFrame:
     """J1 (pivot): one row, typed columns with per-key defaults, plus the raw
-    strings of the enable switches and e-mail settings."""
+    strings of the enable switches and e-mail settings. Of settings by device
+    only those without a device count."""
+    if "device_id" in settings.columns:
+        settings = settings.where("device_id is null")
+    return _pivot(settings)
+
+
+def _pivot(settings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     def raw(k: str) -> Column:
         return F.max(F.when(F.col("key") == k, F.col("value")))
     aggs = [raw(k).alias(k) for k in TYPED_SETTINGS]
     switch_keys = sorted({v for _, v in ALERT_ENABLE_KEYS} | {"email_enabled", "email_recipient"})
     aggs += [raw(k).alias(k) for k in switch_keys]
-    row = settings.agg(*aggs)
+    row = settings.groupBy(*keys).agg(*aggs)
+    if keys:
+        return row
     typed = [F.coalesce(F.col(k).try_cast(t), F.lit(d)).alias(k) for k, (t, d) in TYPED_SETTINGS.items()]
     return row.select(*typed, *switch_keys)
 
 
 def with_settings(df: DataFrame, settings: DataFrame) -> DataFrame:
-    """Every row sees every setting (one-row broadcast cross join)."""
-    return df.crossJoin(F.broadcast(settings_row(settings)))
+    """Every row sees every setting (one-row broadcast cross join).
+
+    Settings with a ``device_id`` column hold for their device and override
+    those without a device, setting by setting; they grow with the devices, so
+    they are a plain join on the device, split by the optimiser where skewed."""
+    out = df.crossJoin(F.broadcast(settings_row(settings)))
+    if "device_id" not in settings.columns:
+        return out
+    own = _pivot(settings.where("device_id is not null"), ("device_id",))
+    names = [c for c in own.columns if c != "device_id"]
+    own = own.select(F.col("device_id").alias("_own_device"), *[F.col(c).alias(f"_own_{c}") for c in names])
+    joined = out.join(own, out.device_id == own["_own_device"], "left")
+
+    def value(c):
+        mine = F.col(f"_own_{c}")
+        return F.coalesce(mine.try_cast(TYPED_SETTINGS[c][0]) if c in TYPED_SETTINGS else mine, F.col(c)).alias(c)
+
+    return joined.select(*[value(c) if c in names else F.col(c) for c in out.columns])
 
 
 def _alert(pos: int, type_: str, severity: str, message: Column) -> Column:
@@ -120,8 +145,14 @@ def alerts_all(readings: DataFrame, settings: DataFrame) -> DataFrame:
 
 def alert_enabled(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
     """Keep alerts whose ``key`` value is switched on. A value with no
-    switch is enabled; a switch that is missing from settings is off."""
+    switch is enabled; a switch that is missing from settings is off. With
+    settings by device the device's own switch decides where it has one."""
     spark = alerts.sparkSession
+    if "device_id" in settings.columns:
+        switch = F.create_map(*[x for k, v in ALERT_ENABLE_KEYS for x in (F.lit(k), F.col(v))])
+        j = with_settings(alerts, settings)
+        known = F.col(key).isin([k for k, _ in ALERT_ENABLE_KEYS])
+        return j.filter(~known | F.coalesce(switch[F.col(key)] == "1", F.lit(False))).select(*alerts.columns)
     mapping = spark.createDataFrame(ALERT_ENABLE_KEYS, "alert_key string, setting_key string")
     sw = mapping.join(settings, mapping.setting_key == settings.key, "left") \
         .select("alert_key", F.coalesce(F.col("value") == "1", F.lit(False)).alias("_on"))

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 def trailing_window(df: DataFrame, as_of: Column, days: int | float, ts: str = "ts",
                     include_future: bool = False) -> DataFrame:
-    """rows with ``ts > as_of - days`` (strict). Replays also cap at ``as_of``."""
+    """rows with ``ts > as_of - days`` (strict). Replays also cap at ``as_of``.
+    A ``date`` column (the layout K1 writes) is bounded too, so that partitions
+    outside the window are neither listed nor opened."""
     lower = as_of - F.expr(f"INTERVAL {int(days * 86400)} SECONDS")
     cond = F.col(ts) > lower
     if not include_future:
         cond = cond & (F.col(ts) <= as_of)
+    if "date" in df.columns and dict(df.dtypes)["date"] == "date":
+        cond = cond & (F.col("date") >= F.to_date(lower))
+        if not include_future:
+            cond = cond & (F.col("date") <= F.to_date(as_of))
     return df.filter(cond)
 
 

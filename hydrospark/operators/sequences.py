@@ -198,7 +198,7 @@ def pump_state_timeline(readings: DataFrame, commands: DataFrame) -> DataFrame:
 def command_context(readings: DataFrame, commands: DataFrame) -> DataFrame:
     """As-of backward join. Each valid command takes temperature,
     humidity, soils and water of the device's newest reading at or before it,
-    defaults 25.0, 60.0, DRY, DRY, AVAILABLE. Done as a carried last value on
+    nulls included; without such a reading 25.0, 60.0, DRY, DRY, AVAILABLE. Done as a carried last value on
     the merged stream (no range join).
     """
     ev = _event_stream(readings, commands)
@@ -207,11 +207,11 @@ def command_context(readings: DataFrame, commands: DataFrame) -> DataFrame:
     cmd = ev.filter(F.col("src") == 1)
     return cmd.select(
         "device_id", "ts", F.col("event_id").alias("command_id"), "pump", "action",
-        F.coalesce(F.col("ctx.temperature"), F.lit(25.0)).alias("temperature"),
-        F.coalesce(F.col("ctx.humidity"), F.lit(60.0)).alias("humidity"),
-        F.coalesce(F.col("ctx.soil1"), F.lit("DRY")).alias("soil1"),
-        F.coalesce(F.col("ctx.soil2"), F.lit("DRY")).alias("soil2"),
-        F.coalesce(F.col("ctx.water"), F.lit("AVAILABLE")).alias("water"),
+        F.when(F.col("ctx").isNull(), 25.0).otherwise(F.col("ctx.temperature")).alias("temperature"),
+        F.when(F.col("ctx").isNull(), 60.0).otherwise(F.col("ctx.humidity")).alias("humidity"),
+        F.when(F.col("ctx").isNull(), "DRY").otherwise(F.col("ctx.soil1")).alias("soil1"),
+        F.when(F.col("ctx").isNull(), "DRY").otherwise(F.col("ctx.soil2")).alias("soil2"),
+        F.when(F.col("ctx").isNull(), "AVAILABLE").otherwise(F.col("ctx.water")).alias("water"),
     )
 
 

@@ -60,15 +60,16 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def samples_since_training(readings: DataFrame, training_log: DataFrame,
                            default_since: str = "2000-01-01 00:00:00") -> DataFrame:
     """A5: newest successful training time (default 2000-01-01) and the number
-    of readings strictly after it. The scalar side is one row."""
+    of readings strictly after it. The one-row time is read first and becomes a
+    literal, so the filter reaches the scan of the readings."""
     last = training_log.filter(F.col("status") == "success").agg(F.max("ts").alias("last_success"))
     last = last.select(F.coalesce(F.col("last_success").cast("timestamp_ntz"),
                                   F.lit(default_since).cast("timestamp_ntz")).alias("last_success"))
     ts_type = dict(readings.dtypes)["ts"]
-    r = readings.select(F.col("ts").cast(ts_type).alias("ts"))
-    joined = r.crossJoin(F.broadcast(last))  # one-row side, size fixed
-    cnt = joined.agg(F.count_if(F.col("ts") > F.col("last_success").cast(ts_type)).cast("long").alias("new_samples"))
-    return last.crossJoin(cnt)
+    r = readings.select("ts")
+    since = F.lit(last.first()["last_success"]).cast("timestamp_ntz")
+    cnt = r.filter(F.col("ts") > since.cast(ts_type)).agg(F.count(F.lit(1)).cast("long").alias("new_samples"))
+    return cnt.select(since.alias("last_success"), "new_samples")
 
 
 def should_retrain(since: DataFrame, model_exists: bool, min_new: int = 10) -> DataFrame:
@@ -133,7 +134,8 @@ def metrics_from_counts(counts: DataFrame, keys=()) -> DataFrame:
 
 def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction",
                        keys=(), clip: bool = True) -> DataFrame:
-    """A10: mean squared error and R^2 (1 - SSE/SST; 0 SST -> 0), predictions
+    """A10: mean squared error and R^2 (1 - SSE/SST; with an SST of 0, 1 if
+    all predictions are right and else 0), predictions
     clipped to [0, 1] when ``clip``."""
     pred = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(prediction))) if clip else F.col(prediction)
     y = F.col(label).cast("double")
@@ -141,7 +143,8 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
         F.avg((y - pred) * (y - pred)).alias("mse"),
         F.sum((y - pred) * (y - pred)).alias("_sse"),
         (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"))
-    r2 = F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_sse") / F.col("_sst")).otherwise(F.lit(0.0))
+    r2 = F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_sse") / F.col("_sst")).when(
+        F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     return agg.select(*keys, "mse", r2.alias("r2"))
 
 

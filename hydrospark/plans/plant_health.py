@@ -23,14 +23,23 @@ def plant_health_scores(readings: DataFrame, as_of: Column, days: int = 7) -> Da
 
 
 def plant_health_report(readings: DataFrame, as_of: Column, days: int = 7,
-                        with_recommendations: bool = True) -> DataFrame:
-    """H4: one row per (device, plant) with the rounded figures of the report."""
-    s = plant_health_scores(readings, as_of, days)
+                        with_recommendations: bool = True, devices: DataFrame | None = None) -> DataFrame:
+    """H4: one row per (device, plant) with the rounded figures of the report.
+
+    Every device of ``devices`` (column device_id; by default all that ever
+    posted a reading) is listed; one without readings in the window has health
+    Unknown, score 0, null figures and no recommendations."""
+    known = readings.select("device_id") if devices is None else devices.select("device_id")
+    grid = known.distinct().select("device_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("plant"))
+    s = grid.join(plant_health_scores(readings, as_of, days), ["device_id", "plant"], "left") \
+        .withColumn("health", F.coalesce("health", F.lit("Unknown"))) \
+        .withColumn("score", F.coalesce("score", F.lit(0.0)))
+    seen = F.col("avg_soil").isNotNull()
     cols = [
         "device_id", "plant", "health",
         round_d(F.col("score"), 1).alias("score"),
         round_d(F.col("avg_soil"), 1).alias("avg_soil_moisture"),
-        F.when(F.col("avg_soil") > 450, "DRY").otherwise("WET").alias("soil_status"),
+        F.when(F.col("avg_soil") > 450, "DRY").when(seen, "WET").alias("soil_status"),
         round_d(F.col("frequency"), 2).alias("watering_frequency_per_day"),
         round_d(F.col("avg_duration"), 1).alias("avg_watering_duration_seconds"),
         F.col("total_water_time").alias("total_water_time_seconds"),
@@ -40,6 +49,7 @@ def plant_health_report(readings: DataFrame, as_of: Column, days: int = 7,
         F.col("latest_humidity").alias("current_humidity"),
     ]
     if with_recommendations:
-        cols.append(health_recommendations(F.col("avg_soil"), F.col("frequency"), F.col("avg_duration"),
-                                           F.col("soil_stability"), F.col("plant")).alias("recommendations"))
+        recs = health_recommendations(F.col("avg_soil"), F.col("frequency"), F.col("avg_duration"),
+                                      F.col("soil_stability"), F.col("plant"))
+        cols.append(F.filter(recs, lambda _: seen).alias("recommendations"))
     return s.select(*cols)

@@ -97,11 +97,11 @@ def q_daily_stats(spark, sf):
 @register("plant_health_report", f"""
 WITH {HEALTH_SQL}
 SELECT device_id, plant,
-  CASE WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair'
+  CASE WHEN score IS NULL THEN 'Unknown' WHEN score >= 85 THEN 'Excellent' WHEN score >= 70 THEN 'Good' WHEN score >= 50 THEN 'Fair'
        WHEN score >= 30 THEN 'Poor' ELSE 'Critical' END AS health,
-  ROUND(score, 1) AS score,
+  ROUND(COALESCE(score, 0.0), 1) AS score,
   ROUND(avg_soil, 1) AS avg_soil_moisture,
-  CASE WHEN avg_soil > 450 THEN 'DRY' ELSE 'WET' END AS soil_status,
+  CASE WHEN avg_soil > 450 THEN 'DRY' WHEN avg_soil IS NOT NULL THEN 'WET' END AS soil_status,
   ROUND(frequency, 2) AS watering_frequency_per_day,
   ROUND(avg_duration, 1) AS avg_watering_duration_seconds,
   total_water_time AS total_water_time_seconds,
@@ -109,7 +109,8 @@ SELECT device_id, plant,
   watering_events AS watering_events_count,
   latest_temperature AS current_temperature,
   latest_humidity AS current_humidity
-FROM sc""")
+FROM (SELECT DISTINCT device_id FROM readings) CROSS JOIN (SELECT unnest([1, 2])::INTEGER AS plant)
+LEFT JOIN sc USING (device_id, plant)""")
 def q_plant_health_report(spark, sf):
     return plant_health_report(td.readings(spark, sf), td.as_of_lit(), with_recommendations=False)
 

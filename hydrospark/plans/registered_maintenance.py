@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.operators import maintenance as MT
 from hydrospark.operators.alerts import alerts_all, notifications, settings_table
+from hydrospark.operators.filters import trailing_window
 from hydrospark.operators.latest import latest_location, schedule_ordered
 from hydrospark.operators.stats import table_counts
 from hydrospark.plans.registered_sequences import ALERTS_SQL, _MAIL
@@ -156,24 +157,25 @@ def q_latest_location(spark, sf):
 
 
 @register("clear_history", f"""
-SELECT 'readings' AS table_name, CAST(0 AS BIGINT) AS row_count
-UNION ALL SELECT 'commands', CAST(0 AS BIGINT)
-UNION ALL SELECT 'settings', CAST({len(DEFAULT_SETTINGS)} AS BIGINT)""")
+SELECT 'readings' AS table_name, COUNT(*) AS rows_before, CAST(0 AS BIGINT) AS row_count FROM readings
+UNION ALL SELECT 'commands', COUNT(*), CAST(0 AS BIGINT) FROM commands
+UNION ALL SELECT 'settings', CAST({len(DEFAULT_SETTINGS)} AS BIGINT), CAST({len(DEFAULT_SETTINGS)} AS BIGINT)""")
 def q_clear_history(spark, sf):
-    tables = MT.clear_history({"readings": td.readings(spark, sf), "commands": td.commands(spark, sf),
-                               "settings": settings_table(spark)})
-    return table_counts(tables)
+    tables = {"readings": td.readings(spark, sf), "commands": td.commands(spark, sf),
+              "settings": settings_table(spark)}
+    before = table_counts(tables).withColumnRenamed("row_count", "rows_before")
+    return before.join(table_counts(MT.clear_history(tables)), "table_name")
 
 
 @register("append_readings", f"""
-SELECT CAST(ts AS DATE) AS date, COUNT(*) AS row_count FROM readings
-WHERE ts > {A} - INTERVAL 7 DAY AND ts <= {A} GROUP BY 1""")
+SELECT CAST(ts AS DATE) AS date, COUNT(*) AS row_count,
+       COUNT(*) FILTER (ts > {A} - INTERVAL 7 DAY AND ts <= {A}) AS last_week FROM readings GROUP BY 1""")
 def q_append_readings(spark, sf):
-    # K1: append into a fresh date-partitioned table, then read the last week
-    # back; the date predicate prunes partitions, the ts predicate rows.
+    # K1: append into a fresh date-partitioned table and read every date back;
+    # the last week comes through the pruned trailing window.
     path = scratch_path(spark, f"readings-{uuid.uuid4().hex}")
     append_readings(td.readings(spark, sf), path)
     back = spark.read.parquet(path)
-    lo = td.as_of_lit() - F.expr("INTERVAL 7 DAYS")
-    week = back.filter((F.col("date") >= F.to_date(lo)) & (F.col("ts") > lo) & (F.col("ts") <= td.as_of_lit()))
-    return week.groupBy("date").agg(F.count(F.lit(1)).alias("row_count"))
+    week = trailing_window(back, td.as_of_lit(), 7).groupBy("date").agg(F.count(F.lit(1)).alias("last_week"))
+    return (back.groupBy("date").agg(F.count(F.lit(1)).alias("row_count")).join(week, "date", "left")
+            .withColumn("last_week", F.coalesce("last_week", F.lit(0).cast("long"))))

@@ -3,6 +3,8 @@ M20), forecast (J3, M14-M19) and sink projections (K3-K6, K13-K15)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as C
@@ -330,13 +332,21 @@ def q_split_chronological(spark, sf):
 _TRAINED: dict = {}
 
 
+def _version(spark, sf):
+    # Changed files are a new version, so a model never outlives its data.
+    files = td.load(spark, sf, "events").select(
+        "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    seen = files.agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0]  # one row
+    return spark.sparkContext.applicationId, sf, seen
+
+
 def _trained(spark, sf):
     # Several registered queries score with the same model; train it once per
     # session and data folder (the fitted model lives on the driver anyway).
-    key = (spark.sparkContext.applicationId, sf)
+    key = _version(spark, sf)
     if key not in _TRAINED:
         f = FE.features_schedule(R(spark, sf), td.as_of_lit())
-        _TRAINED[key] = TR.train_pump_classifier(f, FE.SCHEDULE_FEATURES, num_trees=20)
+        _TRAINED[key] = TR.train_pump_classifier(f, FE.SCHEDULE_FEATURES)
     return _TRAINED[key]
 
 
@@ -357,11 +367,11 @@ _ENSEMBLES: dict = {}
 
 
 def _ensemble(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = _version(spark, sf)
     if key not in _ENSEMBLES:
         lg = legacy.legacy_from_events(td.load(spark, sf, "events"))
         f = FE.features_offline(lg, td.as_of_lit())
-        _ENSEMBLES[key] = (f, TR.train_regressor_ensemble(f, FE.OFFLINE_FEATURES, trees=20))
+        _ENSEMBLES[key] = (f, TR.train_regressor_ensemble(f, FE.OFFLINE_FEATURES))
     return _ENSEMBLES[key]
 
 
@@ -397,7 +407,7 @@ def q_train_health_classifier(spark, sf):
 @register("save_load_model")
 def q_save_load_model(spark, sf):
     t = _trained(spark, sf)
-    path = scratch_path(spark, "models/pump_classifier")
+    path = scratch_path(spark, f"models/pump_classifier-{uuid.uuid4().hex}")
     TR.save_model(t, path, td.AS_OF)
     model, stats, info = TR.load_model(spark, path)
     f = FE.features_schedule(R(spark, sf), td.as_of_lit())

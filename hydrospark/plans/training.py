@@ -50,7 +50,7 @@ def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: s
     counts = features.groupBy(label).count().collect()  # at most two rows
     n = sum(r["count"] for r in counts)
     if n < min_samples:
-        msg = f"Only {n} samples available, need at least {min_samples}"
+        msg = f"Only {n} samples available, need at least {min_samples}" if n else "Insufficient training data"
         return TrainedClassifier(None, None, feature_cols, _metrics_row(spark, "none", 0.0, 0.0, 0.0, n, "failed", msg))
     if len(counts) < 2 or min(r["count"] for r in counts) < 2:
         msg = "Training failed: the least populated class has too few members"
@@ -108,7 +108,7 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
     te = standardize(test, stats, feature_cols).persist()
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
     learners = [("random_forest", RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed)),
-                ("gradient_boosting", GBTRegressor(labelCol=label, maxIter=trees, seed=seed)),
+                ("gradient_boosting", GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed)),
                 ("linear_regression", LinearRegression(labelCol=label))]
     rows, models = [], {}
     for pos, (name, learner) in enumerate(learners):

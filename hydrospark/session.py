@@ -33,20 +33,27 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "hydrospark", extra: dict | None = None) -> SparkSession:
+              app_name: str = "hydrospark", extra: dict | None = None,
+              cluster: bool | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes.
 
+    ``cluster`` applies ``CLUSTER_CONF``; by default that is any given master
+    but a local one (a submitted job without a master here passes True).
+
     ``spark.sql.session.timeZone=UTC`` matters: all "as of" arithmetic and the
     hour/weekday features are defined on UTC wall-clock time.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(_LOCAL_DEFAULTS)
+    if cluster is None:
+        cluster = master is not None and not master.startswith("local")
+    conf = dict(CLUSTER_CONF if cluster else _LOCAL_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -62,8 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is used as is. Only
-    when it is unset (local runs, tests) a private folder under the system
-    temp dir is created and registered.
+    when it is unset in a local session (tests) a private folder under the system
+    temp dir is created and registered; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -75,6 +82,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="hydrospark-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -13,10 +13,14 @@ from hydrospark.schemas import READING_COLUMNS, READINGS_CSV_HEADERS
 from hydrospark.sources.timestamps import display_ts
 
 
-def append_readings(readings: DataFrame, path: str) -> None:
+def append_readings(readings: DataFrame, path: str, files_per_date: int = 4) -> None:
     """K1: append normalised readings, partitioned by day so trailing-window
-    queries prune partitions (filter on both ``date`` and ``ts``)."""
-    readings.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
+    queries prune partitions (filter on both ``date`` and ``ts``). Rows are
+    dealt by day and a salt, so an append writes at most ``files_per_date``
+    files a day and no task holds a whole day."""
+    salt = F.pmod(F.xxhash64("device_id", "ts"), F.lit(files_per_date))
+    dated = readings.withColumn("date", F.to_date("ts")).repartition("date", salt)
+    dated.write.mode("append").partitionBy("date").parquet(path)
 
 
 def append_readings_stream(readings: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):

@@ -15,7 +15,8 @@ from hydrospark.functions.columns import normalize_enum
 from hydrospark.schemas import REQUIRED_READING_KEYS
 
 
-_DOC = "_doc"
+_DOC, _NUM, _KEYS = "_doc", "_numbers", "_keys"
+_DURATIONS = ("pump1_duration", "pump2_duration")
 
 
 def _field(name: str) -> Column:
@@ -34,15 +35,23 @@ def parse_readings(raw: DataFrame, keep: tuple[str, ...] = ("device_id", "readin
     * temperature/humidity must parse as numbers (``try_cast``);
     * soil1/soil2: upper-cased, DRY/WET else DRY; pumps ON/OFF else OFF;
       water AVAILABLE/NOT AVAILABLE else AVAILABLE (no trimming);
-    * durations: given value, else 60 when that pump is ON, else 0; a given
-      value that is not an integer rejects the row.
+    * durations: given value, else 60 when that pump is ON, else 0; numbers
+      are truncated, true and false are 1 and 0, texts must be integers, and
+      anything else rejects the row;
+    * of a repeated key the last value counts;
+    * without a ``ts`` column the arrival time is used.
     """
+    if "ts" in keep and "ts" not in raw.columns:
+        raw = raw.withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
     # One parse per row. The parsed map is the output of a Generate, so
     # Catalyst cannot inline ``from_json`` into every later reference (a
     # plain projection would be pushed into the reject filter, once per use).
-    doc = F.from_json(F.col("payload"), "map<string,string>")
-    raw = raw.select("*", F.inline(F.array(F.struct(doc.alias(_DOC)))))
-    keys = F.map_keys(F.col(_DOC))
+    names = (*REQUIRED_READING_KEYS, *_DURATIONS)
+    doc = F.from_json(F.col("payload"), ", ".join(f"`{n}` string" for n in names))
+    numbers = F.from_json(F.col("payload"), ", ".join(f"`{n}` double" for n in _DURATIONS))
+    raw = raw.select("*", F.inline(F.array(F.struct(
+        doc.alias(_DOC), numbers.alias(_NUM), F.json_object_keys("payload").alias(_KEYS)))))
+    keys = F.col(_KEYS)
     missing = F.filter(F.array(*[F.when(~_has(keys, k), F.lit(k)) for k in REQUIRED_READING_KEYS]),
                        lambda x: x.isNotNull())
     temp = _field("temperature").try_cast("double")
@@ -52,7 +61,10 @@ def parse_readings(raw: DataFrame, keep: tuple[str, ...] = ("device_id", "readin
 
     def duration(name: str, pump: Column) -> tuple[Column, Column]:
         given = _has(keys, name)
-        parsed = _field(name).try_cast("int")
+        text = _field(name)
+        # A JSON number reads as double too; a text does not.
+        parsed = (F.when(F.col(_NUM)[name].isNotNull(), F.col(_NUM)[name].try_cast("int"))
+                  .when(text == "true", 1).when(text == "false", 0).otherwise(text.try_cast("int")))
         value = F.when(given, parsed).otherwise(F.when(pump == "ON", 60).otherwise(0)).cast("int")
         return value, given & parsed.isNull()
 
@@ -81,7 +93,7 @@ def ingest(raw: DataFrame, keep: tuple[str, ...] = ("device_id", "reading_id", "
     parsed = parse_readings(raw, keep)
     ok = parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason", "payload")
     bad = parsed.filter(F.col("reject_reason").isNotNull()).select(
-        *[c for c in keep if c in raw.columns], "payload", "reject_reason")
+        *[c for c in keep if c in parsed.columns], "payload", "reject_reason")
     return ok, bad
 
 

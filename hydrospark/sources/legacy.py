@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.schemas import LEGACY_READINGS
@@ -28,17 +28,18 @@ def migrate_legacy(df: DataFrame) -> DataFrame:
 def read_snapshots(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Read cumulative CSV snapshots with the fixed legacy schema.
 
-    Each later snapshot repeats the earlier ones' lines, so a row is kept once
-    per (timestamp, occurrence within its file): occurrences are numbered per
-    file and the union keeps distinct (timestamp, occurrence) pairs, which
-    keeps genuine in-file duplicates.
+    Each later snapshot repeats the earlier ones' lines, so a line is kept as
+    often as the file that has it most often: equal rows are counted per file,
+    and the largest count of any file stays. Different measurements at the same
+    second are different rows. Both steps are partial aggregates.
     """
     df = spark.read.schema(LEGACY_READINGS).option("header", True) \
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(paths) \
         .withColumn("_file", F.col("_metadata.file_path"))
-    w = Window.partitionBy("_file", "timestamp").orderBy(F.monotonically_increasing_id())
-    numbered = df.withColumn("_occ", F.row_number().over(w))
-    return numbered.dropDuplicates(["timestamp", "_occ"]).drop("_file", "_occ")
+    cols = [f.name for f in LEGACY_READINGS.fields]
+    per_file = df.groupBy("_file", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    most = per_file.groupBy(*cols).agg(F.max("_n").cast("int").alias("_n"))
+    return most.select(*cols, F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")
 
 
 def legacy_from_events(events: DataFrame) -> DataFrame:

@@ -6,13 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_ISO = r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)(?:(?<=:\d{2}|\.\d{1,6})(?:Z|[+-]\d{2}:?\d{2}))?$"
+
+
 def normalize_timestamp(text: Column, empty: Column | None = None) -> Column:
-    """ISO text (``Z`` read as +00:00) -> ``yyyy-MM-dd HH:mm:ss``; text that
-    does not parse is returned unchanged; null/empty gives ``empty`` (the
-    "as of" time in views, '' in the CSV export)."""
-    cleaned = F.regexp_replace(text, "Z$", "+00:00")
-    parsed = F.coalesce(F.try_to_timestamp(cleaned), F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                        F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    """ISO date or date and time -> ``yyyy-MM-dd HH:mm:ss`` as on the wall
+    clock (an offset or ``Z`` is dropped, not applied); text that is not one,
+    such as a year or a time alone, is returned unchanged; null/empty gives
+    ``empty`` (the "as of" time in views, '' in the CSV export)."""
+    local = F.nullif(F.regexp_extract(text, _ISO, 1), F.lit(""))
+    parsed = F.try_to_timestamp(local)
     out = F.coalesce(F.date_format(parsed, "yyyy-MM-dd HH:mm:ss"), text)
     fallback = empty if empty is not None else F.lit("")
     return F.when(text.isNull() | (text == ""), fallback).otherwise(out)

@@ -15,31 +15,30 @@ CURRENT = T.StructType([
                                                        T.StructField("main", T.StringType())]))),
 ])
 
-FORECAST = T.StructType([
-    T.StructField("list", T.ArrayType(T.StructType([
-        T.StructField("rain", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("weather", T.ArrayType(T.StructType([T.StructField("main", T.StringType())]))),
-    ]))),
-])
+# Entries as maps of JSON texts: a key with a null value is still a key.
+FORECAST = T.StructType([T.StructField("list", T.ArrayType(T.MapType(T.StringType(), T.StringType())))])
+ENTRY_WEATHER = T.ArrayType(T.StructType([T.StructField("main", T.StringType())]))
 
 
 def parse_current_weather(df: DataFrame, col: str = "current_json") -> DataFrame:
     """Temperature, humidity, precipitation = rain.1h when present and
-    non-zero, else snow.1h, else 0; description of the first weather entry."""
+    non-zero, else snow.1h, else 0; description of the first weather entry. A
+    payload without a weather entry gives no row."""
     j = F.from_json(F.col(col), CURRENT)
     rain = j["rain"]["1h"]
     snow = j["snow"]["1h"]
     precip = F.coalesce(F.nullif(rain, F.lit(0.0)), snow, F.lit(0.0))
+    df = df.where(F.size(j["weather"]) > 0)
     return df.select("*", j["main"]["temp"].alias("temperature"), j["main"]["humidity"].alias("humidity"),
-                     precip.alias("precipitation"), j["weather"][0]["description"].alias("weather_description"))
+                     precip.alias("precipitation"), F.get(j["weather"], 0)["description"].alias("weather_description"))
 
 
 def rain_forecast(forecast_json: Column) -> Column:
     """1 iff one of the first three forecast entries has a ``rain`` key or
     its first weather ``main`` contains "Rain" (case-sensitive)."""
     entries = F.slice(F.from_json(forecast_json, FORECAST)["list"], 1, 3)
-    hit = F.exists(entries, lambda e: e["rain"].isNotNull() | F.coalesce(
-        F.contains(e["weather"][0]["main"], F.lit("Rain")), F.lit(False)))
+    hit = F.exists(entries, lambda e: F.coalesce(F.map_contains_key(e, "rain"), F.lit(False)) | F.coalesce(
+        F.contains(F.get(F.from_json(e["weather"], ENTRY_WEATHER), 0)["main"], F.lit("Rain")), F.lit(False)))
     return F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0)
 
 

@@ -7,12 +7,13 @@
   first ON; W6 per (device, key): ts of the last kept alert.
 * Rows of one key inside a micro-batch are sorted by (ts, id) before they are
   folded, so results equal the batch operators when each device's rows
-  arrive in time order (event time = arrival time, as in the original).
-  A watermark on event time (``watermark`` delay, default 10 minutes) bounds
-  lateness; the state of a key whose newest row is older than
-  ``idle_timeout`` behind the watermark is dropped (event-time timeout), so
-  the state store stays bounded. (A processing-time timeout would make every
-  trigger ask for another empty batch, so ``availableNow`` runs never end.)
+  arrive in time order (event time = arrival time, as in the original). There
+  is no watermark: it is global, so one fast clock would silence every device
+  that buffers its rows. A key's state is a few numbers and there is one per
+  (device, plant) or (device, key), so the state is bounded by the devices.
+* A row older than the newest one already folded for its key cannot be folded
+  in order. It is never dropped silently: ``late_readings_stream`` and
+  ``late_alerts_stream`` return exactly those rows, for a batch replay.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from hydrospark.sources.ingest import ingest
 
 ALERT_SCHEMA = ("device_id long, reading_id long, ts timestamp_ntz, rule_pos int, type string, "
                 "severity string, message string")
+_FLAGGED = ALERT_SCHEMA + ", late boolean"
 
 
 def ingest_stream(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +37,7 @@ def ingest_stream(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ingest(raw)
 
 
-def _pump_alerts_fn(dry_minutes: float, idle_timeout_ms: int):
+def _pump_alerts_fn(dry_minutes: float):
     # The state functions reference nothing from this package, so executors
     # only need pandas to run them.
     def fmt1(x: float) -> str:
@@ -46,56 +48,63 @@ def _pump_alerts_fn(dry_minutes: float, idle_timeout_ms: int):
 
     def fn(key, pdfs, state):
         device_id, plant = key
-        if state.hasTimedOut:
-            state.remove()
-            return
         batch = pd.concat(list(pdfs), ignore_index=True)
         if batch.empty:
             return
         batch = batch.sort_values(["ts", "reading_id"], kind="mergesort")
-        last_pump, run_start = (state.get if state.exists else (None, None))
+        last_pump, run_start, newest = (state.get if state.exists else (None, None, None))
         ts_us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         rows = []
         for t_us, ts, rid, soil, pump in zip(ts_us, batch["ts"], batch["reading_id"], batch["soil"], batch["pump"]):
+            if newest is not None and t_us < newest:
+                rows.append((device_id, int(rid), ts, int(plant), "late_reading", "info",
+                             f"Plant {plant} reading arrived after a newer one", True))
+                continue
+            newest = int(t_us)
             if pump == "ON":
                 if last_pump != "ON":  # rising edge: a new run starts here
                     run_start = int(t_us)
                     rows.append((device_id, int(rid), ts, 5 + int(plant), f"pump{plant}_start", "info",
-                                 f"Plant {plant} pump started automatically at {ts.strftime('%H:%M:%S')}"))
+                                 f"Plant {plant} pump started automatically at {ts.strftime('%H:%M:%S')}", False))
                 elapsed = (t_us - run_start) / 60e6
                 if soil == "DRY" and elapsed >= dry_minutes:
                     rows.append((device_id, int(rid), ts, 7 + int(plant), f"pump{plant}_still_dry", "warning",
                                  f"Plant {plant} pump has been running for {fmt1(elapsed)} minutes but soil is "
-                                 f"still DRY! Check for issues."))
+                                 f"still DRY! Check for issues.", False))
             elif pump == "OFF":  # only an explicit OFF ends a run
                 run_start = None
             if pump is not None:
                 last_pump = pump
-        state.update((last_pump, run_start))
-        state.setTimeoutTimestamp(max(int(ts_us[-1] // 1000) + idle_timeout_ms, state.getCurrentWatermarkMs() + 1))
-        cols = ["device_id", "reading_id", "ts", "rule_pos", "type", "severity", "message"]
+        state.update((last_pump, run_start, newest))
+        cols = ["device_id", "reading_id", "ts", "rule_pos", "type", "severity", "message", "late"]
         yield pd.DataFrame(rows, columns=cols)
     return fn
 
 
-def _with_watermark(df: DataFrame, delay: str) -> DataFrame:
-    return df.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", delay)
-
-
-def pump_alert_stream(readings: DataFrame, dry_minutes: float = 5.0, idle_timeout: str = "7 days",
-                      watermark: str = "10 minutes") -> DataFrame:
-    """W4 + W5 on a stream of readings (device posts only)."""
+def _pump_fold(readings: DataFrame, dry_minutes: float) -> DataFrame:
     p = plant_rows(readings.filter(F.col("manual_override") == 0)) \
         .select("device_id", "plant", "reading_id", "ts", "soil", "pump")
-    p = _with_watermark(p, watermark)
-    ms = int(pd.Timedelta(idle_timeout).total_seconds() * 1000)
     return p.groupBy("device_id", "plant").applyInPandasWithState(
-        _pump_alerts_fn(float(dry_minutes), ms), ALERT_SCHEMA, "last_pump string, run_start_us long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _pump_alerts_fn(float(dry_minutes)), _FLAGGED, "last_pump string, run_start_us long, newest_us long", "append",
+        GroupStateTimeout.NoTimeout)
+
+
+def pump_alert_stream(readings: DataFrame, dry_minutes: float = 5.0) -> DataFrame:
+    """W4 + W5 on a stream of readings (device posts only)."""
+    return _pump_fold(readings, dry_minutes).filter(~F.col("late")).drop("late")
+
 
+def late_readings_stream(readings: DataFrame) -> DataFrame:
+    """Readings that W4 and W5 could not fold, as (device_id, plant, reading_id, ts)."""
+    return _pump_fold(readings, 0.0).filter("late").select(
+        "device_id", F.col("rule_pos").alias("plant"), "reading_id", "ts")
 
-def alert_stream(readings: DataFrame, settings: DataFrame, dry_minutes: float = 5.0) -> DataFrame:
-    """R5 on a stream: stateless rules + stateful pump rules, one stream."""
+
+def alert_stream(readings: DataFrame, settings: DataFrame, dry_minutes: float | None = None) -> DataFrame:
+    """R5 on a stream: stateless rules + stateful pump rules, one stream. The
+    dry duration is the setting ``alert_dry_duration`` unless given."""
+    if dry_minutes is None:
+        dry_minutes = settings_row(settings).first()["alert_dry_duration"]  # one-row settings table
     device_rows = readings.filter(F.col("manual_override") == 0)
     stateless = reading_alerts(device_rows, settings).select(
         "device_id", "reading_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "rule_pos", "type", "severity",
@@ -103,40 +112,45 @@ def alert_stream(readings: DataFrame, settings: DataFrame, dry_minutes: float =
     return stateless.unionByName(pump_alert_stream(readings, dry_minutes))
 
 
-def _throttle_fn(cooldown_us: int, key_col: str, idle_timeout_ms: int):
+def _throttle_fn(cooldown_us: int):
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         batch = pd.concat(list(pdfs), ignore_index=True)
         if batch.empty:
             return
         batch = batch.sort_values(["ts", "reading_id", "rule_pos"], kind="mergesort")
-        last = state.get[0] if state.exists else None
-        keep = []
-        ts_us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        for t in ts_us:
-            ok = last is None or t - last >= cooldown_us
-            keep.append(ok)
-            if ok:
-                last = int(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(ts_us[-1] // 1000) + idle_timeout_ms, state.getCurrentWatermarkMs() + 1))
-        yield batch[keep].drop(columns=["_et"])
+        last, newest = state.get if state.exists else (None, None)
+        keep, late = [], []
+        for t in batch["ts"].astype("datetime64[us]").astype("int64").tolist():
+            late.append(newest is not None and t < newest)
+            keep.append(late[-1] or last is None or t - last >= cooldown_us)
+            if not late[-1]:
+                newest = t
+                if keep[-1]:
+                    last = t
+        state.update((last, newest))
+        yield batch.assign(late=late)[keep]
     return fn
 
 
-def notification_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity",
-                        idle_timeout: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
-    """R6 on a stream: enable switches (J4) then the greedy cooldown (W6) per
-    (device, key), the last kept time held as state."""
+def _throttled(alerts: DataFrame, settings: DataFrame, key: str) -> DataFrame:
     from hydrospark.operators.alerts import alert_enabled
-    cfg = settings_row(settings).select("email_cooldown_minutes").first()  # one-row settings table
-    enabled = _with_watermark(alert_enabled(alerts, settings, key), watermark)
-    ms = int(pd.Timedelta(idle_timeout).total_seconds() * 1000)
+    cfg = settings_row(settings).select("email_enabled", "email_recipient", "email_cooldown_minutes").first()
+    mail = cfg["email_enabled"] == "1" and bool(cfg["email_recipient"])  # one-row settings table
+    enabled = alert_enabled(alerts, settings, key).filter(F.lit(mail))
     return enabled.groupBy("device_id", key).applyInPandasWithState(
-        _throttle_fn(int(cfg["email_cooldown_minutes"]) * 60 * 1_000_000, key, ms), ALERT_SCHEMA,
-        "last_kept_us long", "append", GroupStateTimeout.EventTimeTimeout)
+        _throttle_fn(int(cfg["email_cooldown_minutes"]) * 60 * 1_000_000), _FLAGGED,
+        "last_kept_us long, newest_us long", "append", GroupStateTimeout.NoTimeout)
+
+
+def notification_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
+    """R6 on a stream: the e-mail gate, the enable switches (J4), then the
+    greedy cooldown (W6) per (device, key), the last kept time held as state."""
+    return _throttled(alerts, settings, key).filter(~F.col("late")).drop("late")
+
+
+def late_alerts_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
+    """Alerts that the cooldown could not judge in order."""
+    return _throttled(alerts, settings, key).filter("late").drop("late")
 
 
 def run_available_now(df: DataFrame, name: str, checkpoint: str, timeout_s: int = 600):
@@ -154,10 +168,11 @@ def run_available_now(df: DataFrame, name: str, checkpoint: str, timeout_s: int
 
 
 def start_ingest_job(raw: DataFrame, settings: DataFrame, out_dir: str, checkpoint_dir: str,
-                     trigger: dict | None = None, dry_minutes: float = 5.0, key: str = "severity") -> dict:
+                     trigger: dict | None = None, dry_minutes: float | None = None, key: str = "severity") -> dict:
     """The ingest flow as streaming queries: posted payloads -> accepted
     readings (Parquet partitioned by date, K1) and rejects; readings -> alert
-    rows (R5); alerts -> notifications (R6).
+    rows (R5) and late readings; alerts -> notifications (R6) and late alerts.
+    The source's own options bound a trigger (``maxFilesPerTrigger``).
 
     Two stateful steps cannot share one streaming query, so the flow is
     multi-hop: the notifications query streams from the alerts sink folder.
@@ -181,9 +196,11 @@ def start_ingest_job(raw: DataFrame, settings: DataFrame, out_dir: str, checkpoi
         "readings": sink(ok.withColumn("date", F.to_date("ts")), "readings", "date"),
         "rejects": sink(bad, "rejects"),
         "alerts": sink(alerts, "alerts"),
+        "late_readings": sink(late_readings_stream(ok), "late_readings"),
     }
     if drain:
         queries["alerts"].awaitTermination()
     alert_rows = raw.sparkSession.readStream.schema(ALERT_SCHEMA).parquet(f"{out_dir}/alerts")
     queries["notifications"] = sink(notification_stream(alert_rows, settings, key), "notifications")
+    queries["late_alerts"] = sink(late_alerts_stream(alert_rows, settings, key), "late_alerts")
     return queries
