@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hydrospark.functions.columns import any_pump_on, combined_dryness, dow_monday0, dow_sunday0, sin_cos, \
     water_available
 from hydrospark.operators.filters import complete_rows, trailing_window
+from hydrospark.operators.latest import top_k_per_key
 from hydrospark.operators.ordered import BKT, DEVICE_ORDER, prefix
 from hydrospark.operators.sequences import sequence_features
 
@@ -117,8 +118,7 @@ def features_eval(legacy: DataFrame, first_n: int = 500) -> DataFrame:
     device drop out (3-row mean)."""
     r = legacy.withColumnRenamed("timestamp", "ts") if "timestamp" in legacy.columns else legacy
     r = r.filter(F.col("temperature").isNotNull() & F.col("humidity").isNotNull() & F.col("soil").isNotNull())
-    # First n rows per device: running position on bucketed partitions.
-    r = prefix(r, DEVICE_ORDER, sums={"_pos": F.lit(1).cast("long")}).drop(BKT).filter(F.col("_pos") <= first_n)
+    r = top_k_per_key(r, first_n, order=[F.col("ts"), F.col("reading_id")])
     base = r.select(
         "reading_id", "device_id", "ts", "temperature", "humidity", F.col("soil").cast("double").alias("soil"),
         water_available().alias("water_available"), F.when(F.col("pump") == "ON", 1).otherwise(0).alias("actual"),

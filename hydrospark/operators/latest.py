@@ -66,11 +66,20 @@ def latest_location(location: DataFrame) -> DataFrame:
 
 
 def top_k_per_key(df: DataFrame, k: int, keys=("device_id",), order: list[Column] | None = None,
-                  rank_col: str | None = None) -> DataFrame:
-    """Top-k rows per key. ``row_number <= k`` plans as ``WindowGroupLimit``
-    (partial limit before the shuffle), so at most k rows per key and task move."""
+                  rank_col: str | None = None, salts: int = 32) -> DataFrame:
+    """Top-k rows per key, first per (key, salt), then per key.
+
+    ``row_number <= k`` plans as ``WindowGroupLimit`` (partial limit before the
+    shuffle), so at most k rows per key and task move. A hot key is in every
+    task; the salted step spreads its candidates over ``salts`` tasks, and the
+    last window sees ``salts`` * k rows of a key at most, however many tasks
+    there were."""
     order = order or [F.col("ts").desc(), F.col("reading_id").desc()]
     w = Window.partitionBy(*keys).orderBy(*order)
+    plain = [f"`{f.name}`" for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts))) \
+        .withColumn("_rn", F.row_number().over(salted)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
     out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     return out.withColumnRenamed("_rn", rank_col) if rank_col else out.drop("_rn")
 

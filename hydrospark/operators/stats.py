@@ -165,9 +165,12 @@ def plant_health_metrics(readings: DataFrame, sessions: DataFrame, as_of: Column
     from hydrospark.operators.sequences import plant_rows
     p = plant_rows(readings).withColumn("soil_value", soil_value("soil"))
     dur = F.coalesce(F.col("pump_duration"), F.lit(0))
+    # Soil numbers are whole, so these sums and the deviation do not depend on
+    # the order of rows; a stability of exactly 150 stays at the threshold.
+    n, v = F.count(F.lit(1)).cast("double"), F.col("soil_value").cast("double")
     soil = p.groupBy("device_id", "plant").agg(
         F.avg("soil_value").alias("avg_soil"),
-        F.when(F.count(F.lit(1)) > 1, F.stddev_pop("soil_value")).otherwise(F.lit(0.0)).alias("soil_stability"),
+        (F.sqrt(n * F.sum(v * v) - F.sum(v) * F.sum(v)) / n).alias("soil_stability"),
         F.sum(F.when((F.col("pump") == "ON") & (dur > 0), dur).otherwise(0)).cast("long").alias("total_water_time"),
         F.max_by(F.struct("temperature", "humidity"), F.struct("ts", "reading_id")).alias("_latest"))
     ev = sessions.groupBy("device_id", "plant").agg(

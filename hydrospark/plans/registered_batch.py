@@ -48,7 +48,9 @@ s AS ({SESSIONS_SQL.format(src='p')}),
 soil AS (
   SELECT device_id, plant,
          AVG(CASE WHEN soil = 'DRY' THEN 600 ELSE 300 END) AS avg_soil,
-         CASE WHEN COUNT(*) > 1 THEN STDDEV_POP(CASE WHEN soil = 'DRY' THEN 600 ELSE 300 END) ELSE 0.0 END AS soil_stability,
+         SQRT(CAST(COUNT(*) * SUM(CASE WHEN soil = 'DRY' THEN 360000 ELSE 90000 END)
+              - SUM(CASE WHEN soil = 'DRY' THEN 600 ELSE 300 END) * SUM(CASE WHEN soil = 'DRY' THEN 600 ELSE 300 END) AS DOUBLE))
+           / COUNT(*) AS soil_stability,
          CAST(SUM(CASE WHEN pump = 'ON' AND COALESCE(pump_duration, 0) > 0 THEN COALESCE(pump_duration, 0) ELSE 0 END) AS BIGINT) AS total_water_time,
          ARG_MAX(temperature, (ts, reading_id)) AS latest_temperature,
          ARG_MAX(humidity, (ts, reading_id)) AS latest_humidity

@@ -180,3 +180,17 @@ def test_slow_clock_is_not_silenced_and_late_rows_are_returned(spark):
     assert {(g[0], g[1]) for g in got if g[4] == "pump1_still_dry"} == {(1, 2), (2, 4)}
     late = _drain(spark, late_readings_stream, base.schema, parts, "late")
     assert sorted((x[0], x[1], x[2]) for x in late) == [(1, 1, 5), (1, 2, 5)]
+
+
+def test_top_k_of_a_hot_device(spark):
+    from hydrospark.operators.latest import first_n_chronological, history
+    r = td.readings(spark, SF)
+    hot = r.withColumn("device_id", F.when(F.col("reading_id") % 3 > 0, 7).otherwise(F.col("device_id")).cast("long"))
+    rows = sorted((x["device_id"], x["ts"], x["reading_id"]) for x in hot.collect())
+    for op, flip in ((history, True), (first_n_chronological, False)):
+        got = sorted((x["device_id"], x["rank"], x["reading_id"]) for x in op(hot.repartition(16), 3).collect())
+        want = []
+        for d in {x[0] for x in rows}:
+            own = [x for x in rows if x[0] == d]
+            want += [(d, i + 1, x[2]) for i, x in enumerate((own[::-1] if flip else own)[:3])]
+        assert got == sorted(want)
