@@ -49,10 +49,10 @@ def _drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna(subset=cols)
 
 
-def _min_rows_guard(df: DataFrame, min_rows: int) -> DataFrame:
-    """Keep ``df`` only if it has at least ``min_rows`` rows (one-row count,
+def _min_rows_guard(df: DataFrame, of: DataFrame, min_rows: int) -> DataFrame:
+    """Keep ``df`` only if ``of`` has at least ``min_rows`` rows (one-row count,
     broadcast-joined; nothing is collected)."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = of.agg(F.count(F.lit(1)).alias("_n"))
     return df.crossJoin(F.broadcast(n)).filter(F.col("_n") >= min_rows).drop("_n")
 
 
@@ -69,8 +69,6 @@ def features_schedule(readings: DataFrame, as_of: Column, days: int = 30, min_ro
     per_dev = r.groupBy("device_id").agg(F.count(F.lit(1)).alias("_n"))
     sizes = per_dev.agg(F.sum("_n").alias("_before"),
                         F.sum(F.greatest(F.col("_n") - 5, F.lit(0))).alias("_after"))
-    r = r.crossJoin(F.broadcast(sizes)) \
-        .filter((F.col("_before") >= min_rows) & (F.col("_after") >= min_rows)).drop("_before", "_after")
     base = r.select(
         "reading_id", "device_id", "ts", "temperature", "humidity",
         combined_dryness().alias("soil_dry"),
@@ -84,6 +82,8 @@ def features_schedule(readings: DataFrame, as_of: Column, days: int = 30, min_ro
         (F.col("temperature") * F.col("humidity") / F.lit(100.0)).alias("temp_humidity_interaction"))
     lag_ma = [f"{s}_{k}" for s in ("temp", "humidity", "soil_dry") for k in ("lag_1", "lag_2", "lag_3", "ma_3", "ma_6")]
     out = _drop_incomplete(out, lag_ma)
+    # Tested behind the windows, which read their input twice.
+    out = out.crossJoin(F.broadcast(sizes)).filter((F.col("_before") >= min_rows) & (F.col("_after") >= min_rows))
     return out.select("reading_id", "device_id", "ts", *SCHEDULE_FEATURES, "target")
 
 
@@ -94,7 +94,6 @@ def features_offline(legacy: DataFrame, as_of: Column, days: int = 90, min_rows:
     r = legacy.withColumnRenamed("timestamp", "ts") if "timestamp" in legacy.columns else legacy
     r = trailing_window(r, as_of, days).filter(
         F.col("temperature").isNotNull() & F.col("humidity").isNotNull() & F.col("soil").isNotNull())
-    r = _min_rows_guard(r, min_rows)
     base = r.select(
         "reading_id", "device_id", "ts", "temperature", "humidity", F.col("soil").cast("double").alias("soil"),
         F.hour("ts").alias("hour"), dow_sunday0(F.col("ts")).alias("day_of_week"),
@@ -108,7 +107,7 @@ def features_offline(legacy: DataFrame, as_of: Column, days: int = 90, min_rows:
         (F.col("humidity") * F.col("soil")).alias("humidity_soil_interaction"))
     lag_ma = [f"{s}_{k}" for s in ("temp", "humidity", "soil")
               for k in ("lag_1", "lag_2", "lag_3", "lag_24", "ma_3", "ma_6", "ma_12", "ma_24")]
-    out = _drop_incomplete(out, lag_ma)
+    out = _min_rows_guard(_drop_incomplete(out, lag_ma), r, min_rows)
     return out.select("reading_id", "device_id", "ts", *OFFLINE_FEATURES, "target")
 
 

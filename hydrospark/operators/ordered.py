@@ -7,17 +7,16 @@ a third of the job in a single task. Instead, rows are cut into
 bucket boundary are carried separately:
 
 * **Halo** (``with_halo``): for row-offset frames (lag *n*, rolling *n* rows)
-  each bucket receives a copy of the *n* rows that precede it in the device's
-  order. They come from the tails of earlier buckets: a per-bucket top-*n*
-  (``WindowGroupLimit``, partially applied before the shuffle) and a tiny
-  bucket summary tell which tail rows each bucket needs. After the window runs,
-  halo rows are dropped.
-* **Carry** (``prefix``): for unbounded frames (running sums, last non-null
-  value) each bucket is summarised to one row, the summary is scanned per
-  device (one row per bucket, so small) and the carried value is joined back.
-
-Both keep the window partition ``(keys, _bkt)`` so the big side is shuffled
-once. Summary joins are left to AQE, which broadcasts them only when their
+  a carried count numbers the rows of a device, blocks of equal row counts
+  become the window partitions, and the last *n* rows of a block are copied to
+  the next one. After the window runs, the copies are dropped.
+* **Carry** (``prefix``, ``with_carry``): for unbounded frames (running sums,
+  last non-null value, small state machines) each bucket is summarised to one
+  row, the summary is scanned per device (one row per bucket, so small) and the
+  carried value is joined back.
+
+The input is read twice, once for the narrow summary. A carry shuffles the big
+side once on ``(keys, _bkt)``, a halo once more on the blocks. Summary joins are left to AQE, which broadcasts them only when their
 measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
 """
 
@@ -52,6 +51,8 @@ class Order:
     bucket_fn: Callable[[], Column] | None = None
     # unit="auto": largest number of rows one (key, bucket) may hold.
     target_rows: int = 2_000_000
+    # Rows of a halo block: what one window partition of a halo operator holds.
+    block_rows: int = 8192
 
     def window(self) -> Window:
         return Window.partitionBy(*self.keys, BKT).orderBy(*self.order)
@@ -96,57 +97,27 @@ def with_bucket(df: DataFrame, o: Order = DEVICE_ORDER) -> DataFrame:
     return df.withColumn(BKT, o.bucket())
 
 
-def _bucket_summary(df: DataFrame, o: Order, n: int = 0) -> DataFrame:
-    """One row per (keys, bucket): count, bucket index, rows before it and
-    (for a halo of ``n`` rows) how many earlier buckets hold those rows."""
-    counts = df.groupBy(*o.keys, BKT).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*o.keys).orderBy(BKT)
-    cols = [
-        *o.keys, BKT, "_cnt",
-        F.row_number().over(w).alias("_bidx"),
-        F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-    ]
-    if n > 0:
-        # Counts of the n previous buckets, newest first; bucket j back is
-        # needed while the buckets in between hold fewer than n rows.
-        prev = F.reverse(F.collect_list("_cnt").over(w.rowsBetween(-n, -1)))
-        between = F.transform(prev, lambda x, i: F.aggregate(F.slice(prev, 1, i), F.lit(0).cast("long"),
-                                                             lambda acc, y: acc + y))
-        cols.append(F.size(F.filter(between, lambda b: b < n)).alias("_nsrc"))
-    return counts.select(*cols)
-
-
 def with_halo(df: DataFrame, n: int, o: Order = DEVICE_ORDER) -> DataFrame:
-    """Bucketed rows plus, per bucket, copies of the ``n`` preceding rows.
-
-    Adds ``_bkt`` and ``_halo`` (true on the copies). Windows over
-    ``o.window()`` then see up to ``n`` rows of history at every bucket start.
+    """Rows in blocks plus, per block, copies of the ``n`` preceding rows.
+
+    Every row gets its position in the device's order (one carried count), a
+    block is a run of ``o.block_rows`` positions, at least ``16 * n``, and the
+    last ``n`` rows of a block are dealt to the next one as well. So the copies
+    are at most a sixteenth of the input whatever the density of the rows, and
+    no join finds them. Adds ``_bkt`` (the block) and ``_halo`` (true on the
+    copies); windows over ``o.window()`` see ``n`` rows of history at every
+    block start.
     """
-    base = with_bucket(df, o).withColumn(HALO, F.lit(False))
     if n <= 0:
-        return base
-    cols = [c for c in base.columns if c not in (BKT, HALO)]
-    summary = _bucket_summary(base, o, n)
-    tgt = summary.filter(F.col("_nsrc") > 0).select(
-        *o.keys, F.col(BKT).alias("_tgt_bkt"), F.col("_bidx").alias("_tgt_idx"),
-        F.col("_before").alias("_tgt_before"), "_nsrc")
-    # Source buckets: exactly the earlier buckets that hold part of the n
-    # preceding rows (one when buckets are dense, at most n when sparse).
-    tgt = tgt.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_nsrc")))) \
-        .withColumn("_src_idx", F.col("_tgt_idx") - F.col("_j"))
-    src = summary.select(*o.keys, F.col(BKT).alias("_src_bkt"), F.col("_bidx").alias("_src_idx"),
-                         F.col("_before").alias("_src_before"), F.col("_cnt").alias("_src_cnt"))
-    pairs = tgt.join(src, [*o.keys, "_src_idx"]) \
-        .withColumn("_after", F.col("_tgt_before") - F.col("_src_before") - F.col("_src_cnt")) \
-        .filter(F.col("_after") < n) \
-        .select(*o.keys, "_src_bkt", "_tgt_bkt", (F.lit(n) - F.col("_after")).alias("_need"))
-    # Last n rows of every bucket (top-n per group is applied before the shuffle).
-    tails = base.withColumn("_r", F.row_number().over(o.window_desc())).filter(F.col("_r") <= n)
-    halo = tails.join(pairs, [*[tails[k] == pairs[k] for k in o.keys], tails[BKT] == pairs["_src_bkt"]]) \
-        .filter(F.col("_r") <= F.col("_need")) \
-        .select(*[tails[c] for c in cols], F.col("_tgt_bkt").alias(BKT), F.lit(True).alias(HALO))
-    return base.unionByName(halo)
+        return with_bucket(df, o).withColumn(HALO, F.lit(False))
+    size = max(o.block_rows, 16 * n)
+    pos = prefix(df, o, sums={"_pos": F.lit(1).cast("long")}, inclusive=False).drop(BKT)
+    block = F.floor(F.col("_pos") / size)
+    own = F.struct(block.alias(BKT), F.lit(False).alias(HALO))
+    after = F.struct((block + 1).alias(BKT), F.lit(True).alias(HALO))
+    dealt = F.when(F.col("_pos") % size >= size - n, F.array(own, after)).otherwise(F.array(own))
+    return pos.select(*[c for c in pos.columns if c != "_pos"], F.explode(dealt).alias("_b")) \
+        .select("*", f"_b.{BKT}", f"_b.{HALO}").drop("_b")
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
@@ -187,3 +158,19 @@ def prefix(df: DataFrame, o: Order = DEVICE_ORDER, sums: dict[str, Column] | Non
         *[F.coalesce(F.last(f"_l_{k}", ignorenulls=True).over(w), F.col(f"_cl_{k}")).alias(k) for k in lasts],
     )
     return out
+
+
+def with_carry(df: DataFrame, o: Order, local: Callable[[DataFrame, Window], DataFrame], summary: Sequence[Column],
+               scan: Callable[[DataFrame, Window], DataFrame]) -> DataFrame:
+    """Rows with in-bucket columns and the state that earlier buckets hand on.
+
+    ``local(rows, window)`` adds columns that need the rows of one bucket only,
+    ``summary`` aggregates them to one row per bucket, and ``scan(summaries,
+    window)`` turns these, per key and by bucket, into the state before each
+    bucket. The summary runs on the same partitioning as the in-bucket windows,
+    so it needs no shuffle of its own. Adds ``_bkt``.
+    """
+    rows = local(with_bucket(df, o), o.window())
+    totals = rows.groupBy(*o.keys, BKT).agg(*summary)
+    carry = scan(totals, Window.partitionBy(*o.keys).orderBy(BKT))
+    return rows.join(carry, [*o.keys, BKT], "left")

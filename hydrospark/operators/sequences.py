@@ -6,12 +6,12 @@ on ``(device, bucket)`` partitions through ``operators.ordered``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.functions.columns import soil_value
 from hydrospark.operators.ordered import (
-    BKT, DEVICE_ORDER, Order, drop_halo, prefix, with_halo)
+    BKT, DEVICE_ORDER, Order, drop_halo, prefix, with_carry, with_halo)
 from hydrospark.operators.reshape import unpivot_plants
 
 PLANT_ORDER = Order(keys=("device_id", "plant"))
@@ -37,7 +37,7 @@ def sequence_features(df: DataFrame, cols: dict[str, str | Column], lags=(1, 2,
     """W1 + W2 from one sort: lags and trailing row means share one window spec.
 
     ``cols`` maps a feature stem to a column. Needs at most ``max(lags,
-    windows-1)`` halo rows per bucket.
+    windows-1)`` halo rows per block.
     """
     lag_names = lag_names or {}
     ma_names = ma_names or {}
@@ -104,13 +104,38 @@ def pump_runs(readings: DataFrame) -> DataFrame:
     Manual rows never pass the alert code path, so they are excluded first.
     """
     p = plant_rows(readings.filter(F.col("manual_override") == 0))
-    # Previous known pump state: the last non-null value before the row (a
-    # run only ends on an explicit OFF), carried across buckets.
-    edges = prefix(p, PLANT_ORDER, lasts={"_prev": F.col("pump")}, inclusive=False).drop(BKT)
-    edges = edges.withColumn("run_start", (F.col("pump") == "ON")
-                             & (F.col("_prev").isNull() | (F.col("_prev") != "ON"))).drop("_prev")
-    runs = prefix(edges, PLANT_ORDER, lasts={"_rs": F.when(F.col("run_start"), F.col("ts"))})
-    return runs.withColumn("run_start_ts", F.when(F.col("pump") == "ON", F.col("_rs"))).drop("_rs", BKT)
+    known = F.col("pump").isNotNull()
+
+    def starts(prev: Column) -> Column:
+        # A run only ends on an explicit OFF: the previous state is the last
+        # non-null value before the row.
+        return (F.col("pump") == "ON") & (prev.isNull() | (prev != "ON"))
+
+    def local(rows, w):
+        rows = rows.withColumn("_lp", F.last("pump", ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)))
+        # Starts that the bucket can tell alone; its first known row waits for the carry.
+        return rows.withColumn("_ls", F.when(F.col("_lp").isNotNull() & starts(F.col("_lp")), F.col("ts")))
+
+    order = F.when(known, F.struct(*PLANT_ORDER.order))
+    summary = [F.max_by("pump", order).alias("_out"), F.min_by("pump", order).alias("_first"),
+               F.min(F.when(known, F.col("ts"))).alias("_first_ts"), F.max("_ls").alias("_start")]
+
+    def scan(totals, w):
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn("_cp", F.last("_out", ignorenulls=True).over(before))
+        opens = (F.col("_first") == "ON") & (F.col("_cp").isNull() | (F.col("_cp") != "ON"))
+        start = F.coalesce("_start", F.when(opens, F.col("_first_ts")))
+        return totals.withColumn("_bs", start).select(
+            *PLANT_ORDER.keys, BKT, "_cp", F.last("_bs", ignorenulls=True).over(before).alias("_cs"))
+
+    r = with_carry(p, PLANT_ORDER, local, summary, scan)
+    r = r.withColumn("run_start", starts(F.coalesce("_lp", "_cp")))
+    w = PLANT_ORDER.window().rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_rs", F.coalesce(F.last(F.when(F.col("run_start"), F.col("ts")), ignorenulls=True).over(w),
+                                       F.col("_cs")))
+    return r.withColumn("run_start_ts", F.when(F.col("pump") == "ON", F.col("_rs"))) \
+        .drop(BKT, "_lp", "_ls", "_cp", "_cs", "_rs")
 
 
 def pump_starts(readings: DataFrame) -> DataFrame:
@@ -169,17 +194,61 @@ def _flip(state: Column, odd: Column) -> Column:
     return F.when(odd & state.isNotNull(), F.when(state == "ON", "OFF").otherwise("ON")).otherwise(state)
 
 
-def _timeline(ev: DataFrame) -> DataFrame:
+def _odd(c: str) -> Column:
+    return (F.col(c) % 2) == 1
+
+
+def _timeline(ev: DataFrame, keep_commanded: bool = False) -> DataFrame:
     """Carry pump states over an event stream with explicit values e1/e2 and
     toggle flags t1/t2. State = last explicit value flipped by the parity of
-    toggles since it (initial OFF), computed as two carried prefixes."""
-    ev = prefix(ev, EVENT_ORDER, sums={"c1": F.col("t1"), "c2": F.col("t2")}).drop(BKT)
-    odd1 = (F.col("c1") % 2) == 1
-    odd2 = (F.col("c2") % 2) == 1
-    # Normalise each explicit value by the toggle parity at its own row.
-    ev = prefix(ev, EVENT_ORDER, lasts={"n1": _flip(F.col("e1"), odd1), "n2": _flip(F.col("e2"), odd2)}).drop(BKT)
-    return ev.withColumn("pump1_state", _flip(F.coalesce(F.col("n1"), F.lit("OFF")), odd1)) \
-             .withColumn("pump2_state", _flip(F.coalesce(F.col("n2"), F.lit("OFF")), odd2))
+    toggles since it (initial OFF).
+
+    With ``keep_commanded`` a telemetry row right after a command sets nothing;
+    ``manual_override`` marks these rows. One carry holds toggle counts, last
+    values and the last event's source: an explicit value is kept normalised by
+    the toggle parity at its own row, first within its bucket, then, by the
+    parity before the bucket, within the device.
+    """
+    pumps = ("1", "2")
+    order = F.struct(*EVENT_ORDER.order)
+
+    def local(rows, w):
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.select("*", *[F.sum(f"t{i}").over(upto).alias(f"_c{i}") for i in pumps],
+                           F.lag("src", 1).over(w).alias("_ps"))
+        sets = F.lit(True)
+        if keep_commanded:  # the first row of a bucket waits for the carry
+            sets = F.col("_ps").isNotNull() & ~((F.col("src") == 0) & (F.col("_ps") == 1))
+        rows = rows.select("*", *[_flip(F.col(f"e{i}"), _odd(f"_c{i}")).alias(f"_v{i}") for i in pumps])
+        return rows.select("*", *[F.last(F.when(sets, F.col(f"_v{i}")), ignorenulls=True).over(upto).alias(f"_l{i}")
+                                  for i in pumps])
+
+    summary = [F.max_by("src", order).alias("_last_src"), F.min_by("src", order).alias("_first_src")]
+    for i in pumps:
+        summary += [F.sum(f"t{i}").alias(f"_t{i}"), F.max_by(f"_l{i}", order).alias(f"_n{i}"),
+                    F.min_by(f"_v{i}", order).alias(f"_f{i}")]
+
+    def scan(totals, w):
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select("*", F.lag("_last_src", 1).over(w).alias("_cps"), *[
+            F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_ct{i}") for i in pumps])
+        held = (F.col("_first_src") == 0) & F.coalesce(F.col("_cps") == 1, F.lit(False))
+        # What the first row sets, and the last value set in the bucket, normalised within the device.
+        totals = totals.select("*", *[_flip(F.when(~held, F.col(f"_f{i}")), _odd(f"_ct{i}")).alias(f"_e{i}")
+                                      for i in pumps])
+        totals = totals.select("*", *[F.coalesce(_flip(F.col(f"_n{i}"), _odd(f"_ct{i}")), F.col(f"_e{i}"))
+                                      .alias(f"_b{i}") for i in pumps])
+        return totals.select(*EVENT_ORDER.keys, BKT, "_cps", *[x for i in pumps for x in (
+            f"_ct{i}", f"_e{i}", F.last(f"_b{i}", ignorenulls=True).over(before).alias(f"_cn{i}"))])
+
+    r = with_carry(ev, EVENT_ORDER, local, summary, scan)
+    states = []
+    for i in pumps:
+        value = F.coalesce(_flip(F.col(f"_l{i}"), _odd(f"_ct{i}")), F.col(f"_e{i}"), F.col(f"_cn{i}"), F.lit("OFF"))
+        total = F.coalesce(f"_ct{i}", F.lit(0)) + F.col(f"_c{i}")
+        states.append(_flip(value, (total % 2) == 1).alias(f"pump{i}_state"))
+    after_command = F.coalesce(F.coalesce("_ps", "_cps") == 1, F.lit(False))
+    return r.select(*ev.columns, *states, ((F.col("src") == 0) & after_command).alias("manual_override"))
 
 
 def pump_state_timeline(readings: DataFrame, commands: DataFrame) -> DataFrame:
@@ -251,14 +320,8 @@ def auto_pump_decision(samples: DataFrame, commands: DataFrame, water_threshold:
         F.when(water_ok, "AVAILABLE").otherwise("NOT AVAILABLE").alias("water"),
         F.when(F.col("soil1_dry") & water_ok, "ON").otherwise("OFF").alias("pump1"),
         F.when(F.col("soil2_dry") & water_ok, "ON").otherwise("OFF").alias("pump2"))
-    ev = with_halo(_event_stream(as_readings, commands), 1, EVENT_ORDER)
-    prev_src = F.lag("src", 1).over(EVENT_ORDER.window())
-    ev = ev.withColumn("manual_override", (F.col("src") == 0) & F.coalesce(prev_src == 1, F.lit(False)))
-    ev = drop_halo(ev).drop(BKT)
     # An overridden sample does not overwrite the commanded states.
-    ev = ev.withColumn("e1", F.when(~F.col("manual_override"), F.col("e1"))) \
-           .withColumn("e2", F.when(~F.col("manual_override"), F.col("e2")))
-    out = _timeline(ev).filter(F.col("src") == 0)
+    out = _timeline(_event_stream(as_readings, commands), keep_commanded=True).filter(F.col("src") == 0)
     return out.select("device_id", "ts", F.col("event_id").alias("reading_id"), "manual_override",
                       F.col("pump1_state").alias("pump1"), F.col("pump2_state").alias("pump2"))
 

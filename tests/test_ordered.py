@@ -91,3 +91,67 @@ def test_auto_unit_splits_a_hot_device(spark):
     lag = drop_halo(h.select("*", F.lag("v", 3).over(auto.window()).alias("lag3"))).drop(BKT)
     got = lag.toPandas().sort_values(["device_id", "ts", "reading_id"]).reset_index(drop=True)
     pd.testing.assert_series_equal(got["lag3"], pdf.groupby("device_id")["v"].shift(3), check_names=False)
+
+
+def _events(spark, n=500, seed=3):
+    """Readings (samples) and commands of two devices over many hours, with
+    empty buckets, repeated times and unknown pump states."""
+    rnd = random.Random(seed)
+    t, samples, commands = dt.datetime(2024, 1, 1), [], []
+    for i in range(n):
+        t += dt.timedelta(seconds=rnd.choice([0, 60, 600, 1800, 9000]))
+        dev = 1 if rnd.random() < 0.7 else 2
+        if rnd.random() < 0.6:
+            samples.append((i, dev, t, 20.0, 50.0, rnd.random() < 0.5, rnd.random() < 0.5, rnd.choice([100, 400])))
+        else:
+            commands.append((i, dev, t, rnd.choice(["pump1", "pump2"]), rnd.choice(["ON", "OFF", "TOGGLE", "TOGGLE"])))
+    s = spark.createDataFrame(samples, "reading_id long, device_id long, ts timestamp_ntz, temperature double, "
+                                       "humidity double, soil1_dry boolean, soil2_dry boolean, water_raw int")
+    c = spark.createDataFrame(commands, "command_id long, device_id long, ts timestamp_ntz, pump string, action string")
+    return s, c, samples, commands
+
+
+def test_auto_pump_decision_matches_a_sequential_fold(spark):
+    from hydrospark.operators.sequences import auto_pump_decision
+    s, c, samples, commands = _events(spark)
+    got = {(r["device_id"], r["reading_id"]): (r["manual_override"], r["pump1"], r["pump2"])
+           for r in auto_pump_decision(s, c).collect()}
+    exp, state = {}, {}
+    stream = sorted([(r[1], r[2], 0, r[0], r) for r in samples] + [(r[1], r[2], 1, r[0], r) for r in commands])
+    for dev, _, src, i, r in stream:
+        pumps, last = state.get(dev, (["OFF", "OFF"], 0))
+        if src == 1:
+            k = 0 if r[3] == "pump1" else 1
+            pumps[k] = r[4] if r[4] != "TOGGLE" else ("OFF" if pumps[k] == "ON" else "ON")
+        else:
+            if last == 0:
+                pumps = ["ON" if dry and r[7] >= 250 else "OFF" for dry in r[5:7]]
+            exp[(dev, i)] = (last == 1, *pumps)
+        state[dev] = (pumps, src)
+    assert got == exp
+
+
+def test_pump_runs_match_a_sequential_fold(spark):
+    from hydrospark.operators.sequences import pump_runs
+    rnd = random.Random(11)
+    t, rows = dt.datetime(2024, 1, 1), []
+    for i in range(500):
+        t += dt.timedelta(seconds=rnd.choice([0, 60, 900, 5000, 9000]))
+        rows.append((i, 1 if rnd.random() < 0.7 else 2, t, rnd.choice(["ON", "ON", "OFF", None])))
+    df = spark.createDataFrame(rows, "reading_id long, device_id long, ts timestamp_ntz, pump1 string").selectExpr(
+        "*", "pump1 AS pump2", "1 AS pump1_duration", "1 AS pump2_duration", "'DRY' AS soil1", "'DRY' AS soil2",
+        "20.0D AS temperature", "50.0D AS humidity", "'AVAILABLE' AS water", "0 AS manual_override")
+    got = {r["reading_id"]: (bool(r["run_start"]), r["run_start_ts"]) for r in pump_runs(df).filter("plant = 1").collect()}
+    exp, state = {}, {}
+    for i, dev, ts, pump in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        prev, start = state.get(dev, (None, None))
+        begins = pump == "ON" and prev != "ON"
+        start = ts if begins else start
+        exp[i] = (begins, start if pump == "ON" else None)
+        state[dev] = (pump or prev, start)
+    assert got == exp
+
+
+def test_halo_copies_stay_few_on_sparse_rows(spark):
+    df, pdf = _frame(spark)
+    assert with_halo(df, 24, Order(keys=("device_id",), unit="second")).count() < 2 * len(pdf)

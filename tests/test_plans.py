@@ -3,7 +3,7 @@ executed physical plans."""
 
 import re
 
-from hydrospark.operators import latest, sequences as SQ
+from hydrospark.operators import alerts, features, latest, sequences as SQ
 from hydrospark.plans.plant_health import plant_health_report
 from hydrospark.sources import testdata as td
 
@@ -52,3 +52,24 @@ def test_ordered_windows_are_bucketed(spark):
 def test_sessions_shuffle_keys_include_bucket(spark):
     plan = _plan(SQ.watering_sessions(td.readings(spark, SF)))
     assert re.search(r"hashpartitioning\(device_id#\d+L, plant#\d+, _bkt#\d+", plan)
+
+
+def test_ordered_operators_read_their_input_twice_at_most(spark):
+    """Once for the summaries, once for the rows; the rows are shuffled twice
+    at most (buckets and halo blocks). Automatic broadcasts are off."""
+    r = td.readings(spark, SF)
+    cases = {
+        "lag_features": (SQ.lag_features(r, {"temp": "temperature"}, lags=(1,)), 2),
+        "pump_runs": (SQ.pump_starts(r), 2),
+        "timeline": (SQ.pump_state_timeline(r, td.commands(spark, SF)), 4),  # readings and commands
+        "alerts_all": (alerts.alerts_all(r, alerts.settings_table(spark)), 3),
+        "features_schedule": (features.features_schedule(r, td.as_of_lit()), 3),
+    }
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, (df, most) in cases.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") <= most, (name, plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
