@@ -88,7 +88,7 @@ def op2(spark, sf_dir):
               for k in secret_scan.PATTERNS]
     return found.select("doc_id", *counts,
                         F.sha2(secret_scan.span_text(F.col("found")), 256).alias("base_sha256"),
-                        secret_scan.span_text(secret_scan.all_spans(F.col("found"))).alias("spans"))
+                        secret_scan.span_text(secret_scan.all_spans(F.col("found"), F.col("marks"))).alias("spans"))
 
 
 @_register("op3_simhash")

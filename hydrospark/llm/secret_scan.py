@@ -26,6 +26,22 @@ _ANY = "|".join(PATTERNS.values())
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
+def _blocks(items: Column) -> Column:
+    """``items`` cut into about sqrt(n) blocks of sqrt(n): running values are
+    carried over the blocks, then within each, so that a text with very many
+    matches costs n * sqrt(n) copies instead of n * n."""
+    k = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    last = F.greatest(F.ceil(F.size(items) / k).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * k + 1, k))
+
+
+def _running(blocks: Column, step) -> Column:
+    """``step(value, block)`` folded over the blocks from 0: the value before each block."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(blocks, zero, lambda acc, b: F.struct(
+        step(acc["at"], b).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def _kind_spans(text: Column, kind: str) -> Column:
     """Spans of one kind, leftmost non-overlapping: the text is cut at the
     matches, and running lengths of cuts and matches give the positions."""
@@ -33,19 +49,31 @@ def _kind_spans(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else found
     gaps = F.split(text, PATTERNS[kind], -1)
-    step = F.arrays_zip(gaps, found, values).cast("array<struct<gap:string,hit:string,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    steps = F.transform(F.arrays_zip(gaps, found, values).cast("array<struct<gap:string,hit:string,value:string>>"),
+                        lambda s: F.struct(F.length(s["gap"]).alias("gap"), F.length(s["hit"]).alias("hit"),
+                                           s["value"].alias("value")))
+
+    def after(at, s):
+        return at + s["gap"] + F.coalesce(s["hit"], F.lit(0))
 
     def add(acc, s):
-        start = acc["at"] + F.length(s["gap"])
-        end = start + F.coalesce(F.length(s["hit"]), F.lit(0))
+        start, end = acc["at"] + s["gap"], after(acc["at"], s)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), s["value"].alias("value"))
         long_enough = F.length(s["value"]) >= (ASSIGN_MIN if kind == "assign" else 1)
         return F.struct(end.alias("at"),
                         F.when(s["hit"].isNotNull() & long_enough, F.concat(acc["out"], F.array(span)))
                         .otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(step, zero, add, lambda acc: acc["out"])
+    def spans(z):
+        zero = F.struct(z["at"].alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+        return F.aggregate(z["block"], zero, add, lambda acc: acc["out"])
+
+    # Bound once, as elements of one-element arrays: a lambda evaluates what it captures for every element.
+    cut = F.transform(F.array(steps), _blocks)
+    placed = F.transform(cut, lambda bs: F.arrays_zip(
+        bs.alias("block"), _running(bs, lambda at, b: F.aggregate(b, at, after)).alias("at")))
+    named = placed.cast("array<array<struct<block:array<struct<gap:int,hit:int,value:string>>,at:int>>>")
+    return F.flatten(F.transform(F.flatten(named), spans))
 
 
 def base_spans(text: Column) -> Column:
@@ -71,9 +99,10 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source",
                  repo_col: str | None = None, min_owners: int = 3, min_repos: int = 3) -> DataFrame:
-    """One row per row of ``docs``: the id, ``_text_hash``/``_text_bytes`` and
+    """One row per row of ``docs``: the id, ``_text_hash``/``_text_bytes``,
     ``found``: array of (start, rank, end, value, n_owners, n_repos, class),
-    by start, then kind. Positions are code points, ends exclusive.
+    by start, then kind, and ``marks``: the different (start, rank, end) of
+    values with a class. Positions are code points, ends exclusive.
 
     ``class`` is ``copied`` for a value with at least ``min_owners`` owners in
     at least ``min_repos`` repositories, else ``live`` if it looks random, else
@@ -95,13 +124,17 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     seen = ownership(hits)
     cls = (F.when((F.col("n_owners") >= min_owners) & (F.col("n_repos") >= min_repos), "copied")
            .when(_live_looking(F.col("value")), "live"))
+    mark = F.when(F.col("class").isNotNull(), F.struct(
+        (F.col("end") - F.length("value")).alias("start"),
+        F.when(F.col("class") == "copied", KINDS.index("copied")).otherwise(KINDS.index("live")).alias("rank"),
+        F.col("end")))
     found = (hits.join(seen, "hash").withColumn("class", cls).groupBy("_row")
              .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "value", "n_owners", "n_repos", "class")))
-                  .alias("found")))
-    kind = found.schema["found"].dataType.simpleString()
+                  .alias("found"), F.array_sort(F.collect_set(mark)).alias("marks")))
+    none = [F.coalesce(c, F.expr(f"cast(array() as {found.schema[c].dataType.simpleString()})")).alias(c)
+            for c in ("found", "marks")]
     return (base.join(found, "_row", "left")
-            .select(F.col("_id").alias(id_col), "_text_hash", "_text_bytes",
-                    F.coalesce("found", F.expr(f"cast(array() as {kind})")).alias("found")))
+            .select(F.col("_id").alias(id_col), "_text_hash", "_text_bytes", *none))
 
 
 def is_kind(kind: str):
@@ -116,14 +149,11 @@ def span_text(spans: Column) -> Column:
         ":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def all_spans(found: Column) -> Column:
+def all_spans(found: Column, marks: Column) -> Column:
     """The base spans and, over each value, a span that names its class."""
     base = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
                                                  s["end"].alias("end")))
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    named = F.transform(F.filter(found, lambda s: s["class"].isNotNull()), lambda s: F.struct(
-        (s["end"] - F.length(s["value"])).alias("start"), rank[s["class"]].alias("rank"), s["end"].alias("end")))
-    return F.array_sort(F.array_distinct(F.concat(base, named)))
+    return F.array_sort(F.concat(base, marks))
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source",
@@ -135,9 +165,8 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owne
     Rows of equal id and text are changed alike. Null and empty texts stay.
     """
     scanned = scan_secrets(docs, text_col, id_col, owner_col, **limits)
-    live = F.transform(F.filter("found", lambda s: s["class"] == "live"), lambda s: F.struct(
-        (s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end")))
-    cuts = cut_lineage(scanned.withColumn("_cuts", F.array_sort(F.array_distinct(live))).where("size(_cuts) > 0")
+    live = F.filter("marks", is_kind("live"))
+    cuts = cut_lineage(scanned.withColumn("_cuts", live).where("size(_cuts) > 0")
                        .select(F.col(f"`{id_col}`").alias("_cut_id"), F.col("_text_hash").alias("_cut_hash"),
                                F.col("_text_bytes").alias("_cut_bytes"), "_cuts")
                        .dropDuplicates(["_cut_id", "_cut_hash", "_cut_bytes"]))
@@ -146,17 +175,30 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owne
     h, n = text_key(text)
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("_cut_id")) & (h == F.col("_cut_hash")) & (n == F.col("_cut_bytes"))
     joined = docs.join(cuts, same, "left").drop("_cut_id", "_cut_hash", "_cut_bytes")
-    # Spans may overlap (a hex run inside an assignment): each adds what lies beyond the last end.
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def add(acc, s):
-        gap = F.greatest(s["start"] - acc["at"], F.lit(0))
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap),
-                                 F.when(s["start"] >= acc["at"], mark).otherwise("")).alias("out"),
-                        F.greatest(s["end"], acc["at"]).alias("at"))
+    def end_of(at, block):
+        return F.greatest(at, F.array_max(F.transform(block, lambda s: s["end"])))
 
-    cut = F.aggregate("_cuts", zero, add,
-                      lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    # Spans may overlap (a hex run inside an assignment): each adds what lies beyond the last end.
+    def masked(z):
+        def add(acc, s):
+            gap = F.greatest(s["start"] - acc["at"], F.lit(0))
+            return F.struct(F.concat(acc["out"], F.substring(z["part"], acc["at"] - z["at"] + 1, gap),
+                                     F.when(s["start"] >= acc["at"], mark).otherwise("")).alias("out"),
+                            F.greatest(s["end"], acc["at"]).alias("at"))
+
+        zero = F.struct(F.lit("").alias("out"), z["at"].alias("at"))
+        return F.aggregate(z["block"], zero, add, lambda acc: acc["out"])
+
+    # The text is cut by blocks of spans first, so no span searches the whole text.
+    placed = F.transform(F.transform(F.array("_cuts"), _blocks), lambda bs: F.arrays_zip(
+        bs.alias("block"), _running(bs, end_of).alias("at")))
+    placed = F.flatten(placed.cast("array<array<struct<block:array<struct<start:int,rank:int,end:int>>,at:int>>>"))
+    parts = F.transform(placed, lambda z: F.struct(
+        z["block"].alias("block"), z["at"].alias("at"),
+        F.substring(text, z["at"] + 1, end_of(z["at"], z["block"]) - z["at"]).alias("part")))
+    rest = F.array_max(F.transform("_cuts", lambda s: s["end"]))
+    cut = F.concat(F.array_join(F.transform(parts, masked), ""), F.substring(text, rest + 1, F.length(text)))
     changed = F.when(F.col("_cuts").isNotNull(), cut).otherwise(text)
     out = joined.withColumn("_new", changed)
     cols = []

@@ -61,3 +61,14 @@ def test_no_python(spark):
     df = spark.createDataFrame([(1, "token=abcdef1", "s")], "doc_id long, text string, source string")
     plan = ss.scan_secrets(df)._jdf.queryExecution().toString() + ss.redact(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_text_with_very_many_secrets(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, " ".join(f"{i * 2654435761 % 2**64:032x}" for i in range(n)), "s", 5)],
+                               "doc_id long, text string, source string, n_chars long")
+    got = ss.scan_secrets(df).first()
+    assert [(s["start"], s["end"]) for s in got["found"]] == [(33 * i, 33 * i + 32) for i in range(n)]
+    live = {s["start"] for s in got["marks"]}
+    want = " ".join("[SECRET]" if 33 * i in live else w for i, w in enumerate(df.first()["text"].split(" ")))
+    assert len(live) > n // 2 and ss.redact(df).first()["text"] == want
