@@ -115,9 +115,8 @@ def reading_alerts(readings: DataFrame, settings: DataFrame) -> DataFrame:
 
 def pump_alerts(readings: DataFrame, settings: DataFrame) -> DataFrame:
     """W4 + W5 as alert rows: pump start (rule 6/7) and pump running while
-    still dry for at least ``alert_dry_duration`` minutes (rule 8/9)."""
-    runs = pump_runs(readings)
-    runs = runs.crossJoin(F.broadcast(settings_row(settings).select("alert_dry_duration")))
+    still dry for at least the device's ``alert_dry_duration`` minutes (rule 8/9)."""
+    runs = with_settings(pump_runs(readings), settings)
     elapsed = minutes_between(F.col("run_start_ts"), F.col("ts"))
     plant = F.col("plant").cast("string")
     start = F.when(F.col("run_start"), F.struct(

@@ -180,9 +180,5 @@ def split_chronological(df: DataFrame, test_fraction: float = 0.2, keys=("device
     return j.withColumn("is_test", F.col("_pos") > F.col("_n") - n_test).drop("_pos", "_n")
 
 
-def label_counts(df: DataFrame, label: str = "target") -> DataFrame:
-    return df.groupBy(label).count()
-
-
 __all__ = ["features_schedule", "features_offline", "features_eval", "scaler_stats", "standardize",
            "split_stratified", "split_chronological", "SCHEDULE_FEATURES", "OFFLINE_FEATURES", "EVAL_FEATURES"]

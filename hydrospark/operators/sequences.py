@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydrospark.functions.columns import soil_value
 from hydrospark.operators.ordered import (
     BKT, DEVICE_ORDER, Order, drop_halo, prefix, with_carry, with_halo)
 from hydrospark.operators.reshape import unpivot_plants
@@ -324,7 +323,3 @@ def auto_pump_decision(samples: DataFrame, commands: DataFrame, water_threshold:
     out = _timeline(_event_stream(as_readings, commands), keep_commanded=True).filter(F.col("src") == 0)
     return out.select("device_id", "ts", F.col("event_id").alias("reading_id"), "manual_override",
                       F.col("pump1_state").alias("pump1"), F.col("pump2_state").alias("pump2"))
-
-
-def soil_numbers(df: DataFrame) -> DataFrame:
-    return df.withColumn("soil1_value", soil_value("soil1")).withColumn("soil2_value", soil_value("soil2"))

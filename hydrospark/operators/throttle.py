@@ -76,16 +76,16 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",))
                     | (us - F.col("_prev_us") >= F.lit(cooldown_seconds * 1_000_000))) \
         .drop("_s0", "_prev_us").checkpoint()
     nxt = next_after(numbered, keys, cooldown_seconds)
-    jump = nxt.select(*keys, "_seq", F.when(~F.col("_nxt_head"), F.col("_nxt")).alias("_j")).checkpoint()
+    # Only rows that jump inside their burst; each round keeps fewer.
+    jump = nxt.filter(~F.col("_nxt_head")).select(*keys, "_seq", F.col("_nxt").alias("_j")).checkpoint()
     kept = numbered.filter(F.col("_head")).select(*keys, "_seq")
-    while jump.filter(F.col("_j").isNotNull()).limit(1).count() > 0:
+    while not jump.isEmpty():
         # S(k+1) = S(k) + J(k)(S(k)); chains of different bursts are disjoint.
-        reached = kept.join(jump, [*keys, "_seq"]).filter(F.col("_j").isNotNull()) \
-            .select(*keys, F.col("_j").alias("_seq"))
-        kept = kept.unionByName(reached).checkpoint()
+        reached = kept.join(jump, [*keys, "_seq"]).select(*keys, F.col("_j").alias("_seq"))
+        kept = kept.unionByName(reached.checkpoint())  # only the newly reached rows are written
         # J(k+1)(x) = J(k)(J(k)(x))
         a, b = jump.alias("a"), jump.alias("b")
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._j") == F.col("b._seq")]
-        jump = a.join(b, cond, "left").select(*[F.col(f"a.{k}") for k in keys], F.col("a._seq"),
-                                              F.col("b._j").alias("_j")).checkpoint()
+        jump = a.join(b, cond).select(*[F.col(f"a.{k}") for k in keys], F.col("a._seq"),
+                                      F.col("b._j").alias("_j")).checkpoint()
     return numbered.join(kept, [*keys, "_seq"], "left_semi").drop("_seq", "_head")

@@ -16,7 +16,7 @@ _COUNT_COLS = ["total_pump1_time", "total_pump2_time", "water_warnings"]
 
 
 def dashboard(readings: DataFrame, as_of: Column, weather: DataFrame | None = None,
-              location: DataFrame | None = None) -> DataFrame:
+              location: DataFrame | None = None, model_available: bool | None = None) -> DataFrame:
     stats = daily_stats(readings, as_of)
     latest = latest_reading(readings).select(
         "device_id", display_ts(F.col("ts")).alias("latest_timestamp"),
@@ -37,4 +37,6 @@ def dashboard(readings: DataFrame, as_of: Column, weather: DataFrame | None = No
     if location is not None:
         loc = latest_location(location).select(F.struct(*location.columns).alias("location"))
         out = out.crossJoin(F.broadcast(loc))  # at most one row
+    if model_available is not None:
+        out = out.withColumn("model_available", F.lit(model_available))
     return out

@@ -8,6 +8,7 @@ entries), so no group grows with the data.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from hydrospark.operators.latest import best_hour
 from hydrospark.operators.stats import recent_averages
 from hydrospark.schemas import DEFAULT_PREDICTION_HOURS, RECENT_DEFAULTS
 
+log = logging.getLogger(__name__)
+
 
 def prediction_hours(setting: Column) -> Column:
     """Comma text -> hours; parts that are not digits are dropped; missing or
@@ -92,9 +95,11 @@ def forecast_features(grid: DataFrame, inputs: DataFrame, feature_names: list[st
 def score_hours(scored: DataFrame) -> DataFrame:
     """M15 + M16: P(ON) x 100 x max(0.6, 1 - 0.03 day), clamped to 0..100;
     confidence and recommendation from the unrounded value; probability
-    stored with 1 decimal."""
+    stored with 1 decimal. A cell that could not be scored (null ``p_on``)
+    gets 50.0, not recommended, low, whatever the day."""
     factor = F.greatest(F.lit(0.6), F.lit(1.0) - F.col("day_offset") * F.lit(0.03))
     raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("p_on") * F.lit(100.0) * factor))
+    raw = F.when(F.col("p_on").isNull(), F.lit(50.0)).otherwise(raw)
     return scored.withColumn("prob_raw", raw).select(
         "*", round_d(F.col("prob_raw"), 1).alias("probability"), (F.col("prob_raw") > 60).alias("recommended"),
         F.when(F.col("prob_raw") > 80, "high").when(F.col("prob_raw") > 60, "medium").otherwise("low")
@@ -147,9 +152,15 @@ def assemble_forecast(hours: DataFrame) -> DataFrame:
 
 
 def forecast(readings: DataFrame, as_of: Column, scorer: Callable[[DataFrame], DataFrame],
-             feature_names: list[str], hours_setting: Column | None = None, days: int = 7) -> DataFrame:
+             feature_names: list[str], hours_setting: Column | None = None, days: int = 7,
+             settings: DataFrame | None = None) -> DataFrame:
     """M18 end to end. ``scorer`` adds ``p_on`` to the feature grid (a fitted
-    model's ``transform`` or any other estimate)."""
+    model's ``transform`` or any other estimate). With ``settings`` whose
+    ``prediction_enabled`` is ``0`` the forecast is empty and the reason is
+    logged."""
+    if settings is not None and not prediction_enabled(settings):
+        log.warning("predictions are disabled in the settings: the forecast is empty")
+        readings = readings.limit(0)
     inputs = forecast_inputs(readings, as_of)
     grid = forecast_grid(inputs.select("device_id"), as_of, hours_setting, days)
     hours = score_hours(scorer(forecast_features(grid, inputs, feature_names)))
@@ -168,6 +179,14 @@ def forecast(readings: DataFrame, as_of: Column, scorer: Callable[[DataFrame], D
     return out
 
 
+def prediction_enabled(settings: DataFrame) -> bool:
+    """False only if the fleet-wide setting says ``0``; a missing one is on."""
+    if "device_id" in settings.columns:
+        settings = settings.where("device_id is null")
+    off = settings.where((F.col("key") == "prediction_enabled") & (F.col("value") == "0"))
+    return off.isEmpty()  # one row per key
+
+
 def hourly_frequency_scorer(readings: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A data-derived P(ON): share of the device's readings at that hour of
     day with a pump on (device-wide share if the hour was never seen, 0.5 for

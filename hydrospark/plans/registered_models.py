@@ -14,9 +14,10 @@ from hydrospark.operators.maintenance import retain_days
 from hydrospark.plans import forecast as FC
 from hydrospark.plans import training as TR
 from hydrospark.plans.dashboard import dashboard
+from hydrospark.plans.registered_rows import _WEATHER_PARSED_SQL
 from hydrospark.plans.registry import register
 from hydrospark.session import scratch_path
-from hydrospark.sources import legacy, testdata as td
+from hydrospark.sources import legacy, testdata as td, weather
 
 A = td.AS_OF_SQL
 R = td.readings
@@ -24,10 +25,14 @@ W = "PARTITION BY device_id ORDER BY ts, reading_id"
 PI2 = "(2 * pi())"
 
 
+WEATHER_CTES = _WEATHER_PARSED_SQL.strip().removeprefix("WITH").strip()
+
 # A2-A6 -------------------------------------------------------------------------------
 
 @register("dashboard", f"""
-WITH s AS (
+WITH {WEATHER_CTES},
+wl AS (SELECT * FROM wparsed ORDER BY ts DESC, id DESC LIMIT 1),
+s AS (
   SELECT device_id,
     COALESCE(ROUND(AVG(temperature), 2), 0.0) AS avg_temperature,
     COALESCE(ROUND(AVG(humidity), 2), 0.0) AS avg_humidity,
@@ -49,10 +54,17 @@ SELECT l.device_id, COALESCE(s.avg_temperature, 0.0) AS avg_temperature, COALESC
        COALESCE(s.water_warnings, 0) AS water_warnings,
        strftime(l.ts, '%Y-%m-%d %H:%M:%S') AS latest_timestamp, l.temperature AS latest_temperature,
        l.humidity AS latest_humidity, l.soil1 AS latest_soil1, l.soil2 AS latest_soil2, l.water AS latest_water,
-       l.pump1 AS latest_pump1, l.pump2 AS latest_pump2
-FROM l LEFT JOIN s USING (device_id)""")
+       l.pump1 AS latest_pump1, l.pump2 AS latest_pump2, wl.temperature AS weather_temperature,
+       wl.precipitation AS weather_precipitation, wl.rain_forecast <> 0 AS weather_rain_forecast,
+       wl.weather_description AS weather_description, wl.city AS location_city, true AS model_available
+FROM l LEFT JOIN s USING (device_id) LEFT JOIN wl ON true""")
 def q_dashboard(spark, sf):
-    return dashboard(R(spark, sf), td.as_of_lit())
+    w = weather.weather_rows(weather.weather_payloads_from_events(td.load(spark, sf, "events")))
+    loc = w.select("id", "ts", F.col("location_city").alias("city"))
+    d = dashboard(R(spark, sf), td.as_of_lit(), weather=w, location=loc, model_available=True)
+    return d.select("*", *[F.col(f"weather.{c}").alias(f"weather_{c}") for c in (
+        "temperature", "precipitation", "rain_forecast", "description")],
+        F.col("location.city").alias("location_city")).drop("weather", "location")
 
 
 RECENT_SQL = f"""
@@ -424,7 +436,8 @@ def q_append_training_log(spark, sf):
 @register("model_status")
 def q_model_status(spark, sf):
     return TR.model_status(_training_log(spark).unionByName(
-        TR.training_log_row(_trained(spark, sf).metrics, td.as_of_lit()).withColumn("id", F.lit(4).cast("long"))))
+        TR.training_log_row(_trained(spark, sf).metrics, td.as_of_lit()).withColumn("id", F.lit(4).cast("long"))),
+        len(FE.SCHEDULE_FEATURES))
 
 
 @register("forecast")
@@ -435,14 +448,6 @@ def q_forecast(spark, sf):
     return FC.save_forecast(fc, td.as_of_lit())
 
 
-@register("forecast_summary")
-def q_forecast_summary(spark, sf):
-    r = R(spark, sf)
-    fc = FC.forecast(r, td.as_of_lit(), FC.hourly_frequency_scorer(r), FE.SCHEDULE_FEATURES)
-    return FC.forecast_summary(fc).select("device_id", "prediction_count", F.array_join("prediction_days", ",")
-                                          .alias("prediction_days"), "first_day_avg")
-
-
 # Forecast with the hourly-frequency estimate (SQL) ----------
 
 _HOURS = [(i, h) for i, h in enumerate([6, 9, 12, 15, 18, 21])]
@@ -592,6 +597,16 @@ def q_forecast_csv_plain(spark, sf):
     return FC.forecast_csv_plain(_freq_forecast(spark, sf))
 
 
+@register("forecast_summary", f"""
+WITH {_HOURLY_SQL.strip()}
+SELECT device_id, COUNT(*) AS prediction_count, string_agg(date_s, ',' ORDER BY date_s) AS prediction_days,
+       arg_min(avg_probability, day_offset) AS first_day_avg
+FROM fc GROUP BY device_id""")
+def q_forecast_summary(spark, sf):
+    return FC.forecast_summary(_freq_forecast(spark, sf)).select(
+        "device_id", "prediction_count", F.array_join("prediction_days", ",").alias("prediction_days"), "first_day_avg")
+
+
 @register("retain_7_days", f"""
 SELECT event_id AS id, user_id AS device_id, ts FROM events
 WHERE event_type = 'purchase' AND ts >= {A} - INTERVAL 7 DAY""")

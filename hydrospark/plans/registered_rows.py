@@ -197,10 +197,21 @@ def q_trailing_window(spark, sf):
     return filters.trailing_window(R(spark, sf), td.as_of_lit(), 7)
 
 
-@register("complete_rows", """
-SELECT * FROM readings WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND soil1 IS NOT NULL AND soil2 IS NOT NULL""")
+# Readings with gaps: every filtered column is null in some rows.
+_GAPS = {"temperature": 11, "humidity": 13, "soil1": 17, "soil2": 19, "pump1": 23, "pump2": 29, "water": 31}
+_GAPS_SQL = "gaps AS (SELECT * REPLACE (" + ", ".join(
+    f"CASE WHEN reading_id % {n} <> 0 THEN {c} END AS {c}" for c, n in _GAPS.items()) + ") FROM readings)"
+
+
+def _gaps(spark, sf):
+    return R(spark, sf).withColumns({c: F.when(F.col("reading_id") % n != 0, F.col(c)) for c, n in _GAPS.items()})
+
+
+@register("complete_rows", f"""
+WITH {_GAPS_SQL}
+SELECT * FROM gaps WHERE temperature IS NOT NULL AND humidity IS NOT NULL AND soil1 IS NOT NULL AND soil2 IS NOT NULL""")
 def q_complete_rows(spark, sf):
-    return filters.complete_rows(R(spark, sf))
+    return filters.complete_rows(_gaps(spark, sf))
 
 
 @register("indicators", """
@@ -299,11 +310,42 @@ def q_first_n_chronological(spark, sf):
 
 # F7 ---------------------------------------------------------------------------------
 
-@register("nonnull_pump_filter", "SELECT * FROM readings WHERE pump1 IS NOT NULL AND pump2 IS NOT NULL")
+@register("nonnull_pump_filter", f"WITH {_GAPS_SQL} SELECT * FROM gaps WHERE pump1 IS NOT NULL AND pump2 IS NOT NULL")
 def q_nonnull_pump_filter(spark, sf):
-    return filters.nonnull_pumps(R(spark, sf))
+    return filters.nonnull_pumps(_gaps(spark, sf))
 
 
-@register("nonnull_water_filter", "SELECT * FROM readings WHERE water IS NOT NULL")
+@register("nonnull_water_filter", f"WITH {_GAPS_SQL} SELECT * FROM gaps WHERE water IS NOT NULL")
 def q_nonnull_water_filter(spark, sf):
-    return filters.nonnull_water(R(spark, sf))
+    return filters.nonnull_water(_gaps(spark, sf))
+
+
+# T6 / T13 with limits that bind, T8 ---------------------------------------------------
+
+@register("history_newest_5", """
+SELECT * FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY device_id ORDER BY ts DESC, reading_id DESC) AS INTEGER) AS rank
+  FROM readings)
+WHERE rank <= 5""")
+def q_history_newest_5(spark, sf):
+    return latest.history(R(spark, sf), limit=5)
+
+
+@register("first_10_chronological", """
+SELECT * FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY device_id ORDER BY ts, reading_id) AS INTEGER) AS rank FROM readings)
+WHERE rank <= 10""")
+def q_first_10_chronological(spark, sf):
+    return latest.first_n_chronological(R(spark, sf), n=10)
+
+
+@register("training_log_recent", """
+SELECT event_id AS id, ts, CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'success' END AS status, k AS samples_used
+FROM events_k WHERE event_type = 'signup' ORDER BY ts DESC, id DESC LIMIT 20""")
+def q_training_log_recent(spark, sf):
+    # A training attempt per ``signup`` event.
+    k = F.get_json_object("props", "$.k").cast("int")
+    log = td.load(spark, sf, "events").filter(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("id"), "ts", F.when(k % 4 == 0, "failed").otherwise("success").alias("status"),
+        k.alias("samples_used"))
+    return latest.training_log_recent(log, 20)

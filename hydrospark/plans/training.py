@@ -168,9 +168,10 @@ def training_log_row(metrics: DataFrame, ts) -> DataFrame:
                           "r2_score", "mse", F.col("samples_used").cast("int"), "status", "message")
 
 
-def model_status(training_log: DataFrame) -> DataFrame:
-    """Newest successful model: accuracy, r2, samples, trained_at,
-    feature count; zeros and 'Never' when there is none."""
+def model_status(training_log: DataFrame, feature_count: int = 0) -> DataFrame:
+    """Newest successful model: accuracy, r2, samples, trained_at and
+    ``feature_count`` (of the stored model, see ``save_model``); zeros and
+    'Never' when there is none."""
     ok = training_log.filter(F.col("status") == "success")
     best = ok.agg(F.max_by(F.struct("accuracy", "r2_score", "samples_used", "ts"), F.struct("ts", "id")).alias("m"))
     return best.select(
@@ -178,7 +179,8 @@ def model_status(training_log: DataFrame) -> DataFrame:
         F.coalesce("m.accuracy", F.lit(0.0)).alias("accuracy"),
         F.coalesce("m.r2_score", F.lit(0.0)).alias("r2_score"),
         F.coalesce("m.samples_used", F.lit(0)).alias("samples_used"),
-        F.coalesce(F.date_format("m.ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Never")).alias("last_trained"))
+        F.coalesce(F.date_format("m.ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Never")).alias("last_trained"),
+        F.when(F.col("m").isNotNull(), feature_count).otherwise(0).alias("feature_count"))
 
 
 def training_report(metrics: DataFrame, importance: DataFrame | None, trained_at: str) -> DataFrame:

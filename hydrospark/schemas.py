@@ -177,17 +177,9 @@ SOIL_WET_VALUE = 300
 DEFAULT_PREDICTION_HOURS = [6, 9, 12, 15, 18, 21]
 RECENT_DEFAULTS = {"avg_temperature": 25.0, "avg_humidity": 60.0,
                    "soil1_dry_ratio": 0.5, "soil2_dry_ratio": 0.5}
-COMMAND_CONTEXT_DEFAULTS = {"temperature": 25.0, "humidity": 60.0, "soil1": "DRY",
-                            "soil2": "DRY", "water": "AVAILABLE"}
-
-# Device firmware constant: analog water level at or above this counts as available.
-WATER_THRESHOLD = 250
 
 # Export headers of the readings CSV, in column order.
 READINGS_CSV_HEADERS = ["ID", "Timestamp", "Temperature (°C)", "Humidity (%)",
                         "Soil1 Status", "Soil2 Status", "Water Level",
                         "Pump1 Status", "Pump2 Status", "Pump1 Duration (s)",
                         "Pump2 Duration (s)", "Manual Override"]
-
-# Health recommendation priorities, in sort order.
-PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from hydrospark.operators import latest
 from hydrospark.operators.features import SCHEDULE_FEATURES
+from hydrospark.operators.alerts import settings_table
 from hydrospark.plans import forecast as FC
+from hydrospark.plans.training import model_status
 from hydrospark.plans.dashboard import dashboard
 from hydrospark.sources import testdata as td, weather
 
@@ -54,3 +56,27 @@ def test_dashboard_with_weather_and_status_defaults(spark):
     ghost = st[10**9]
     assert (ghost["pump1_state"], ghost["pump2_state"], ghost["manual_override"], ghost["auto_mode"]) == \
         ("OFF", "OFF", False, True)
+
+
+def test_cell_without_score(spark):
+    cells = spark.createDataFrame([(6, None), (6, 0.9), (0, 0.9)], "day_offset int, p_on double")
+    got = [(r["probability"], r["recommended"], r["confidence"]) for r in FC.score_hours(cells).collect()]
+    assert got == [(50.0, False, "low"), (73.8, True, "medium"), (90.0, True, "high")]
+
+
+def test_disabled_predictions(spark):
+    r = td.readings(spark, SF)
+    off = settings_table(spark, {"prediction_enabled": "0"})
+    args = (r, td.as_of_lit(), FC.hourly_frequency_scorer(r), SCHEDULE_FEATURES)
+    assert FC.forecast(*args, settings=off).isEmpty()
+    assert not FC.forecast(*args, settings=settings_table(spark, {})).isEmpty()
+    assert FC.prediction_enabled(off.where("key <> 'prediction_enabled'"))
+
+
+def test_model_status_feature_count(spark):
+    schema = "id long, ts timestamp_ntz, accuracy double, r2_score double, samples_used int, status string"
+    log = spark.sql("SELECT 1L AS id, TIMESTAMP_NTZ'2024-01-01' AS ts, 0.9D AS accuracy, 0.5D AS r2_score, "
+                    "60 AS samples_used, 'success' AS status")
+    assert model_status(log, 23).first()["feature_count"] == 23
+    none = model_status(spark.createDataFrame([], schema), 23).first()
+    assert (none["model_exists"], none["last_trained"], none["feature_count"]) == (False, "Never", 0)

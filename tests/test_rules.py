@@ -180,6 +180,15 @@ def test_pump_alerts_and_manual_rows(spark):
     assert msg == "Plant 1 pump has been running for 5.0 minutes but soil is still DRY! Check for issues."
 
 
+def test_dry_duration_by_device(spark):
+    data = [reading(i, m, soil1="DRY", pump1="ON", d1=60, device=d)
+            for i, (d, m) in enumerate([(1, 0), (1, 3), (1, 8), (2, 0), (2, 3), (2, 8)])]
+    base = AL.settings_table(spark).select(F.lit(None).cast("long").alias("device_id"), "key", "value")
+    own = spark.createDataFrame([(1, "alert_dry_duration", "2")], "device_id long, key string, value string")
+    a = AL.pump_alerts(frame(spark, data), base.unionByName(own)).where("type = 'pump1_still_dry'")
+    assert sorted((r["device_id"], r["reading_id"]) for r in a.collect()) == [(1, 1), (1, 2), (2, 5)]
+
+
 def test_rule_thresholds_are_strict(spark):
     data = [reading(1, 0, temp=35.0, hum=30.0), reading(2, 1, temp=35.5, hum=29.5, water="NOT AVAILABLE")]
     a = AL.reading_alerts(frame(spark, data), AL.settings_table(spark))
