@@ -162,7 +162,20 @@ def op6(spark, sf_dir):
                       decontaminate.is_contaminated().alias("contaminated"))
 
 
-@_register("op7_warc")
+_OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS x FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY x, n) AS keep FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       translate(array_to_string([to_base(('0x' || x[i:i + 4])::BIGINT, 32, 4) FOR i IN range(1, 41, 5)], ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM k
+"""
+
+
+@_register("op7_warc", _OP7)
 def op7(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     token = warc.write_archive(_table(spark, sf_dir, "pages"), path)
