@@ -62,8 +62,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into bins."""
-    text = F.col("text")
-    return packing.pack(docs, packing.byte_tokens(text), packing.copy_cluster(text))
+    return packing.pack_texts(docs)
 
 
 STAGES = [

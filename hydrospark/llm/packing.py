@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.llm.common import cut_lineage
+from hydrospark.llm.near_copies import near_copy_clusters
 
 CAPACITY = 8192
 
@@ -139,6 +140,20 @@ def byte_tokens(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 
 
+def _normal(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+
+
 def copy_cluster(text: Column) -> Column:
     """Cluster of texts that are equal up to letter case and white space."""
-    return F.xxhash64(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")))
+    return F.xxhash64(_normal(text))
+
+
+def pack_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
+               **limits) -> DataFrame:
+    """``pack`` in bytes, with the near copies among the texts (exact ones
+    included) as the duplicate clusters."""
+    text = F.col(f"`{text_col}`")
+    carry = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), byte_tokens(text).alias("n")]
+    rows = near_copy_clusters(docs.where(byte_tokens(text) > 0), copy_cluster(text), _normal(text), carry)
+    return pack(rows, F.col("n"), F.col("cluster"), **limits)

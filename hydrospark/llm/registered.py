@@ -194,8 +194,7 @@ def op8(spark, sf_dir):
 
 @_register("op9_packing")
 def op9(spark, sf_dir):
-    text = F.col("text")
-    return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_tokens(text), packing.copy_cluster(text))
+    return packing.pack_texts(_table(spark, sf_dir, "documents"))
 
 
 _OP10 = """

@@ -61,3 +61,22 @@ def test_repeated_rows_and_null_ids(spark):
                                "doc_id long, text string, source string")
     out = pk.pack(df, pk.byte_tokens(F.col("text")), pk.copy_cluster(F.col("text")), capacity=10).collect()
     assert sorted(sorted(map(str, b["doc_ids"])) for b in out) == [["1"], ["1", "None"]]
+
+
+def test_near_copies_share_no_bin(spark):
+    r = random.Random(3)
+    rows, i = [], 0
+    for _ in range(40):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+        for _ in range(3):
+            edited = list(words)
+            edited[r.randint(0, 119)] = "edited"
+            rows.append((i, " ".join(edited), f"s{i}"))
+            i += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = pk.pack_texts(df, capacity=4000).collect()
+    assert sorted(d for b in out for d in b["doc_ids"]) == list(range(120))
+    assert any(len(b["doc_ids"]) > 2 for b in out)
+    for b in out:
+        groups = [d // 3 for d in b["doc_ids"]]
+        assert len(set(groups)) == len(groups)
