@@ -104,7 +104,8 @@ def pack(docs: DataFrame, length: Column, cluster: Column, id_col: str = "doc_id
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), length.cast("long").alias("n"),
                        F.col(f"`{source_col}`").cast("string").alias("source"), cluster.cast("long").alias("cluster"))
-    rows = cut_lineage(rows.where("n > 0"))
+    # Numbered, as ids may repeat or be null: the number deals a row's pieces, not its id.
+    rows = cut_lineage(rows.where("n > 0").withColumn("row", F.monotonically_increasing_id()))
     starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))
     pieces = rows.withColumn("start", F.explode(starts)).withColumn(
         "len", F.least(F.lit(capacity), F.col("n") - F.col("start")))
@@ -115,7 +116,7 @@ def pack(docs: DataFrame, length: Column, cluster: Column, id_col: str = "doc_id
     rest = pieces.where(F.col("len") < capacity)
     shards = max(1, -(-rest.count() // shard_rows))
     rest = rest.select("doc", "start", "len", "source", "cluster",
-                       F.pmod(F.xxhash64("doc", "start", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
+                       F.pmod(F.xxhash64("row", "start", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["len", "doc", "start", "source", "cluster"], ascending=[False, True, True, True, True],

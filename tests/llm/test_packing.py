@@ -80,3 +80,13 @@ def test_near_copies_share_no_bin(spark):
     for b in out:
         groups = [d // 3 for d in b["doc_ids"]]
         assert len(set(groups)) == len(groups)
+
+
+def test_rows_of_one_id_are_dealt_over_shards(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"s{i}") for i in range(4000)], "doc_id long, source string")
+    out = pk.pack(df, F.lit(1), F.lit(None), capacity=10, shard_rows=100).collect()
+    pieces = {}
+    for b in out:
+        shard = b["bin_id"].split(":")[0]
+        pieces[shard] = pieces.get(shard, 0) + len(b["doc_ids"])
+    assert sum(pieces.values()) == 4000 and len(pieces) == 40 and max(pieces.values()) < 200
