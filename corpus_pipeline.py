@@ -57,7 +57,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; live-looking credentials are masked in the text and
     ``n_chars`` follows."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, thorough=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,20 @@ def _live_looking(value: Column) -> Column:
     return value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
+def _secret_shaped(value: Column, rank: Column) -> Column:
+    """Access keys and hex runs by their shape alone; an assigned value if its
+    characters have at least half the entropy that its length allows."""
+    n = F.length(value)
+
+    def entropy(chars):
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - (
+            F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
+
+    # Bound once, as the element of a one-element array.
+    bits = F.get(F.transform(F.array(F.split(value, "")), entropy), F.lit(0))
+    return (rank != KINDS.index("assign")) | (bits >= F.log2(n) / 2)
+
+
 def ownership(candidates: DataFrame) -> DataFrame:
     """``n_owners`` and ``n_repos`` per ``hash`` from rows (hash, owner, repo).
 
@@ -98,7 +112,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source",
-                 repo_col: str | None = None, min_owners: int = 3, min_repos: int = 3) -> DataFrame:
+                 repo_col: str | None = None, min_owners: int = 3, min_repos: int = 3,
+                 thorough: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``_text_hash``/``_text_bytes``,
     ``found``: array of (start, rank, end, value, n_owners, n_repos, class),
     by start, then kind, and ``marks``: the different (start, rank, end) of
@@ -106,7 +121,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     ``class`` is ``copied`` for a value with at least ``min_owners`` owners in
     at least ``min_repos`` repositories, else ``live`` if it looks random, else
-    null. A repository is (owner, ``repo_col``), by default the document.
+    null. A repository is (owner, ``repo_col``), by default the document. With
+    ``thorough`` all texts that are equal are one repository, whatever their
+    owners, and a value looks random by its kind (``_secret_shaped``).
 
     Null texts count as empty. A null owner is an owner of its own, and so is a
     null repository. Repeated rows are scanned each; equal (owner, repository)
@@ -122,8 +139,13 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     hits = base.select("_row", "owner", "repo", F.explode("spans").alias("s")).select(
         "_row", "owner", "repo", "s.*", F.sha2("s.value", 256).alias("hash"))
     seen = ownership(hits)
+    if thorough:
+        texts = hits.join(base.select("_row", "_text_hash", "_text_bytes"), "_row").select(
+            "hash", F.concat_ws(":", "_text_hash", "_text_bytes").alias("owner"), F.lit("").alias("repo"))
+        seen = seen.drop("n_repos").join(ownership(texts).select("hash", F.col("n_owners").alias("n_repos")), "hash")
+    random = _secret_shaped(F.col("value"), F.col("rank")) if thorough else _live_looking(F.col("value"))
     cls = (F.when((F.col("n_owners") >= min_owners) & (F.col("n_repos") >= min_repos), "copied")
-           .when(_live_looking(F.col("value")), "live"))
+           .when(random, "live"))
     mark = F.when(F.col("class").isNotNull(), F.struct(
         (F.col("end") - F.length("value")).alias("start"),
         F.when(F.col("class") == "copied", KINDS.index("copied")).otherwise(KINDS.index("live")).alias("rank"),
