@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the driver tables, with their SQL where it exists."""
+"""Queries op1 to op13 over the driver tables, with their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.llm import (chat, decontaminate, embed_dedup, language_id, licenses, packing, quality, secret_scan,
-                            simhash, warc)
+                            sharding, simhash, warc)
 from hydrospark.llm.common import held_out
 from hydrospark.session import checkpoint_dir
 
@@ -214,3 +214,52 @@ FROM v JOIN comp USING (r) LEFT JOIN n USING (r)
 @_register("op10_embedding_dedup", _OP10)
 def op10(spark, sf_dir):
     return embed_dedup.embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
+def _crc32_sql(data: str) -> str:
+    """Unsigned CRC-32 of a BLOB (polynomial 0xEDB88320, reflected), byte by byte;
+    the query reads crc_table."""
+    return f"""xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({data}), '..'), lambda b: ('0x' || b)::BIGINT)),
+        lambda crc, b: xor(crc >> 8, tab[xor(crc & 255, b) + 1])))"""
+
+
+_CRC_TABLE = """crc_bits AS (
+  SELECT i, 0 AS k, i AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM crc_bits WHERE k = 8)"""
+
+
+def _feistel_sql(x: str, bits: str, keys: list[int]) -> str:
+    """A permuted position as nested selects, a level a round."""
+    sql = f"SELECT {x} >> {bits} AS l, {x} & ((1::BIGINT << {bits}) - 1) AS r"
+    for key in keys:
+        sql = (f"SELECT r AS l, xor(l, xor(c, c >> 15) & ((1::BIGINT << {bits}) - 1)) AS r FROM (SELECT *, "
+               f"(xor(b, b >> 15) * {0x45D9F3B}) & 2147483647 AS c FROM (SELECT *, "
+               f"(xor(a, a >> 15) * {0x45D9F3B}) & 2147483647 AS b FROM (SELECT *, xor(r, {key}) AS a FROM ({sql}))))")
+    return f"(SELECT (l << {bits}) | r FROM ({sql}))"
+
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc32_sql("encode(coalesce(text, ''))")} AS crc
+      FROM documents, crc_table),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, crc) - 1 AS rn FROM d),
+n AS (SELECT n, (SELECT min(b) FROM range(1, 32) t(b) WHERE (1::BIGINT << (2 * b)::INT) >= n) AS h
+      FROM (SELECT count(*) AS n FROM d)),
+walk AS (SELECT rn, {_feistel_sql('rn', 'h', sharding.round_keys(0))} AS p FROM r, n
+         UNION ALL SELECT rn, {_feistel_sql('p', 'h', sharding.round_keys(0))} FROM walk, n WHERE p >= n)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (p % 8)::INT AS shard, (p // 8)::BIGINT AS slot,
+       NULL::INT AS grown_shard
+FROM r JOIN (SELECT rn, p FROM walk, n WHERE p < n) USING (rn)
+"""
+
+
+@_register("op11_sharding", _OP11)
+def op11(spark, sf_dir):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.shard_rows(docs, ["doc_id", "size", "text_crc32"], shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
