@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.llm import (chat, decontaminate, embed_dedup, language_id, licenses, packing, quality, secret_scan,
-                            sharding, simhash, warc)
+from hydrospark.llm import (alignment, chat, decontaminate, embed_dedup, language_id, licenses, packing, quality,
+                            secret_scan, sharding, simhash, warc)
 from hydrospark.llm.common import held_out
 from hydrospark.session import checkpoint_dir
 
@@ -263,3 +263,10 @@ def op11(spark, sf_dir):
     out = sharding.shard_rows(docs, ["doc_id", "size", "text_crc32"], shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_register("op12_alignment")
+def op12(spark, sf_dir):
+    out = alignment.align_corpus(_table(spark, sf_dir, "documents"), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.col("groups").alias("groups_sha256"))
