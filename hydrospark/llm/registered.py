@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.llm import (alignment, chat, decontaminate, embed_dedup, language_id, licenses, packing, quality,
-                            secret_scan, sharding, simhash, warc)
+                            prefix_trie, secret_scan, sharding, simhash, warc)
 from hydrospark.llm.common import held_out
 from hydrospark.session import checkpoint_dir
 
@@ -270,3 +270,35 @@ def op12(spark, sf_dir):
     out = alignment.align_corpus(_table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                       F.col("groups").alias("groups_sha256"))
+
+
+_OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, role, text
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {_crc32_sql("encode(conv_id::VARCHAR)")} % 4 AS h
+      FROM t, crc_table GROUP BY conv_id, tab),
+b AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS taken FROM c LEFT JOIN c o ON o.conv_id = c.base),
+s AS (SELECT b.conv_id, t.pos + 1 AS d, role, text FROM b JOIN t ON t.conv_id = b.base AND t.pos < taken
+      UNION ALL SELECT b.conv_id, taken + t.pos - h + 1, role, text FROM b JOIN t ON t.conv_id = b.conv_id AND t.pos >= h),
+p AS (SELECT b.conv_id, coalesce(list((role, text) ORDER BY d) FILTER (d IS NOT NULL), []) AS turns
+      FROM b LEFT JOIN s ON s.conv_id = b.conv_id GROUP BY b.conv_id),
+m AS (SELECT conv_id, len(turns) AS n, d, turns[1:d] AS pre
+      FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM p)),
+v AS (SELECT d, pre, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends,
+             CASE WHEN d > 0 THEN len(regexp_extract_all(pre[d][2], '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words
+      FROM m GROUP BY d, pre),
+k AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+f AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (d, pre)),
+a AS (SELECT e AS d, pre[1:e] AS pre, sum((n_convs - 1) * words) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(d + 1)) AS e FROM f) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves,
+       a.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN a USING (d, pre) LEFT JOIN v u ON u.d = f.d - 1 AND u.pre = f.pre[1:f.d - 1]
+"""
+
+
+@_register("op13_prefix_trie", _OP13)
+def op13(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
