@@ -28,7 +28,7 @@ from hydrospark.session import checkpoint_dir
 
 # Windows of more ids than this are aligned without the memo.
 MEMO_WINDOW = 64
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 
 PASS_SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
                "pairs array<long>, times array<int>")
@@ -96,74 +96,65 @@ def public_tokenizers_a_b(folder: str | None = None):
     return ByteBpe(at("byte_bpe_50k.json"), public.PATTERN), PieceBpe(at("piece_bpe_32k.model"))
 
 
-def window_groups(a: tuple, b: tuple, len_a, len_b) -> tuple[str, int, list[int]]:
-    """The groups of a window as text (`a1,a2|b1;a3|b2,b3`), their number, and
-    the linked pairs as ``a << 32 | b``. Both sides have the same bytes."""
-    groups, pairs = [], []
-    i = j = i0 = j0 = 0
-    ea, eb = len_a[a[0]], len_b[b[0]]
-    while True:
-        if ea == eb:
-            groups.append(f"{','.join(map(str, a[i0:i + 1]))}|{','.join(map(str, b[j0:j + 1]))}")
-            pairs.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), len(groups), pairs
-            i0, j0, ea, eb = i, j, ea + len_a[a[i]], eb + len_b[b[j]]
-        elif ea < eb:
-            i += 1
-            ea += len_a[a[i]]
-        else:
-            j += 1
-            eb += len_b[b[j]]
-
-
 class Aligner:
     """Aligns texts one by one; holds the vocabularies and the memo of a task."""
 
     def __init__(self, a, b):
         self.a, self.b = a, b
-        self.len_a, self.len_b = [len(x) for x in a.bytes_of], [len(x) for x in b.bytes_of]
-        self._np_len_a, self._np_len_b = np.array(self.len_a), np.array(self.len_b)
-        self._space_a = np.array([x[:1] == b" " for x in a.bytes_of])
-        self._space_b = np.array([x[:1] == b" " for x in b.bytes_of])
-        self._memo: dict[tuple, tuple] = {}
-
-    def _window(self, key):
-        if len(key[0]) > MEMO_WINDOW:
-            return window_groups(*key, self.len_a, self.len_b)
-        found = self._memo.get(key)
-        if found is None:
-            if len(self._memo) >= MEMO_ENTRIES:
-                self._memo.clear()
-            found = self._memo[key] = window_groups(*key, self.len_a, self.len_b)
-        return found
+        self._len_a, self._len_b = (np.array([len(x) for x in t.bytes_of]) for t in (a, b))
+        self._space_a, self._space_b = (np.array([x[:1] == b" " for x in t.bytes_of]) for t in (a, b))
+        self._name_a, self._name_b = ([str(i) for i in range(len(t.bytes_of))] for t in (a, b))
+        self._memo: dict[tuple[bytes, bytes], str] = {}
+
+    def _groups(self, a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
+        """The groups of a window (`a1,a2|b1;a3|b2,b3`) whose shared ends lie
+        after these numbers of its ids."""
+        name_a, name_b = self._name_a, self._name_b
+        out, i, j = [], 0, 0
+        for x, y in ends:
+            if x - i == 1 and y - j == 1:
+                out.append(f"{name_a[a[i]]}|{name_b[b[j]]}")
+            else:
+                out.append(f"{','.join([name_a[t] for t in a[i:x]])}|{','.join([name_b[t] for t in b[j:y]])}")
+            i, j = x, y
+        return ";".join(out)
 
     def align(self, data: bytes, a: list[int], b: list[int]):
-        """(groups, n_groups, linked pairs) of a text (with its leading space) and
-        its ids; None where the joined bytes of either side are not the text's."""
+        """(groups, n_groups, linked pairs as ``a << 32 | b``) of a text (with its
+        leading space) and its ids; None where the joined bytes of either side
+        are not the text's. A window's key are its ids on both sides, packed."""
         if not a or not b or b"".join(map(self.a.bytes_of.__getitem__, a)) != data \
                 or b"".join(map(self.b.bytes_of.__getitem__, b)) != data:
             return None
-        ids_a, ids_b = np.array(a), np.array(b)
-        ends_a, ends_b = self._np_len_a[ids_a].cumsum(), self._np_len_b[ids_b].cumsum()
-        # Tokens without bytes end where the one before ended; neither vocabulary emits any.
+        ids_a, ids_b = np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)
+        ends_a, ends_b = self._len_a[ids_a].cumsum(), self._len_b[ids_b].cumsum()
+        # No token is without bytes, so at most one token of a side ends at a place.
         marks = np.zeros(len(data) + 1, dtype=bool)
         marks[ends_a] = True
-        shared_b = np.flatnonzero(marks[ends_b])[:-1]  # the last one is the end of the text
-        shared_a = np.searchsorted(ends_a, ends_b[shared_b])
-        anchor = self._space_a[ids_a[shared_a + 1]] & self._space_b[ids_b[shared_b + 1]]
-        cut_a = [*(shared_a[anchor] + 1).tolist(), len(a)]
-        cut_b = [*(shared_b[anchor] + 1).tolist(), len(b)]
-        texts, pairs, n_groups, i, j = [], [], 0, 0, 0
-        window = self._window
-        for ia, jb in zip(cut_a, cut_b):
-            text, n, linked = window((tuple(a[i:ia]), tuple(b[j:jb])))
+        last_b = np.flatnonzero(marks[ends_b])
+        last_a = np.searchsorted(ends_a, ends_b[last_b])
+        pairs = ids_a[last_a].astype(np.int64) << 32 | ids_b[last_b]
+        after_a, after_b = last_a[:-1] + 1, last_b[:-1] + 1  # the last one is the end of the text
+        anchors = np.flatnonzero(self._space_a[ids_a[after_a]] & self._space_b[ids_b[after_b]])
+        cuts = zip([*after_a[anchors].tolist(), len(a)], [*after_b[anchors].tolist(), len(b)],
+                   [*(anchors + 1).tolist(), len(last_b)])
+        packed_a, packed_b = ids_a.tobytes(), ids_b.tobytes()
+        shared_a, shared_b = (last_a + 1).tolist(), (last_b + 1).tolist()
+        memo, found = self._memo, self._memo.get
+        texts, i, j, k = [], 0, 0, 0
+        for ia, jb, kc in cuts:
+            key = packed_a[4 * i:4 * ia], packed_b[4 * j:4 * jb]
+            text = found(key)
+            if text is None:
+                text = self._groups(a[i:ia], b[j:jb],
+                                    [(x - i, y - j) for x, y in zip(shared_a[k:kc], shared_b[k:kc])])
+                if ia - i <= MEMO_WINDOW:
+                    if len(memo) >= MEMO_ENTRIES:
+                        memo.clear()
+                    memo[key] = text
             texts.append(text)
-            pairs.extend(linked)
-            n_groups += n
-            i, j = ia, jb
-        return ";".join(texts), n_groups, pairs
+            i, j, k = ia, jb, kc
+        return ";".join(texts), len(last_b), pairs
 
 
 def align_rows(docs: DataFrame, load=public_tokenizers_a_b, digest: bool = False, text_col: str = "text",
@@ -194,7 +185,7 @@ def align_rows(docs: DataFrame, load=public_tokenizers_a_b, digest: bool = False
                     if found is None:
                         continue
                     groups, n_groups, linked = found
-                    pairs, times = np.unique(np.array(linked, dtype=np.int64), return_counts=True)
+                    pairs, times = np.unique(linked, return_counts=True)
                     row = (len(a), len(b), n_groups, len(linked),
                            hashlib.sha256(groups.encode()).hexdigest() if digest else groups, pairs, times)
                     for column, value in zip(out, row):
