@@ -113,26 +113,38 @@ def reading_alerts(readings: DataFrame, settings: DataFrame) -> DataFrame:
     return s.select("device_id", "reading_id", "ts", F.inline(F.filter(rules, lambda r: r.isNotNull())))
 
 
-def pump_alerts(readings: DataFrame, settings: DataFrame) -> DataFrame:
-    """W4 + W5 as alert rows: pump start (rule 6/7) and pump running while
-    still dry for at least the device's ``alert_dry_duration`` minutes (rule 8/9)."""
-    runs = with_settings(pump_runs(readings), settings)
+def run_alerts(runs: DataFrame) -> DataFrame:
+    """W4 + W5 as alert rows from ``pump_runs`` rows with settings: pump start
+    (rule 6/7) and pump running while still dry for at least the device's
+    ``alert_dry_duration`` minutes (rule 8/9). Rows of a stream with ``late`` set
+    make one row of type ``late_reading`` instead."""
+    streams = "late" in runs.columns
+    late = F.col("late") if streams else F.lit(False)
     elapsed = minutes_between(F.col("run_start_ts"), F.col("ts"))
     plant = F.col("plant").cast("string")
-    start = F.when(F.col("run_start"), F.struct(
+    start = F.when(F.col("run_start") & ~late, F.struct(
         (F.lit(5) + F.col("plant")).alias("rule_pos"), F.concat(F.lit("pump"), plant, F.lit("_start")).alias("type"),
         F.lit("info").alias("severity"),
         F.concat(F.lit("Plant "), plant, F.lit(" pump started automatically at "),
                  F.date_format("ts", "HH:mm:ss")).alias("message")))
-    dry = F.when((F.col("pump") == "ON") & (F.col("soil") == "DRY") & (elapsed >= F.col("alert_dry_duration")),
+    dry = F.when(~late & (F.col("pump") == "ON") & (F.col("soil") == "DRY") & (elapsed >= F.col("alert_dry_duration")),
                  F.struct((F.lit(7) + F.col("plant")).alias("rule_pos"),
                           F.concat(F.lit("pump"), plant, F.lit("_still_dry")).alias("type"),
                           F.lit("warning").alias("severity"),
                           F.concat(F.lit("Plant "), plant, F.lit(" pump has been running for "),
                                    F.format_string("%.1f", round_d(elapsed, 1)),
                                    F.lit(" minutes but soil is still DRY! Check for issues.")).alias("message")))
-    return runs.select("device_id", "reading_id", "ts",
-                       F.inline(F.filter(F.array(start, dry), lambda r: r.isNotNull())))
+    missed = F.when(late, F.struct(
+        F.col("plant").alias("rule_pos"), F.lit("late_reading").alias("type"), F.lit("info").alias("severity"),
+        F.concat(F.lit("Plant "), plant, F.lit(" reading arrived after a newer one")).alias("message")))
+    found = F.array(start, dry, missed) if streams else F.array(start, dry)
+    return runs.select("device_id", "reading_id", "ts", F.inline(F.filter(found, lambda r: r.isNotNull())),
+                       *(["late"] if streams else []))
+
+
+def pump_alerts(readings: DataFrame, settings: DataFrame) -> DataFrame:
+    """W4 + W5 as alert rows."""
+    return run_alerts(with_settings(pump_runs(readings), settings))
 
 
 def alerts_all(readings: DataFrame, settings: DataFrame) -> DataFrame:
@@ -159,10 +171,13 @@ def alert_enabled(alerts: DataFrame, settings: DataFrame, key: str = "severity")
     return j.filter(F.coalesce(F.col("_on"), F.lit(True))).drop("alert_key", "_on")
 
 
-def notifications(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
+def notifications(alerts: DataFrame, settings: DataFrame, key: str = "severity",
+                  stored: DataFrame | None = None) -> DataFrame:
     """Alerts that would be e-mailed. Gate on e-mail enabled with a
     recipient, then J4 on ``key``, then the greedy cooldown (W6) per
-    (device, key) with ``email_cooldown_minutes``."""
+    (device, key) with ``email_cooldown_minutes``. ``stored`` is the cooldown
+    table (device_id, alert_type, last_sent) of what was sent before; no alert
+    of ``alerts`` may be older than its entry."""
     cfg = settings_row(settings).select(
         ((F.col("email_enabled") == "1") & (F.coalesce(F.length("email_recipient"), F.lit(0)) > 0)).alias("_mail"),
         "email_cooldown_minutes")
@@ -170,5 +185,8 @@ def notifications(alerts: DataFrame, settings: DataFrame, key: str = "severity")
     if not row["_mail"]:
         return alerts.limit(0)
     enabled = alert_enabled(alerts, settings, key)
+    sent = None
+    if stored is not None:
+        sent = stored.select("device_id", F.col("alert_type").alias(key), F.col("last_sent").alias("ts"))
     return throttle(enabled, ["device_id", key], int(row["email_cooldown_minutes"]) * 60,
-                    order_cols=("ts", "reading_id", "rule_pos"))
+                    order_cols=("ts", "reading_id", "rule_pos"), sent=sent)

@@ -163,7 +163,7 @@ def valid_commands(commands: DataFrame) -> DataFrame:
     return c.filter(F.col("pump").isin("pump1", "pump2") & F.col("action").isin("ON", "OFF", "TOGGLE"))
 
 
-def _event_stream(readings: DataFrame, commands: DataFrame) -> DataFrame:
+def event_stream(readings: DataFrame, commands: DataFrame) -> DataFrame:
     """Telemetry rows (rank 0) and commands (rank 1) in one per-device stream."""
     tel = readings.select(
         "device_id", "ts", F.lit(0).alias("src"), F.col("reading_id").alias("event_id"),
@@ -256,7 +256,7 @@ def pump_state_timeline(readings: DataFrame, commands: DataFrame) -> DataFrame:
     Telemetry overwrites both states, ON/OFF commands set one, TOGGLE flips
     one; invalid commands are dropped; initial state OFF.
     """
-    ev = _timeline(_event_stream(readings, commands))
+    ev = _timeline(event_stream(readings, commands))
     return ev.select("device_id", "ts", F.when(F.col("src") == 0, "telemetry").otherwise("command").alias("source"),
                      "event_id", "pump", "action", "pump1_state", "pump2_state")
 
@@ -269,7 +269,7 @@ def command_context(readings: DataFrame, commands: DataFrame) -> DataFrame:
     nulls included; without such a reading 25.0, 60.0, DRY, DRY, AVAILABLE. Done as a carried last value on
     the merged stream (no range join).
     """
-    ev = _event_stream(readings, commands)
+    ev = event_stream(readings, commands)
     ctx = F.when(F.col("src") == 0, F.struct("temperature", "humidity", "soil1", "soil2", "water"))
     ev = prefix(ev, EVENT_ORDER, lasts={"ctx": ctx}).drop(BKT)
     cmd = ev.filter(F.col("src") == 1)
@@ -300,15 +300,9 @@ def manual_rows(readings: DataFrame, commands: DataFrame) -> DataFrame:
 
 # J5 ------------------------------------------------------------------------
 
-def auto_pump_decision(samples: DataFrame, commands: DataFrame, water_threshold: int = 250) -> DataFrame:
-    """The device rule. A sample with NaN/null temperature or humidity is
-    dropped. If a manual command arrived since the previous sample, the pumps
-    keep the commanded states; otherwise pump = soil dry and water level at or
-    above ``water_threshold``, and that decision becomes the new state.
-
-    ``samples``: device_id, ts, reading_id, temperature, humidity, soil1_dry,
-    soil2_dry (boolean), water_raw (int).
-    """
+def decision_events(samples: DataFrame, commands: DataFrame, water_threshold: int = 250) -> DataFrame:
+    """Samples, with what the device rule would set, and commands as one event
+    stream. Samples with NaN/null temperature or humidity are dropped."""
     ok = samples.filter(F.col("temperature").isNotNull() & F.col("humidity").isNotNull()
                         & ~F.isnan("temperature") & ~F.isnan("humidity"))
     water_ok = F.col("water_raw") >= water_threshold
@@ -319,7 +313,20 @@ def auto_pump_decision(samples: DataFrame, commands: DataFrame, water_threshold:
         F.when(water_ok, "AVAILABLE").otherwise("NOT AVAILABLE").alias("water"),
         F.when(F.col("soil1_dry") & water_ok, "ON").otherwise("OFF").alias("pump1"),
         F.when(F.col("soil2_dry") & water_ok, "ON").otherwise("OFF").alias("pump2"))
+    return event_stream(as_readings, commands)
+
+
+def auto_pump_decision(samples: DataFrame, commands: DataFrame, water_threshold: int = 250) -> DataFrame:
+    """The device rule. A sample with NaN/null temperature or humidity is
+    dropped. If a manual command arrived since the previous sample, the pumps
+    keep the commanded states; otherwise pump = soil dry and water level at or
+    above ``water_threshold``, and that decision becomes the new state.
+
+    ``samples``: device_id, ts, reading_id, temperature, humidity, soil1_dry,
+    soil2_dry (boolean), water_raw (int).
+    """
     # An overridden sample does not overwrite the commanded states.
-    out = _timeline(_event_stream(as_readings, commands), keep_commanded=True).filter(F.col("src") == 0)
+    events = decision_events(samples, commands, water_threshold)
+    out = _timeline(events, keep_commanded=True).filter(F.col("src") == 0)
     return out.select("device_id", "ts", F.col("event_id").alias("reading_id"), "manual_override",
                       F.col("pump1_state").alias("pump1"), F.col("pump2_state").alias("pump2"))

@@ -53,8 +53,11 @@ def next_after(alerts: DataFrame, keys, cooldown_seconds: int) -> DataFrame:
                                                 F.col("_nxt.seq").alias("_nxt"), F.col("_nxt.head").alias("_nxt_head"))
 
 
-def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",)) -> DataFrame:
-    """Rows of ``alerts`` kept by the greedy cooldown, per ``keys``.
+def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",),
+             sent: DataFrame | None = None) -> DataFrame:
+    """Rows of ``alerts`` kept by the greedy cooldown, per ``keys``. ``sent``
+    (keys, ts) holds the last alert kept before, at most as old as any row of its
+    key; a later alert within its cooldown is not kept.
 
     ``order_cols`` (starting with ``ts``) break ties among equal timestamps,
     e.g. reading id and rule position.
@@ -68,6 +71,14 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",))
     from hydrospark.session import checkpoint_dir
     checkpoint_dir(alerts.sparkSession)  # the shared folder named by spark.checkpoint.dir
     keys = list(keys)
+    if sent is not None:
+        # The stored alert is the first row of its key, so a burst head and kept.
+        earlier = sent.groupBy(*keys).agg(F.max("ts").alias("ts")).withColumn("_sent", F.lit(True))
+        both = alerts.withColumn("_sent", F.lit(False)).unionByName(earlier, allowMissingColumns=True)
+        # Ties with an alert of the same time: the stored one first.
+        both = both.withColumn("_after", F.when(F.col("_sent"), 0).otherwise(1))
+        order_cols = (order_cols[0], "_after", *order_cols[1:])
+        return throttle(both, keys, cooldown_seconds, order_cols).where("not _sent").drop("_sent", "_after")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     numbered = prefix(alerts, Order(keys=tuple(keys), order=tuple(order_cols), ts="ts"),
                       sums={"_s0": F.lit(1).cast("long")}, lasts={"_prev_us": us}, inclusive=False).drop(BKT)

@@ -51,6 +51,33 @@ def weather_rows(df: DataFrame) -> DataFrame:
                       F.col("lon").alias("location_lon"))
 
 
+def join_feeds(current: DataFrame, forecast: DataFrame, bound_minutes: int = 5) -> DataFrame:
+    """S8 from two landed feeds: current payloads (id, ts, city, lat, lon,
+    current_json) and forecast payloads (id, ts, city, lat, lon, forecast_json)
+    of the same place at most ``bound_minutes`` apart. ``feeds`` tells which side
+    a row has: ``both``, ``current`` (no forecast: ``rain_forecast`` is 0, as when
+    its request fails) or ``forecast`` (reported, no weather). A payload that
+    fits several of the other feed gives a row with each. Works on batches and,
+    with watermarks on both, on streams (an equi-join on the place, the bound
+    limits the state)."""
+    cur = parse_current_weather(current).select(
+        F.col("id").alias("id"), F.col("ts"), "city", "lat", "lon", "temperature", "humidity", "precipitation",
+        "weather_description", F.lit(True).alias("_cur"))
+    fc = forecast.select(F.col("id").alias("forecast_id"), F.col("ts").alias("forecast_ts"), F.col("city").alias("f_city"),
+                         F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"),
+                         rain_forecast(F.col("forecast_json")).alias("_rain"), F.lit(True).alias("_fc"))
+    bound = F.expr(f"INTERVAL {int(bound_minutes)} MINUTES")
+    same = ((F.col("city") == F.col("f_city")) & (F.col("lat") == F.col("f_lat")) & (F.col("lon") == F.col("f_lon"))
+            & (F.col("forecast_ts") >= F.col("ts") - bound) & (F.col("forecast_ts") <= F.col("ts") + bound))
+    j = cur.join(fc, same, "full_outer")
+    return j.select(
+        "id", "ts", "temperature", "humidity", "precipitation",
+        F.when(F.col("_cur"), F.coalesce("_rain", F.lit(0))).alias("rain_forecast"), "weather_description",
+        F.coalesce("city", "f_city").alias("location_city"), F.coalesce("lat", "f_lat").alias("location_lat"),
+        F.coalesce("lon", "f_lon").alias("location_lon"), "forecast_id", "forecast_ts",
+        F.when(F.col("_fc").isNull(), "current").when(F.col("_cur"), "both").otherwise("forecast").alias("feeds"))
+
+
 def weather_payloads_from_events(events: DataFrame) -> DataFrame:
     """Weather documents derived from ``view`` events (test input for S6-S8)."""
     k = F.get_json_object("props", "$.k").cast("int")

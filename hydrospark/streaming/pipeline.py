@@ -1,35 +1,37 @@
 """Structured Streaming wiring for the ⟳ operators.
 
-* Stateless parts (S1/S2 ingest, R1-R4 rules, J1 settings) are the batch
-  functions applied to a streaming DataFrame.
-* Stateful parts keep per-key state with ``applyInPandasWithState``:
-  W4/W5 per (device, plant): last pump state and the ts of the current run's
-  first ON; W6 per (device, key): ts of the last kept alert.
-* Rows of one key inside a micro-batch are sorted by (ts, id) before they are
-  folded, so results equal the batch operators when each device's rows
-  arrive in time order (event time = arrival time, as in the original). There
-  is no watermark: it is global, so one fast clock would silence every device
-  that buffers its rows. A key's state is a few numbers and there is one per
-  (device, plant) or (device, key), so the state is bounded by the devices.
-* A row older than the newest one already folded for its key cannot be folded
-  in order. It is never dropped silently: ``late_readings_stream`` and
-  ``late_alerts_stream`` return exactly those rows, for a batch replay.
+* Stateless parts (S1/S2 ingest, R1-R4 rules, J1 settings, alert texts) are the
+  batch functions applied to a streaming DataFrame.
+* Ordered parts (W4/W5 pump runs, W6 cooldown, W7 states, J5 decisions) are
+  folds per device of ``ordered_fold``: each device is judged by its own clock,
+  there is no global watermark, and a row that comes too late to be folded in
+  order leaves the same query with ``late`` set, for a batch replay.
+* S8 joins the two landed weather feeds with a bound on their distance.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from hydrospark.operators.alerts import reading_alerts, settings_row
-from hydrospark.operators.sequences import plant_rows
+from hydrospark.operators.alerts import alert_enabled, reading_alerts, run_alerts, settings_row, with_settings
+from hydrospark.operators.sequences import decision_events, event_stream, plant_rows
 from hydrospark.sources.ingest import ingest
+from hydrospark.sources.weather import join_feeds
+from hydrospark.streaming.ordered_fold import fold_stream, from_micros, micros
 
 ALERT_SCHEMA = ("device_id long, reading_id long, ts timestamp_ntz, rule_pos int, type string, "
                 "severity string, message string")
-_FLAGGED = ALERT_SCHEMA + ", late boolean"
+_RUN = ("plant int, reading_id long, ts long, soil string, pump string, run_start boolean, run_start_ts long")
+
+
+def payload_stream(spark: SparkSession, folder: str, schema, max_bytes: int = 8 << 30,
+                   max_files: int | None = None) -> DataFrame:
+    """Posted payloads landed as Parquet files. The bound (in bytes, or in files
+    if given) holds for a backfill too: a micro-batch never takes in more than
+    this, so no task holds more of a device than its share of it."""
+    bound = ("maxBytesPerTrigger", max_bytes) if max_files is None else ("maxFilesPerTrigger", max_files)
+    return spark.readStream.schema(schema).option(*bound).parquet(folder)
 
 
 def ingest_stream(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,120 +39,170 @@ def ingest_stream(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ingest(raw)
 
 
-def _pump_alerts_fn(dry_minutes: float):
-    # The state functions reference nothing from this package, so executors
-    # only need pandas to run them.
-    def fmt1(x: float) -> str:
-        # Round half away from zero on the binary value, like ``round_d``.
-        import math
-        v = math.floor(abs(x) * 10.0 + 0.5) / 10.0
-        return f"{math.copysign(v, x):.1f}"
-
-    def fn(key, pdfs, state):
-        device_id, plant = key
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
-            return
-        batch = batch.sort_values(["ts", "reading_id"], kind="mergesort")
-        last_pump, run_start, newest = (state.get if state.exists else (None, None, None))
-        ts_us = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        rows = []
-        for t_us, ts, rid, soil, pump in zip(ts_us, batch["ts"], batch["reading_id"], batch["soil"], batch["pump"]):
-            if newest is not None and t_us < newest:
-                rows.append((device_id, int(rid), ts, int(plant), "late_reading", "info",
-                             f"Plant {plant} reading arrived after a newer one", True))
-                continue
-            newest = int(t_us)
-            if pump == "ON":
-                if last_pump != "ON":  # rising edge: a new run starts here
-                    run_start = int(t_us)
-                    rows.append((device_id, int(rid), ts, 5 + int(plant), f"pump{plant}_start", "info",
-                                 f"Plant {plant} pump started automatically at {ts.strftime('%H:%M:%S')}", False))
-                elapsed = (t_us - run_start) / 60e6
-                if soil == "DRY" and elapsed >= dry_minutes:
-                    rows.append((device_id, int(rid), ts, 7 + int(plant), f"pump{plant}_still_dry", "warning",
-                                 f"Plant {plant} pump has been running for {fmt1(elapsed)} minutes but soil is "
-                                 f"still DRY! Check for issues.", False))
-            elif pump == "OFF":  # only an explicit OFF ends a run
-                run_start = None
-            if pump is not None:
-                last_pump = pump
-        state.update((last_pump, run_start, newest))
-        cols = ["device_id", "reading_id", "ts", "rule_pos", "type", "severity", "message", "late"]
-        yield pd.DataFrame(rows, columns=cols)
-    return fn
-
-
-def _pump_fold(readings: DataFrame, dry_minutes: float) -> DataFrame:
-    p = plant_rows(readings.filter(F.col("manual_override") == 0)) \
-        .select("device_id", "plant", "reading_id", "ts", "soil", "pump")
-    return p.groupBy("device_id", "plant").applyInPandasWithState(
-        _pump_alerts_fn(float(dry_minutes)), _FLAGGED, "last_pump string, run_start_us long, newest_us long", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def pump_alert_stream(readings: DataFrame, dry_minutes: float = 5.0) -> DataFrame:
-    """W4 + W5 on a stream of readings (device posts only)."""
-    return _pump_fold(readings, dry_minutes).filter(~F.col("late")).drop("late")
+def _run_step():
+    def step(state, row):
+        last, start = state or (None, None)
+        pump, rises = row.get("pump"), False
+        if pump == "ON":
+            rises = last != "ON"
+            if rises:
+                start = row["ts"]
+        elif pump == "OFF":  # only an explicit OFF ends a run
+            start = None
+        if pump is not None:
+            last = pump
+        made = {**row, "run_start": rises, "run_start_ts": start if pump == "ON" else None}
+        return [last, start], [made]
+    return step
+
+
+def pump_runs_stream(readings: DataFrame, wait_seconds: float = 0, idle_seconds: float | None = None) -> DataFrame:
+    """``operators.sequences.pump_runs`` on a stream: every device-posted plant
+    row once, with ``run_start`` and ``run_start_ts``, or with ``late`` set and
+    not folded."""
+    p = plant_rows(readings.filter(F.col("manual_override") == 0)).select(
+        "device_id", F.col("plant").cast("int").alias("plant"), "reading_id", "ts", "soil", "pump")
+    out = fold_stream(p, ["device_id", "plant"], [micros(F.col("ts")), F.col("reading_id")], _run_step(), _RUN,
+                      wait_seconds, idle_seconds)
+
+    def of(c):
+        return F.coalesce(F.col(f"out.{c}"), F.col(f"row.{c}"))
+    return out.select("device_id", "plant", of("reading_id").alias("reading_id"), from_micros(of("ts")).alias("ts"),
+                      of("soil").alias("soil"), of("pump").alias("pump"),
+                      F.coalesce(F.col("out.run_start"), F.lit(False)).alias("run_start"),
+                      from_micros(F.col("out.run_start_ts")).alias("run_start_ts"), "late")
+
+
+def pump_alert_stream(readings: DataFrame, settings: DataFrame, wait_seconds: float = 0,
+                      idle_seconds: float | None = None) -> DataFrame:
+    """W4 + W5 on a stream of readings (device posts only) with the dry duration
+    of each device; late readings are rows of type ``late_reading`` with
+    ``late`` set and the plant as ``rule_pos``."""
+    runs = pump_runs_stream(readings, wait_seconds, idle_seconds)
+    return run_alerts(with_settings(runs, settings))
 
 
 def late_readings_stream(readings: DataFrame) -> DataFrame:
-    """Readings that W4 and W5 could not fold, as (device_id, plant, reading_id, ts)."""
-    return _pump_fold(readings, 0.0).filter("late").select(
-        "device_id", F.col("rule_pos").alias("plant"), "reading_id", "ts")
+    """The readings that W4 and W5 could not fold, as (device_id, plant,
+    reading_id, ts). A query of its own has batches of its own: to keep what this
+    leaves out as well, write both from one query (``alert_stream``)."""
+    return pump_runs_stream(readings).filter("late").select("device_id", "plant", "reading_id", "ts")
 
 
-def alert_stream(readings: DataFrame, settings: DataFrame, dry_minutes: float | None = None) -> DataFrame:
-    """R5 on a stream: stateless rules + stateful pump rules, one stream. The
-    dry duration is the setting ``alert_dry_duration`` unless given."""
-    if dry_minutes is None:
-        dry_minutes = settings_row(settings).first()["alert_dry_duration"]  # one-row settings table
+def alert_stream(readings: DataFrame, settings: DataFrame, wait_seconds: float = 0,
+                 idle_seconds: float | None = None) -> DataFrame:
+    """R5 on a stream: alert rows and, with ``late`` set, the readings that the
+    pump rules could not fold, from one query over one state."""
     device_rows = readings.filter(F.col("manual_override") == 0)
     stateless = reading_alerts(device_rows, settings).select(
         "device_id", "reading_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "rule_pos", "type", "severity",
-        "message")
-    return stateless.unionByName(pump_alert_stream(readings, dry_minutes))
-
-
-def _throttle_fn(cooldown_us: int):
-    def fn(key, pdfs, state):
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        if batch.empty:
-            return
-        batch = batch.sort_values(["ts", "reading_id", "rule_pos"], kind="mergesort")
-        last, newest = state.get if state.exists else (None, None)
-        keep, late = [], []
-        for t in batch["ts"].astype("datetime64[us]").astype("int64").tolist():
-            late.append(newest is not None and t < newest)
-            keep.append(late[-1] or last is None or t - last >= cooldown_us)
-            if not late[-1]:
-                newest = t
-                if keep[-1]:
-                    last = t
-        state.update((last, newest))
-        yield batch.assign(late=late)[keep]
-    return fn
-
-
-def _throttled(alerts: DataFrame, settings: DataFrame, key: str) -> DataFrame:
-    from hydrospark.operators.alerts import alert_enabled
-    cfg = settings_row(settings).select("email_enabled", "email_recipient", "email_cooldown_minutes").first()
-    mail = cfg["email_enabled"] == "1" and bool(cfg["email_recipient"])  # one-row settings table
-    enabled = alert_enabled(alerts, settings, key).filter(F.lit(mail))
-    return enabled.groupBy("device_id", key).applyInPandasWithState(
-        _throttle_fn(int(cfg["email_cooldown_minutes"]) * 60 * 1_000_000), _FLAGGED,
-        "last_kept_us long, newest_us long", "append", GroupStateTimeout.NoTimeout)
+        "message", F.lit(False).alias("late"))
+    return stateless.unionByName(pump_alert_stream(readings, settings, wait_seconds, idle_seconds))
+
 
+def _throttle_step(cooldown_us: int):
+    def step(last, row):
+        if last is None or row["ts"] - last >= cooldown_us:
+            return row["ts"], [row]
+        return last, []
+    return step
 
-def notification_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
-    """R6 on a stream: the e-mail gate, the enable switches (J4), then the
-    greedy cooldown (W6) per (device, key), the last kept time held as state."""
-    return _throttled(alerts, settings, key).filter(~F.col("late")).drop("late")
+
+def notification_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity",
+                        stored: DataFrame | None = None, wait_seconds: float = 0,
+                        idle_seconds: float | None = None) -> DataFrame:
+    """R6 on a stream: the e-mail gate, the enable switches (J4), then the greedy
+    cooldown (W6) per (device, key). Kept alerts, and alerts that came too late
+    to be judged in order with ``late`` set.
+
+    ``stored`` is the cooldown table (device_id, alert_type, last_sent) of what
+    was sent before; a new query starts from it, and
+    ``operators.maintenance.cooldown_upsert`` over the kept alerts makes the
+    table for the next batch job or query."""
+    cfg = settings_row(settings).select("email_enabled", "email_recipient", "email_cooldown_minutes").first()
+    mail = cfg["email_enabled"] == "1" and bool(cfg["email_recipient"])  # one-row settings table
+    columns = [f.split()[0] for f in ALERT_SCHEMA.split(", ")]
+    enabled = alert_enabled(alerts, settings, key).filter(F.lit(mail)).select(*columns)
+    initial = None
+    if stored is not None:
+        initial = stored.groupBy("device_id", F.col("alert_type").alias(key)).agg(
+            F.max(micros(F.col("last_sent"))).cast("string").alias("state_text"))
+    out = fold_stream(enabled, ["device_id", key], [micros(F.col("ts")), F.col("reading_id"), F.col("rule_pos")],
+                      _throttle_step(int(cfg["email_cooldown_minutes"]) * 60 * 1_000_000),
+                      ALERT_SCHEMA.replace("timestamp_ntz", "long"), wait_seconds, idle_seconds, initial)
+    row = out.select(F.coalesce("out", "row").alias("r"), "late").select("r.*", "late")
+    return row.withColumn("ts", from_micros(F.col("ts"))).select(*columns, "late")
 
 
 def late_alerts_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
-    """Alerts that the cooldown could not judge in order."""
-    return _throttled(alerts, settings, key).filter("late").drop("late")
+    """Alerts that the cooldown could not judge in order (see
+    ``late_readings_stream``)."""
+    return notification_stream(alerts, settings, key).filter("late").drop("late")
+
+
+def _state_step(keep_commanded: bool):
+    def step(state, row):
+        pumps, after_command = state or (["OFF", "OFF"], False)
+        pumps = list(pumps)
+        if row["src"] == 0:
+            held = after_command
+            if not (keep_commanded and held):
+                pumps = [row.get("e1") or pumps[0], row.get("e2") or pumps[1]]
+        else:
+            held = False
+            for i in (0, 1):
+                if row.get(f"t{i + 1}"):
+                    pumps[i] = "OFF" if pumps[i] == "ON" else "ON"
+                pumps[i] = row.get(f"e{i + 1}") or pumps[i]
+        made = {"ts": row["ts"], "src": row["src"], "event_id": row["event_id"], "pump": row.get("pump"),
+                "action": row.get("action"), "pump1_state": pumps[0], "pump2_state": pumps[1], "manual_override": held}
+        return [pumps, row["src"] == 1], [made]
+    return step
+
+
+def _states(events: DataFrame, keep_commanded: bool, wait_seconds: float, idle_seconds: float | None) -> DataFrame:
+    narrow = events.select("device_id", "ts", "src", "event_id", "e1", "e2", "t1", "t2", "pump", "action")
+    out = fold_stream(narrow, ["device_id"], [micros(F.col("ts")), F.col("src"), F.col("event_id")],
+                      _state_step(keep_commanded),
+                      "ts long, src int, event_id long, pump string, action string, pump1_state string, "
+                      "pump2_state string, manual_override boolean", wait_seconds, idle_seconds)
+
+    def of(c):
+        return F.coalesce(F.col(f"out.{c}"), F.col(f"row.{c}")).alias(c)
+    return out.select("device_id", from_micros(of("ts")).alias("ts"), of("src"), of("event_id"), of("pump"),
+                      of("action"), "out.pump1_state", "out.pump2_state", "out.manual_override", "late")
+
+
+def pump_state_stream(readings: DataFrame, commands: DataFrame, wait_seconds: float = 0,
+                      idle_seconds: float | None = None) -> DataFrame:
+    """W7 on streams of readings and commands: ``pump_state_timeline`` with
+    ``late``; late rows have no states."""
+    r = _states(event_stream(readings, commands), False, wait_seconds, idle_seconds)
+    return r.select("device_id", "ts", F.when(F.col("src") == 0, "telemetry").otherwise("command").alias("source"),
+                    "event_id", "pump", "action", "pump1_state", "pump2_state", "late")
+
+
+def auto_pump_stream(samples: DataFrame, commands: DataFrame, water_threshold: int = 250, wait_seconds: float = 0,
+                     idle_seconds: float | None = None) -> DataFrame:
+    """J5 on streams of samples and commands, one state per device over both:
+    pump states and whether the last row was a command. Samples with their
+    decision, and late samples and commands (``source``) without one."""
+    r = _states(decision_events(samples, commands, water_threshold), True, wait_seconds, idle_seconds)
+    return r.where((F.col("src") == 0) | F.col("late")).select(
+        "device_id", "ts", F.when(F.col("src") == 0, "sample").otherwise("command").alias("source"),
+        F.col("event_id").alias("reading_id"), "manual_override", F.col("pump1_state").alias("pump1"),
+        F.col("pump2_state").alias("pump2"), "late")
+
+
+def weather_stream(current: DataFrame, forecast: DataFrame, bound_minutes: int = 5,
+                   delay: str = "1 hour") -> DataFrame:
+    """S8 on streams of the two landed feeds (see ``sources.weather.join_feeds``):
+    rows leave when matched, or unmatched once the watermark ``delay`` behind the
+    newest feed row has passed the bound."""
+    def marked(df):
+        return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    out = join_feeds(marked(current), marked(forecast), bound_minutes)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "forecast_ts")})
 
 
 def run_available_now(df: DataFrame, name: str, checkpoint: str, timeout_s: int = 600):
@@ -168,11 +220,15 @@ def run_available_now(df: DataFrame, name: str, checkpoint: str, timeout_s: int
 
 
 def start_ingest_job(raw: DataFrame, settings: DataFrame, out_dir: str, checkpoint_dir: str,
-                     trigger: dict | None = None, dry_minutes: float | None = None, key: str = "severity") -> dict:
+                     trigger: dict | None = None, key: str = "severity", stored: DataFrame | None = None,
+                     wait_seconds: float = 0, idle_seconds: float | None = None) -> dict:
     """The ingest flow as streaming queries: posted payloads -> accepted
     readings (Parquet partitioned by date, K1) and rejects; readings -> alert
-    rows (R5) and late readings; alerts -> notifications (R6) and late alerts.
-    The source's own options bound a trigger (``maxFilesPerTrigger``).
+    rows (R5); alerts -> notifications (R6). ``alerts`` and ``notifications``
+    are partitioned by ``late``: what could not be folded in order stands in
+    ``late=1`` of the same table, written by the same query, so each reading
+    and each alert is in one of the two. Bound a trigger through the source
+    (``payload_stream``).
 
     Two stateful steps cannot share one streaming query, so the flow is
     multi-hop: the notifications query streams from the alerts sink folder.
@@ -183,7 +239,6 @@ def start_ingest_job(raw: DataFrame, settings: DataFrame, out_dir: str, checkpoi
     trig = trigger or {"availableNow": True}
     drain = "availableNow" in trig or "once" in trig
     ok, bad = ingest(raw)
-    alerts = alert_stream(ok, settings, dry_minutes)
 
     def sink(df, name, partition=None):
         w = df.writeStream.format("parquet").option("path", f"{out_dir}/{name}") \
@@ -192,15 +247,17 @@ def start_ingest_job(raw: DataFrame, settings: DataFrame, out_dir: str, checkpoi
             w = w.partitionBy(partition)
         return w.trigger(**trig).start()
 
+    def flagged(df):  # folders late=0 and late=1
+        return df.withColumn("late", F.col("late").cast("int"))
+
     queries = {
         "readings": sink(ok.withColumn("date", F.to_date("ts")), "readings", "date"),
         "rejects": sink(bad, "rejects"),
-        "alerts": sink(alerts, "alerts"),
-        "late_readings": sink(late_readings_stream(ok), "late_readings"),
+        "alerts": sink(flagged(alert_stream(ok, settings, wait_seconds, idle_seconds)), "alerts", "late"),
     }
     if drain:
         queries["alerts"].awaitTermination()
-    alert_rows = raw.sparkSession.readStream.schema(ALERT_SCHEMA).parquet(f"{out_dir}/alerts")
-    queries["notifications"] = sink(notification_stream(alert_rows, settings, key), "notifications")
-    queries["late_alerts"] = sink(late_alerts_stream(alert_rows, settings, key), "late_alerts")
+    alert_rows = raw.sparkSession.readStream.schema(ALERT_SCHEMA + ", late int").parquet(f"{out_dir}/alerts")
+    sent = notification_stream(alert_rows.where("late = 0").drop("late"), settings, key, stored, wait_seconds, idle_seconds)
+    queries["notifications"] = sink(flagged(sent), "notifications", "late")
     return queries

@@ -78,6 +78,7 @@ def test_ingest_job_equals_batch(spark):
     assert spark.read.parquet(os.path.join(out, "rejects")).count() == bad.count()
     exp_alerts = AL.alerts_all(ok, settings)
     got_alerts = spark.read.parquet(os.path.join(out, "alerts"))
+    assert got_alerts.where("late = 1").isEmpty()
     assert sorted(_key(r) for r in got_alerts.collect()) == sorted(_key(r) for r in exp_alerts.collect())
     exp_notes = throttle(AL.alert_enabled(exp_alerts, settings, "severity"), ["device_id", "severity"], 600,
                          order_cols=("ts", "reading_id", "rule_pos"))
