@@ -7,7 +7,7 @@ the broadcast size is bounded regardless of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hydrospark.functions.columns import round_d, soil_value
@@ -62,7 +62,10 @@ def with_settings(df: DataFrame, settings: DataFrame) -> DataFrame:
 
     Settings with a ``device_id`` column hold for their device and override
     those without a device, setting by setting; they grow with the devices, so
-    they are a plain join on the device, split by the optimiser where skewed."""
+    they are a plain join on the device, split by the optimiser where skewed.
+    Settings with a ``ts`` column are versions (see ``settings_as_of``)."""
+    if "ts" in settings.columns:
+        return settings_as_of(df, settings)
     out = df.crossJoin(F.broadcast(settings_row(settings)))
     if "device_id" not in settings.columns:
         return out
@@ -78,6 +81,63 @@ def with_settings(df: DataFrame, settings: DataFrame) -> DataFrame:
     return joined.select(*[value(c) if c in names else F.col(c) for c in out.columns])
 
 
+def _typed(c: Column, key: str) -> Column:
+    return c.try_cast(TYPED_SETTINGS[key][0]) if key in TYPED_SETTINGS else c
+
+
+def settings_as_of(df: DataFrame, versions: DataFrame) -> DataFrame:
+    """J1 in time: every row sees the settings as they were at its ``ts``.
+
+    ``versions`` (ts, key, value, optional device_id and version): a row holds
+    from its ``ts`` on, of equal times the larger ``version`` counts. A device's
+    own value overrides the general one, an unparsable value counts as absent.
+
+    General versions: the state at the start of each hour is scanned over the
+    hours (a calendar, not the data), the edits of an hour travel with it as a
+    sorted array, and rows meet both in an equi-join on the hour. Versions of
+    devices are merged into the rows' own order per device as carried last
+    values. No range join, no row is multiplied.
+    """
+    from hydrospark.operators.ordered import BKT, Order, prefix
+
+    names = [*TYPED_SETTINGS, *sorted({v for _, v in ALERT_ENABLE_KEYS} | {"email_enabled", "email_recipient"})]
+    by_device = "device_id" in versions.columns
+    v = versions.select(
+        F.col("device_id") if by_device else F.lit(None).cast("long").alias("device_id"), F.col("ts"), "key", "value",
+        (F.col("version") if "version" in versions.columns else F.lit(0)).cast("long").alias("_version"))
+    v = v.where(F.col("key").isin(names))
+    hour = F.date_trunc("hour", F.col("ts"))
+    when = F.struct("ts", "_version")
+    edits = v.where("device_id is null").groupBy(hour.alias("_hour")).agg(
+        F.sort_array(F.collect_list(F.struct("ts", "_version", "key", "value"))).alias("_edits"),  # one hour's edits
+        *[F.max_by("value", F.when(F.col("key") == k, when)).alias(f"_last_{k}") for k in names])
+    hours = df.select(hour.alias("_hour")).distinct().join(edits, "_hour", "full_outer")
+    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("_hour", "_edits", *[F.last(f"_last_{k}", ignorenulls=True).over(before).alias(f"_start_{k}")
+                                              for k in names])
+    rows = df.withColumn("_hour", hour).join(hours, "_hour")
+    past = F.filter(F.coalesce("_edits", F.array().cast(dict(hours.dtypes)["_edits"])), lambda e: e["ts"] <= F.col("ts"))
+
+    def general(k):
+        mine = F.filter(F.col("_past"), lambda e: e["key"] == k)
+        return F.coalesce(F.try_element_at(mine, F.lit(-1))["value"], F.col(f"_start_{k}"))
+
+    rows = rows.withColumn("_past", past).select(*df.columns, *[general(k).alias(f"_general_{k}") for k in names])
+    own = {k: F.lit(None).cast("string") for k in names}
+    if by_device:
+        mine = v.where("device_id is not null").withColumns({"_src": F.lit(0), "_edit": F.lit(True)})
+        both = rows.withColumns({"_src": F.lit(1), "_version": F.lit(0).cast("long")}).unionByName(
+            mine, allowMissingColumns=True)
+        order = Order(keys=("device_id",), order=("ts", "_src", "_version"))
+        rows = prefix(both, order, lasts={f"_own_{k}": F.when(F.col("_edit") & (F.col("key") == k), F.col("value"))
+                                          for k in names}).where("_src = 1").drop(BKT)
+        own = {k: F.col(f"_own_{k}") for k in names}
+    fixed = {k: F.lit(d) for k, (_, d) in TYPED_SETTINGS.items()}
+    values = [F.coalesce(_typed(own[k], k), _typed(F.col(f"_general_{k}"), k), *([fixed[k]] if k in fixed else []))
+              .alias(k) for k in names]
+    return rows.select(*df.columns, *values)
+
+
 def _alert(pos: int, type_: str, severity: str, message: Column) -> Column:
     return F.struct(F.lit(pos).alias("rule_pos"), F.lit(type_).alias("type"),
                     F.lit(severity).alias("severity"), message.alias("message"))
@@ -159,7 +219,7 @@ def alert_enabled(alerts: DataFrame, settings: DataFrame, key: str = "severity")
     switch is enabled; a switch that is missing from settings is off. With
     settings by device the device's own switch decides where it has one."""
     spark = alerts.sparkSession
-    if "device_id" in settings.columns:
+    if "device_id" in settings.columns or "ts" in settings.columns:
         switch = F.create_map(*[x for k, v in ALERT_ENABLE_KEYS for x in (F.lit(k), F.col(v))])
         j = with_settings(alerts, settings)
         known = F.col(key).isin([k for k, _ in ALERT_ENABLE_KEYS])

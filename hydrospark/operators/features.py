@@ -15,6 +15,7 @@ from hydrospark.functions.columns import any_pump_on, combined_dryness, dow_mond
 from hydrospark.operators.filters import complete_rows, trailing_window
 from hydrospark.operators.latest import top_k_per_key
 from hydrospark.operators.ordered import BKT, DEVICE_ORDER, prefix
+from hydrospark.operators.ranking import below_cut, id_hash, smallest_hashes, stratified_test_counts
 from hydrospark.operators.sequences import sequence_features
 
 # Feature names of each set, in model order (fixed values).
@@ -159,15 +160,16 @@ def standardize(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
 
 def split_stratified(df: DataFrame, label: str = "target", test_fraction: float = 0.2, seed: int = 42,
                      id_col: str = "reading_id") -> DataFrame:
-    """M5: adds ``is_test``. Each row gets a deterministic hash of (id, seed);
-    per label, rows whose hash is at or below that label's ``test_fraction``
-    quantile are test rows, so every class keeps its share. The quantile is
-    an approximate distributed aggregate (no sort of the whole table)."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    d = df.withColumn("_h", h)
-    cut = d.groupBy(label).agg(F.percentile_approx("_h", test_fraction, 100000).alias("_cut"))
-    return d.join(F.broadcast(cut), label).withColumn("is_test", F.col("_h") <= F.col("_cut")) \
-        .drop("_h", "_cut")  # one row per class
+    """M5: adds ``is_test``. Exactly ceil(test_fraction * n) rows are test rows,
+    shared out to the classes in proportion; in each class they are the rows with
+    the smallest hashes of (id, seed), found by exact selection
+    (``operators.ranking``) without sorting the table. Rows of one id go together."""
+    d = df.withColumn("_h", id_hash(id_col, seed))
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    if not counts:
+        return df.withColumn("is_test", F.lit(False))
+    cuts = smallest_hashes(d, label, "_h", stratified_test_counts(counts, test_fraction))
+    return d.withColumn("is_test", below_cut(label, "_h", cuts)).drop("_h")
 
 
 def split_chronological(df: DataFrame, test_fraction: float = 0.2, keys=("device_id",)) -> DataFrame:

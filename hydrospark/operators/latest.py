@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydrospark.operators.filters import nonnull_pumps, nonnull_water, trailing_window
+from hydrospark.operators.ordered import Order, prefix
 
 
 def latest_by(df: DataFrame, keys=("device_id",), order=("ts", "reading_id"),
@@ -113,12 +114,14 @@ def training_log_recent(log: DataFrame, n: int = 7) -> DataFrame:
 
 def schedule_ordered(schedule: DataFrame, keys=("device_id",)) -> DataFrame:
     """Schedule by hour, minute; ``enabled`` as boolean, plant default
-    'both'; ``position`` is the rank within the key (no global sort)."""
-    w = Window.partitionBy(*keys).orderBy("hour", "minute", "id")
-    return schedule.select(*keys, "id", "hour", "minute", "duration",
-                           F.coalesce("plant", F.lit("both")).alias("plant"),
-                           (F.coalesce("enabled", F.lit(1)) != 0).alias("enabled"),
-                           F.row_number().over(w).cast("int").alias("position"))
+    'both'; ``position`` is the rank within the key, a carried count over the
+    minutes of the day (no global sort, no key in one task)."""
+    order = Order(keys=tuple(keys), order=("hour", "minute", "id"),
+                  bucket_fn=lambda: F.coalesce(F.col("hour") * 60 + F.col("minute"), F.col("hour") * 60, F.lit(-1)))
+    placed = prefix(schedule, order, sums={"position": F.lit(1).cast("long")})
+    return placed.select(*keys, "id", "hour", "minute", "duration",
+                         F.coalesce("plant", F.lit("both")).alias("plant"),
+                         (F.coalesce("enabled", F.lit(1)) != 0).alias("enabled"), F.col("position").cast("int").alias("position"))
 
 
 def best_hour(hourly: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydrospark.operators.ordered import Order, prefix
+
 
 def settings_defaults(existing: DataFrame, defaults: DataFrame, keys=()) -> DataFrame:
     """K7: insert defaults only for keys that are absent (anti join + union).
@@ -42,11 +44,12 @@ def cooldown_upsert(cooldown: DataFrame, sent: DataFrame, keys=("alert_type",))
 def replace_schedule(new_rows: DataFrame, keys=("device_id",)) -> DataFrame:
     """Each key's submitted list replaces its old schedule; plant
     defaults to 'both', enabled to 1, ids renumbered in list order (``pos``)
-    within the key (a schedule is a handful of rows per device)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy("pos")
-    return new_rows.select(
-        *keys, F.row_number().over(w).cast("long").alias("id"), "hour", "minute", "duration",
+    within the key. The numbers are a carried count over blocks of positions, so
+    no key is one task."""
+    order = Order(keys=tuple(keys), order=("pos",), bucket_fn=lambda: F.floor(F.col("pos") / 4096))
+    numbered = prefix(new_rows, order, sums={"id": F.lit(1).cast("long")})
+    return numbered.select(
+        *keys, "id", "hour", "minute", "duration",
         F.coalesce("plant", F.lit("both")).alias("plant"),
         F.when(F.coalesce(F.col("enabled"), F.lit(True)), 1).otherwise(0).cast("int").alias("enabled"))
 

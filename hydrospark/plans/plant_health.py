@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 from hydrospark.functions.columns import round_d
 from hydrospark.functions.health import health_recommendations, health_score, health_status
 from hydrospark.operators.filters import trailing_window
-from hydrospark.operators.sequences import watering_sessions
-from hydrospark.operators.stats import plant_health_metrics
+from hydrospark.operators.sessions import plant_figures
 
 
-def plant_health_scores(readings: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """Per (device, plant): metrics plus unrounded score and status."""
-    window = trailing_window(readings, as_of, days)
-    sessions = watering_sessions(window)
-    m = plant_health_metrics(window, sessions, as_of, days)
+def plant_health_scores(readings: DataFrame, as_of: Column, days: int = 7,
+                        known: DataFrame | None = None) -> DataFrame:
+    """Per (device, plant): metrics plus unrounded score and status. Devices of
+    ``known`` without readings in the window have null figures."""
+    m = plant_figures(trailing_window(readings, as_of, days), days, known)
     score = health_score(F.col("avg_soil"), F.col("frequency"), F.col("avg_duration"),
                          F.col("soil_stability"), F.col("latest_temperature"), F.col("latest_humidity"))
-    return m.withColumn("score", score.cast("double")).withColumn("health", health_status(F.col("score")))
+    scored = F.when(F.col("avg_soil").isNotNull(), score.cast("double"))
+    return m.withColumn("score", scored).withColumn(
+        "health", F.when(F.col("score").isNotNull(), health_status(F.col("score"))))
 
 
 def plant_health_report(readings: DataFrame, as_of: Column, days: int = 7,
-                        with_recommendations: bool = True, devices: DataFrame | None = None) -> DataFrame:
+                        with_recommendations: bool = True, devices: DataFrame | None = None,
+                        known_days: int | None = None) -> DataFrame:
     """H4: one row per (device, plant) with the rounded figures of the report.
 
-    Every device of ``devices`` (column device_id; by default all that ever
-    posted a reading) is listed; one without readings in the window has health
-    Unknown, score 0, null figures and no recommendations."""
-    known = readings.select("device_id") if devices is None else devices.select("device_id")
-    grid = known.distinct().select("device_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("plant"))
-    s = grid.join(plant_health_scores(readings, as_of, days), ["device_id", "plant"], "left") \
+    Every device of ``devices`` (column device_id) is listed; by default all
+    that ever posted a reading, with ``known_days`` all that did in that many days,
+    so that no scan reads all history. A device without readings in the window has health Unknown, score 0, null
+    figures and no recommendations."""
+    known = readings if devices is None else devices
+    if devices is None and known_days is not None:
+        known = trailing_window(readings, as_of, known_days)
+    s = plant_health_scores(readings, as_of, days, known) \
         .withColumn("health", F.coalesce("health", F.lit("Unknown"))) \
         .withColumn("score", F.coalesce("score", F.lit(0.0)))
     seen = F.col("avg_soil").isNotNull()

@@ -17,7 +17,7 @@ from hydrospark.plans.registered_sequences import ALERTS_SQL, _MAIL
 from hydrospark.plans.registry import register
 from hydrospark.schemas import DEFAULT_SETTINGS
 from hydrospark.session import scratch_path
-from hydrospark.sinks.writers import append_readings
+from hydrospark.sinks.writers import append_readings, replace_schedules, write_schedules
 from hydrospark.sources import testdata as td
 
 A = td.AS_OF_SQL
@@ -118,6 +118,25 @@ def q_schedule_ordered(spark, sf):
     return schedule_ordered(MT.replace_schedule(_schedule_submissions(spark, sf)))
 
 
+@register("replace_schedules", f"""
+WITH {_SCHEDULE_SQL.strip()},
+fresh AS (SELECT user_id AS device_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS id, hour(ts) AS hour,
+                 minute(ts) AS minute, k AS duration FROM events_k WHERE event_type = 'purchase' AND user_id % 3 = 0)
+SELECT device_id, id, CAST(hour AS INTEGER) AS hour, CAST(minute AS INTEGER) AS minute, duration, plant, enabled FROM replaced
+WHERE device_id NOT IN (SELECT device_id FROM fresh)
+UNION ALL SELECT device_id, id, CAST(hour AS INTEGER), CAST(minute AS INTEGER), duration, 'both', 1 FROM fresh""")
+def q_replace_schedules(spark, sf):
+    # K10 on the stored table: only the folders of the submitting devices are rewritten.
+    path = scratch_path(spark, f"schedules-{uuid.uuid4().hex}")
+    write_schedules(MT.replace_schedule(_schedule_submissions(spark, sf)), path)
+    e = td.load(spark, sf, "events").filter("event_type = 'purchase' and user_id % 3 = 0")
+    fresh = e.select(F.col("user_id").alias("device_id"), F.col("event_id").alias("pos"), F.hour("ts").alias("hour"),
+                     F.minute("ts").alias("minute"), _k().alias("duration"), F.lit(None).cast("string").alias("plant"),
+                     F.lit(None).cast("boolean").alias("enabled"))
+    replace_schedules(spark, path, fresh)
+    return spark.read.parquet(path).drop("bucket")
+
+
 @register("cooldown_upsert", f"""
 WITH RECURSIVE {ALERTS_SQL.strip()},
 a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY device_id, severity ORDER BY ts, reading_id, rule_pos) AS seq

@@ -3,6 +3,7 @@ M20), forecast (J3, M14-M19) and sink projections (K3-K6, K13-K15)."""
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 from hydrospark.functions import columns as C
 from hydrospark.operators import features as FE
 from hydrospark.operators import stats as ST
-from hydrospark.operators.maintenance import retain_days
+from hydrospark.operators.maintenance import cooldown_upsert, retain_days
+from hydrospark.operators.regression import linear_regression
 from hydrospark.plans import forecast as FC
 from hydrospark.plans import training as TR
 from hydrospark.plans.dashboard import dashboard
 from hydrospark.plans.registered_rows import _WEATHER_PARSED_SQL
-from hydrospark.plans.registry import register
+from hydrospark.plans.registry import ORACLE, register
 from hydrospark.session import scratch_path
+from hydrospark.sinks.writers import append_readings, retain_table
 from hydrospark.sources import legacy, testdata as td, weather
 
 A = td.AS_OF_SQL
@@ -59,8 +62,9 @@ SELECT l.device_id, COALESCE(s.avg_temperature, 0.0) AS avg_temperature, COALESC
        wl.weather_description AS weather_description, wl.city AS location_city, true AS model_available
 FROM l LEFT JOIN s USING (device_id) LEFT JOIN wl ON true""")
 def q_dashboard(spark, sf):
-    w = weather.weather_rows(weather.weather_payloads_from_events(td.load(spark, sf, "events")))
-    loc = w.select("id", "ts", F.col("location_city").alias("city"))
+    payloads = weather.weather_payloads_from_events(td.load(spark, sf, "events"))
+    w = weather.newest_weather_row(payloads)
+    loc = payloads.select("id", "ts", "city")  # a stored location per weather fetch
     d = dashboard(R(spark, sf), td.as_of_lit(), weather=w, location=loc, model_available=True)
     return d.select("*", *[F.col(f"weather.{c}").alias(f"weather_{c}") for c in (
         "temperature", "precipitation", "rain_forecast", "description")],
@@ -100,6 +104,22 @@ def q_table_counts(spark, sf):
     return ST.table_counts({"readings": R(spark, sf), "commands": td.commands(spark, sf)})
 
 
+@register("stored_table_counts", """
+SELECT 'readings' AS table_name, COUNT(*) AS row_count FROM readings
+UNION ALL SELECT 'training_log', COUNT(*) FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'predictions', COUNT(*) FROM events WHERE event_type = 'purchase'
+UNION ALL SELECT 'email_cooldown', COUNT(DISTINCT (user_id, k % 2)) FROM events_k WHERE event_type = 'signup'""")
+def q_stored_table_counts(spark, sf):
+    # The four stored tables; attempts, runs and mails taken from events.
+    e = td.load(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    mails = e.filter("event_type = 'signup'").select(
+        F.col("user_id").alias("device_id"), (k % 2).cast("string").alias("alert_type"), F.col("ts").alias("last_sent"))
+    return ST.table_counts({"readings": R(spark, sf), "training_log": e.filter("event_type = 'error'"),
+                            "predictions": e.filter("event_type = 'purchase'"),
+                            "email_cooldown": cooldown_upsert(mails.limit(0), mails, keys=("device_id", "alert_type"))})
+
+
 def _training_log(spark):
     # Training attempts recorded by the scheduler: the newest success is the
     # reference point for A5 / M13 / M20.
@@ -199,7 +219,8 @@ WITH s AS (SELECT CAST(CASE WHEN pump1 = 'ON' OR pump2 = 'ON' THEN 1 ELSE 0 END
                   GREATEST(0.0, LEAST(1.0, {"((CASE WHEN soil1 = 'DRY' THEN 1 ELSE 0 END) + (CASE WHEN soil2 = 'DRY' THEN 1 ELSE 0 END)) / 2.0"})) AS p
            FROM readings)
 SELECT ROUND(AVG((y - p) * (y - p)), 9) AS mse,
-       ROUND(CASE WHEN VAR_POP(y) > 0 THEN 1.0 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(*)) ELSE 0.0 END, 9) AS r2
+       ROUND(CASE WHEN VAR_POP(y) > 0 THEN 1.0 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(*))
+                  WHEN SUM((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END, 9) AS r2
 FROM s""")
 def q_regression_metrics(spark, sf):
     s = R(spark, sf).select(C.any_pump_on().cast("double").alias("label"), C.combined_dryness().alias("prediction"))
@@ -207,6 +228,23 @@ def q_regression_metrics(spark, sf):
     return m.select(C.round_d(F.col("mse"), 9).alias("mse"), C.round_d(F.col("r2"), 9).alias("r2"))
 
 
+@register("regression_metrics_by_hour", f"""
+WITH s AS (SELECT device_id, date_trunc('hour', ts) AS hour,
+                  CAST(CASE WHEN pump1 = 'ON' OR pump2 = 'ON' THEN 1 ELSE 0 END AS DOUBLE) AS y,
+                  {"((CASE WHEN soil1 = 'DRY' THEN 1 ELSE 0 END) + (CASE WHEN soil2 = 'DRY' THEN 1 ELSE 0 END)) / 2.0"} AS p
+           FROM readings)
+SELECT device_id, hour, ROUND(AVG((y - p) * (y - p)), 9) AS mse,
+       ROUND(CASE WHEN VAR_POP(y) > 0 THEN 1.0 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(*))
+                  WHEN SUM((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END, 9) AS r2
+FROM s GROUP BY device_id, hour""")
+def q_regression_metrics_by_hour(spark, sf):
+    # A10 per device and hour: constant labels, right and wrong ones, occur here.
+    s = R(spark, sf).select("device_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+                            C.any_pump_on().cast("double").alias("label"), C.combined_dryness().alias("prediction"))
+    m = ST.regression_metrics(s, "label", "prediction", keys=("device_id", "hour"))
+    return m.select("device_id", "hour", C.round_d(F.col("mse"), 9).alias("mse"), C.round_d(F.col("r2"), 9).alias("r2"))
+
+
 @register("class_balance", """
 WITH c AS (SELECT CASE WHEN pump1 = 'ON' OR pump2 = 'ON' THEN 1 ELSE 0 END AS label, COUNT(*) AS n_class
            FROM readings GROUP BY 1)
@@ -323,10 +361,19 @@ def q_standardize(spark, sf):
                     C.round_d(F.col("humidity"), 6).alias("humidity"))
 
 
-@register("split_stratified")
+@register("split_stratified", """
+WITH f AS (SELECT reading_id, CASE WHEN pump1 = 'ON' OR pump2 = 'ON' THEN 1 ELSE 0 END AS target,
+                  ('0x' || substr(md5(CAST(reading_id AS VARCHAR) || ':42'), 1, 15))::BIGINT AS h FROM readings),
+c AS (SELECT target, COUNT(*) AS m, SUM(COUNT(*)) OVER () AS n FROM f GROUP BY target),
+t AS (SELECT *, n - CEIL(0.2::DOUBLE * n)::BIGINT AS n_train FROM c),
+s AS (SELECT *, m * n_train // n AS base,
+             ROW_NUMBER() OVER (ORDER BY m * n_train % n DESC, target) AS place FROM t),
+k AS (SELECT target, m - base - CASE WHEN place <= n_train - (SELECT SUM(base) FROM s) THEN 1 ELSE 0 END AS test_rows FROM s)
+SELECT reading_id, target, ROW_NUMBER() OVER (PARTITION BY target ORDER BY h) <= test_rows AS is_test
+FROM f JOIN k USING (target)""")
 def q_split_stratified(spark, sf):
     f = R(spark, sf).select("reading_id", C.any_pump_on().alias("target"))
-    return FE.split_stratified(f, "target").groupBy("target", "is_test").count()
+    return FE.split_stratified(f, "target").select("reading_id", "target", "is_test")
 
 
 @register("split_chronological", """
@@ -339,6 +386,49 @@ def q_split_chronological(spark, sf):
         "device_id", "reading_id", "is_test")
 
 
+_N = len(FE.OFFLINE_FEATURES)
+
+
+@register("linear_regression", f"""
+WITH RECURSIVE fs AS ({ORACLE['features_offline']}),
+t AS (SELECT *, ROW_NUMBER() OVER d > COUNT(*) OVER (PARTITION BY device_id)
+                  - CEIL(COUNT(*) OVER (PARTITION BY device_id) * 0.2::DOUBLE) AS is_test
+      FROM fs WINDOW d AS (PARTITION BY device_id ORDER BY ts, reading_id)),
+st AS (SELECT {", ".join(f"AVG({c}) AS a_{c}, STDDEV_POP({c}) AS s_{c}" for c in FE.OFFLINE_FEATURES)}
+       FROM t WHERE NOT is_test),
+z AS (SELECT is_test, target::DOUBLE AS y,
+             [{", ".join(f"({c} - a_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END" for c in FE.OFFLINE_FEATURES)}] AS x
+      FROM t, st),
+ym AS (SELECT AVG(y) AS b FROM z WHERE NOT is_test),
+mo AS (SELECT i, j, SUM(x[i] * (CASE WHEN j <= {_N} THEN x[j] ELSE y - b END)) AS v
+       FROM z, ym, range(1, {_N + 1}) r(i), range(1, {_N + 2}) q(j) WHERE NOT is_test GROUP BY i, j),
+gj AS (SELECT 0 AS k, (SELECT list(l ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS l FROM mo GROUP BY i)) AS m
+       UNION ALL
+       SELECT k + 1, list_transform(range(1, {_N + 1}), lambda i: CASE WHEN i = k + 1 THEN p
+                       ELSE list_transform(range(1, {_N + 2}), lambda j: m[i][j] - m[i][k + 1] * p[j]) END)
+       FROM (SELECT k, m, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) AS p FROM gj WHERE k < {_N})),
+co AS (SELECT list_transform(m, lambda l: l[{_N + 1}]) AS w FROM gj WHERE k = {_N}),
+pr AS (SELECT y, GREATEST(0.0, LEAST(1.0, b + list_dot_product(x, w))) AS p FROM z, ym, co WHERE is_test)
+SELECT name, ROUND(w[i], 6) AS value
+FROM co, (SELECT unnest([{", ".join(f"'{c}'" for c in FE.OFFLINE_FEATURES)}]) AS name, unnest(range(1, {_N + 1})) AS i)
+UNION ALL SELECT 'intercept', ROUND(b, 6) FROM ym
+UNION ALL SELECT 'mse', ROUND(AVG((y - p) * (y - p)), 6) FROM pr
+UNION ALL SELECT 'r2', ROUND(1 - SUM((y - p) * (y - p)) / (VAR_POP(y) * COUNT(*)), 6) FROM pr""", raw_sql=True)
+def q_linear_regression(spark, sf):
+    # M8's linear model and its test metrics, on features rounded as in the SQL.
+    f = FE.split_chronological(q_features_offline(spark, sf))
+    train, test = f.filter("not is_test"), f.filter("is_test")
+    stats = FE.scaler_stats(train, FE.OFFLINE_FEATURES)
+    fit = linear_regression(FE.standardize(train, stats, FE.OFFLINE_FEATURES), FE.OFFLINE_FEATURES, "target")
+    scored = FE.standardize(test, stats, FE.OFFLINE_FEATURES).select(
+        F.col("target").cast("double").alias("label"), fit.predict().alias("prediction"))
+    m = ST.regression_metrics(scored, "label", "prediction")
+    told = [*zip(fit.features, fit.coefficients), ("intercept", fit.intercept)]
+    rows = spark.createDataFrame(told, "name string, value double").unionByName(
+        m.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("mse", "r2")]))))
+    return rows.select("name", C.round_d(F.col("value"), 6).alias("value"))
+
+
 # M7-M12, M20, K13, K14 (model-based: rows-only checks) ------------------------------
 
 _TRAINED: dict = {}
@@ -617,6 +707,19 @@ def q_retain_7_days(spark, sf):
     return retain_days(runs, td.as_of_lit(), 7)
 
 
+@register("retain_table", f"""
+SELECT CAST(ts AS DATE) AS date, COUNT(*) AS row_count, MIN(ts) AS first_ts FROM events
+WHERE event_type = 'purchase' AND ts >= {A} - INTERVAL 7 DAY GROUP BY 1""")
+def q_retain_table(spark, sf):
+    # K6 on the stored table: partitions behind the cut are dropped, its day is rewritten.
+    runs = td.load(spark, sf, "events").filter(F.col("event_type") == "purchase") \
+        .select(F.col("event_id").alias("id"), F.col("user_id").alias("device_id"), "ts")
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    append_readings(runs, path)
+    retain_table(spark, path, datetime.datetime.fromisoformat(td.AS_OF), 7)
+    return spark.read.parquet(path).groupBy("date").agg(F.count(F.lit(1)).alias("row_count"), F.min("ts").alias("first_ts"))
+
+
 @register("export_readings_csv", """
 SELECT device_id, reading_id AS "ID", COALESCE(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') AS "Timestamp",
        temperature AS "Temperature (°C)", humidity AS "Humidity (%)", soil1 AS "Soil1 Status", soil2 AS "Soil2 Status",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hydrospark.functions import columns as C
 from hydrospark.operators import filters, latest
 from hydrospark.operators.reshape import unpivot_plants
 from hydrospark.plans.registry import register
+from hydrospark.session import scratch_path
 from hydrospark.sources import ingest, legacy, testdata as td, timestamps, weather
 
 A = td.AS_OF_SQL
@@ -137,6 +140,60 @@ def q_normalize_timestamp(spark, sf):
         F.col("ts_text"), empty=timestamps.display_ts(td.as_of_lit())).alias("display_ts"))
 
 
+@register("normalize_offsets", """
+SELECT event_id, ts_text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS display_ts
+FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S')
+               || ['+05:30', '-08:00', 'Z', '+0530', '.250000+14:00', ''][k % 6 + 1] AS ts_text FROM events_k)""")
+def q_normalize_offsets(spark, sf):
+    # Offsets are dropped, not applied.
+    e = td.load(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    ends = F.array(*[F.lit(x) for x in ("+05:30", "-08:00", "Z", "+0530", ".250000+14:00", "")])
+    t = e.select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(ends, k % 6 + 1))
+                 .alias("ts_text"))
+    return t.select("event_id", "ts_text", timestamps.normalize_timestamp(F.col("ts_text")).alias("display_ts"))
+
+
+_ODD = [('"45"', "45"), ("61.7", "61"), ("true", "1"), ("false", "0"), ("null", None), ('"12.5"', None), ('"x"', None),
+        ("-3", "-3")]
+
+
+@register("ingest_odd_durations", f"""
+WITH p AS (SELECT event_id AS reading_id, user_id AS device_id, ts, k FROM events_k),
+v AS (SELECT *, [{", ".join("NULL" if w is None else w for _, w in _ODD)}][k % {len(_ODD)} + 1] AS d FROM p)
+SELECT reading_id, CASE WHEN k % 3 = 0 THEN 'ON' ELSE 'OFF' END AS pump1, CAST(d AS INTEGER) AS pump1_duration,
+       CASE WHEN d IS NULL THEN 'invalid pump1_duration' END AS reject_reason FROM v""")
+def q_ingest_odd_durations(spark, sf):
+    # Durations as text, float, boolean, null; the pump's key is repeated and its last value counts.
+    e = td.load(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    given = F.element_at(F.array(*[F.lit(x) for x, _ in _ODD]), k % len(_ODD) + 1)
+    pump = F.when(k % 3 == 0, "ON").otherwise("OFF")
+    payload = F.concat(F.lit('{"temperature":20,"humidity":50,"soil1":"DRY","soil2":"WET","water":"AVAILABLE","pump1":"?",'
+                             '"pump2":"OFF","pump1":"'), pump, F.lit('","pump1_duration":'), given, F.lit("}"))
+    raw = e.select(F.col("event_id").alias("reading_id"), F.col("user_id").alias("device_id"), "ts", payload.alias("payload"))
+    return ingest.parse_readings(raw).select("reading_id", "pump1", "pump1_duration", "reject_reason")
+
+
+@register("read_snapshots", f"""
+WITH {legacy.LEGACY_SQL.strip()}
+SELECT date_trunc('second', timestamp) AS timestamp, temperature, humidity, soil, water, pump,
+       CAST(pump_duration AS INTEGER) AS pump_duration, CAST(manual_override AS INTEGER) AS manual_override
+FROM legacy""")
+def q_read_snapshots(spark, sf):
+    # Three cumulative CSV snapshots; equal lines of a snapshot stand in one file.
+    rows = legacy.legacy_from_events(td.load(spark, sf, "events")).drop("reading_id", "device_id")
+    folder = scratch_path(spark, f"snapshots-{uuid.uuid4().hex}")
+    lines = rows.withColumn("timestamp", F.date_trunc("second", "timestamp")).select(
+        "timestamp", "temperature", "humidity", "soil", "water", "pump", "pump_duration", "manual_override")
+    ends = ["2024-01-10", "2024-01-20", "2024-03-01"]
+    for i, end in enumerate(ends):
+        lines.where(F.col("timestamp") < F.lit(end).cast("timestamp")).repartition(*lines.columns).write.option(
+            "header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{i}")
+    got = legacy.read_snapshots(spark, [f"{folder}/{i}" for i in range(len(ends))])
+    return got.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 # S6 / S7 / S8 -----------------------------------------------------------------
 
 _WEATHER_PARSED_SQL = f"""
@@ -156,6 +213,27 @@ wparsed AS (
 )"""
 
 
+@register("weather_feeds", _WEATHER_PARSED_SQL + """,
+cur AS (SELECT * FROM wparsed WHERE id % 5 > 0),
+fc AS (SELECT id AS forecast_id, ts + to_minutes(CASE WHEN id % 7 = 1 THEN 30 ELSE id % 7 END) AS forecast_ts, city, lat, lon,
+              rain_forecast FROM wparsed WHERE id % 3 > 0)
+SELECT cur.id, cur.ts, cur.temperature, cur.precipitation, cur.weather_description,
+       CASE WHEN cur.id IS NOT NULL THEN CAST(COALESCE(fc.rain_forecast, 0) AS INTEGER) END AS rain_forecast,
+       COALESCE(cur.city, fc.city) AS location_city, fc.forecast_id, fc.forecast_ts,
+       CASE WHEN fc.forecast_id IS NULL THEN 'current' WHEN cur.id IS NOT NULL THEN 'both' ELSE 'forecast' END AS feeds
+FROM cur FULL OUTER JOIN fc ON cur.city = fc.city AND cur.lat = fc.lat AND cur.lon = fc.lon
+  AND fc.forecast_ts BETWEEN cur.ts - INTERVAL 5 MINUTE AND cur.ts + INTERVAL 5 MINUTE""")
+def q_weather_feeds(spark, sf):
+    # Two landed feeds, forecasts some minutes after, each with gaps.
+    pay = weather.weather_payloads_from_events(td.load(spark, sf, "events"))
+    near = F.col("id") % 7
+    later = (F.col("ts") + F.make_dt_interval(mins=F.when(near == 1, 30).otherwise(near.cast("int")))).alias("ts")
+    out = weather.join_feeds(pay.where("id % 5 > 0"), pay.where("id % 3 > 0").select(
+        "id", later, "city", "lat", "lon", "forecast_json"))
+    return out.select("id", "ts", "temperature", "precipitation", "weather_description", "rain_forecast", "location_city",
+                      "forecast_id", "forecast_ts", "feeds")
+
+
 @register("parse_current_weather", _WEATHER_PARSED_SQL + """
 SELECT id, temperature, humidity, precipitation, weather_description FROM wparsed""")
 def q_parse_current_weather(spark, sf):

@@ -10,7 +10,7 @@ from hydrospark.operators import latest, sequences as SQ
 from hydrospark.operators.maintenance import resolve_alerts, stored_alerts
 from hydrospark.operators.throttle import throttle
 from hydrospark.plans.registered_batch import PLANT_ROWS_SQL, SESSIONS_SQL
-from hydrospark.plans.registry import register
+from hydrospark.plans.registry import ORACLE, register
 from hydrospark.schemas import ALERT_ENABLE_KEYS
 from hydrospark.sources import testdata as td
 
@@ -158,6 +158,44 @@ def q_with_settings(spark, sf):
         "min_humidity", "alert_dry_duration", "email_cooldown_minutes")
 
 
+_AS_OF_KEYS = ("soil_dry_threshold1", "max_temperature", "min_humidity")
+
+
+def _asof_sql(i: int, key: str, kind: str, default: str) -> str:
+    return f"""
+o{i} AS (SELECT q.reading_id, e.value AS own FROM readings q
+         ASOF LEFT JOIN (SELECT * FROM edits WHERE key = '{key}' AND device_id IS NOT NULL) e
+         ON q.device_id = e.device_id AND q.ts >= e.ts),
+g{i} AS (SELECT q.reading_id, e.value AS general FROM readings q
+         ASOF LEFT JOIN (SELECT * FROM edits WHERE key = '{key}' AND device_id IS NULL) e ON q.ts >= e.ts),
+s{i} AS (SELECT reading_id, COALESCE(TRY_CAST(own AS {kind}), TRY_CAST(general AS {kind}), {default}) AS {key}
+         FROM o{i} JOIN g{i} USING (reading_id))"""
+
+
+@register("settings_as_of", f"""
+WITH edits AS (
+  SELECT user_id AS device_id, ts, ['{"', '".join(_AS_OF_KEYS)}'][k % 3 + 1] AS key,
+         CASE WHEN k % 10 = 0 THEN 'none' ELSE CAST(k AS VARCHAR) END AS value FROM events_k WHERE event_type = 'signup'
+  UNION ALL
+  SELECT NULL, ts, ['{"', '".join(_AS_OF_KEYS)}'][k % 3 + 1], CAST(k * 2 AS VARCHAR)
+  FROM events_k WHERE event_type = 'purchase' AND k < 20),
+{_asof_sql(1, 'soil_dry_threshold1', 'INTEGER', '500').strip()},
+{_asof_sql(2, 'max_temperature', 'DOUBLE', '35.0').strip()},
+{_asof_sql(3, 'min_humidity', 'DOUBLE', '30.0').strip()}
+SELECT reading_id, device_id, soil_dry_threshold1, max_temperature, min_humidity
+FROM readings JOIN s1 USING (reading_id) JOIN s2 USING (reading_id) JOIN s3 USING (reading_id)""")
+def q_settings_as_of(spark, sf):
+    # Settings written over time: by devices (``signup`` events) and for all (some ``purchase`` events).
+    e = td.load(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    key = F.element_at(F.array(*[F.lit(k) for k in _AS_OF_KEYS]), F.col("k") % 3 + 1).alias("key")
+    own = e.filter("event_type = 'signup'").select(
+        F.col("user_id").alias("device_id"), "ts", key,
+        F.when(F.col("k") % 10 == 0, "none").otherwise(F.col("k").cast("string")).alias("value"))
+    general = e.filter("event_type = 'purchase' and k < 20").select(
+        F.lit(None).cast("long").alias("device_id"), "ts", key, (F.col("k") * 2).cast("string").alias("value"))
+    return AL.with_settings(R(spark, sf), own.unionByName(general)).select("reading_id", "device_id", *_AS_OF_KEYS)
+
+
 # J4 ------------------------------------------------------------------------------
 
 _MAP_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ALERT_ENABLE_KEYS) + ") AS m(alert_key, setting_key)"
@@ -201,6 +239,13 @@ def q_alert_throttle(spark, sf):
     return throttle(e, ["user_id"], 86400, order_cols=("ts", "event_id"))
 
 
+@register("throttle_all_events", ORACLE["alert_throttle"].replace("  FROM events WHERE event_type IN ('click', 'error')\n",
+                                                                  "  FROM events\n"), raw_sql=True)
+def q_throttle_all_events(spark, sf):
+    e = td.load(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    return throttle(e, ["user_id"], 86400, order_cols=("ts", "event_id"))
+
+
 _MAIL = {"email_enabled": "1", "email_recipient": "alerts@example.invalid"}
 
 
@@ -248,6 +293,21 @@ def q_resolve_alerts(spark, sf):
     return _stored(spark, sf)
 
 
+@register("resolve_alerts_by_id", f"""
+WITH {ALERTS_SQL.strip()},
+acks AS (SELECT reading_id * 10 + rule_pos AS id, MAX(ts + INTERVAL 1 MINUTE) AS ack_ts FROM alerts_all
+         WHERE reading_id % 3 = 0 AND rule_pos <> 4 GROUP BY 1)
+SELECT reading_id * 10 + rule_pos AS id, a.device_id, a.ts, a.type, a.message,
+       CAST(CASE WHEN acks.ack_ts >= a.ts THEN 1 ELSE 0 END AS INTEGER) AS resolved
+FROM alerts_all a LEFT JOIN acks ON acks.id = a.reading_id * 10 + a.rule_pos""")
+def q_resolve_alerts_by_id(spark, sf):
+    # Single acknowledgements: some alerts of every third reading, a minute later.
+    stored = stored_alerts(AL.alerts_all(R(spark, sf), _settings(spark)))
+    acks = stored.filter("floor(id / 10) % 3 = 0 and id % 10 <> 4").select(
+        "device_id", (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"), F.col("id").alias("alert_id"))
+    return resolve_alerts(stored, acks)
+
+
 @register("unresolved_filter", f"WITH {STORED_ALERTS_SQL.strip()} SELECT * FROM stored WHERE resolved = 0")
 def q_unresolved_filter(spark, sf):
     return _stored(spark, sf).filter(F.col("resolved") == 0)
@@ -302,15 +362,36 @@ def q_pump_state_timeline(spark, sf):
     return SQ.pump_state_timeline(R(spark, sf), td.commands(spark, sf))
 
 
-@register("command_context", """
+_CONTEXT_SQL = """
 SELECT c.device_id, c.ts, c.command_id, c.pump, c.action,
-       COALESCE(r.temperature, 25.0) AS temperature, COALESCE(r.humidity, 60.0) AS humidity,
-       COALESCE(r.soil1, 'DRY') AS soil1, COALESCE(r.soil2, 'DRY') AS soil2, COALESCE(r.water, 'AVAILABLE') AS water
-FROM commands c ASOF LEFT JOIN readings r ON c.device_id = r.device_id AND c.ts >= r.ts""")
+       CASE WHEN r.reading_id IS NULL THEN 25.0 ELSE r.temperature END AS temperature,
+       CASE WHEN r.reading_id IS NULL THEN 60.0 ELSE r.humidity END AS humidity,
+       CASE WHEN r.reading_id IS NULL THEN 'DRY' ELSE r.soil1 END AS soil1,
+       CASE WHEN r.reading_id IS NULL THEN 'DRY' ELSE r.soil2 END AS soil2,
+       CASE WHEN r.reading_id IS NULL THEN 'AVAILABLE' ELSE r.water END AS water
+FROM commands c ASOF LEFT JOIN {src} r ON c.device_id = r.device_id AND c.ts >= r.ts"""
+
+
+@register("command_context", _CONTEXT_SQL.format(src="readings"))
 def q_command_context(spark, sf):
     return SQ.command_context(R(spark, sf), td.commands(spark, sf))
 
 
+@register("command_context_gaps", """
+WITH gaps AS (SELECT * REPLACE (CASE WHEN humidity % 3 = 0 THEN NULL ELSE temperature END AS temperature,
+                                CASE WHEN humidity % 4 = 0 THEN NULL ELSE soil1 END AS soil1,
+                                CASE WHEN humidity % 5 = 0 THEN NULL ELSE water END AS water) FROM readings)
+""" + _CONTEXT_SQL.format(src="gaps"))
+def q_command_context_gaps(spark, sf):
+    # Newest readings with null values: they are taken as they are.
+    def gap(c, every):
+        return F.when(F.col("humidity") % every != 0, F.col(c)).alias(c)
+    r = R(spark, sf)
+    holes = {"temperature": 3, "soil1": 4, "water": 5}
+    gaps = r.select(*[gap(c, holes[c]) if c in holes else c for c in r.columns])
+    return SQ.command_context(gaps, td.commands(spark, sf))
+
+
 def device_samples(spark, sf):
     """Raw device samples derived from events (J5 input): water level k*5,
     NaN temperature when k % 19 == 0."""

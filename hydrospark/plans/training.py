@@ -15,12 +15,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrospark.operators.features import scaler_stats, split_chronological, split_stratified, standardize
+from hydrospark.operators.ranking import sample_per_class
+from hydrospark.operators.regression import LinearFit, linear_regression
 from hydrospark.operators.stats import class_balance, regression_metrics
 
 
@@ -38,48 +40,62 @@ def _metrics_row(spark: SparkSession, model_name: str, accuracy, r2, mse, sample
     return spark.createDataFrame([(model_name, accuracy, r2, mse, samples, status, message)], schema)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A one-row table by value, so that nothing stays persisted for it."""
+    return df.sparkSession.createDataFrame([df.first()], df.schema)
+
+
 def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: str = "target",
                           min_samples: int = 50, seed: int = 42, num_trees: int = 100,
-                          max_depth: int = 10) -> TrainedClassifier:
+                          max_depth: int = 10, fit_rows: int = 200_000) -> TrainedClassifier:
     """M7: stratified 80/20 split, population scaling fitted on train,
     random forest with balanced class weights; metrics on the test part:
     accuracy, R^2 of label vs P(ON), MSE of label vs class. Too few samples or
-    a single class -> a 'failed' metrics row and no model."""
+    a single class -> a 'failed' metrics row and no model.
+
+    Split, scaling, class weights and metrics cover all rows. The trees are
+    fitted on at most ``fit_rows`` training rows of each class, a sample by hash
+    that is the whole training part below that size. One copy of the features
+    is persisted while this runs."""
     spark = features.sparkSession
-    features = features.persist()  # read by the counts, the split and the quantiles
-    counts = features.groupBy(label).count().collect()  # at most two rows
-    n = sum(r["count"] for r in counts)
-    if n < min_samples:
-        msg = f"Only {n} samples available, need at least {min_samples}" if n else "Insufficient training data"
-        return TrainedClassifier(None, None, feature_cols, _metrics_row(spark, "none", 0.0, 0.0, 0.0, n, "failed", msg))
-    if len(counts) < 2 or min(r["count"] for r in counts) < 2:
-        msg = "Training failed: the least populated class has too few members"
-        return TrainedClassifier(None, None, feature_cols, _metrics_row(spark, "none", 0.0, 0.0, 0.0, 0, "failed", msg))
-    split = split_stratified(features, label, 0.2, seed).cache()
-    train = split.filter(~F.col("is_test"))
-    test = split.filter(F.col("is_test"))
-    stats = scaler_stats(train, feature_cols).cache()
-    weights = class_balance(train, label).select(label, F.col("weight").alias("_w"))
-    # MLlib makes several passes (metadata, split candidates, bagging) over its input.
-    train_w = standardize(train, stats, feature_cols).join(F.broadcast(weights), label).persist()  # <= 2 rows
-    assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                                seed=seed, weightCol="_w")
-    model = Pipeline(stages=[assembler, rf]).fit(train_w)
-    scored = score(model, standardize(test, stats, feature_cols))
-    m = scored.agg(
-        F.avg(F.when(F.col("predicted") == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"),
-        F.avg((F.col(label) - F.col("predicted")) ** 2).alias("mse"))
-    r2 = regression_metrics(scored, label=label, prediction="p_on", clip=False).select("r2")
-    row = m.crossJoin(r2).select(
-        F.lit("Random Forest Classifier").alias("model_name"), "accuracy", F.col("r2").alias("r2_score"), "mse",
-        F.lit(n).cast("int").alias("samples_used"), F.lit("success").alias("status"),
-        F.lit(f"Model trained successfully with {n} samples").alias("message"))
-    row = row.persist()
-    row.count()
-    for df in (train_w, split, features):
-        df.unpersist()
-    return TrainedClassifier(model, stats, feature_cols, row)
+    features = features.persist()
+    try:
+        counts = features.groupBy(label).count().collect()  # at most two rows
+        n = sum(r["count"] for r in counts)
+        if n < min_samples:
+            msg = f"Only {n} samples available, need at least {min_samples}" if n else "Insufficient training data"
+            return TrainedClassifier(None, None, feature_cols,
+                                     _metrics_row(spark, "none", 0.0, 0.0, 0.0, n, "failed", msg))
+        if len(counts) < 2 or min(r["count"] for r in counts) < 2:
+            msg = "Training failed: the least populated class has too few members"
+            return TrainedClassifier(None, None, feature_cols,
+                                     _metrics_row(spark, "none", 0.0, 0.0, 0.0, 0, "failed", msg))
+        split = split_stratified(features, label, 0.2, seed)
+        train = split.filter(~F.col("is_test"))
+        test = split.filter(F.col("is_test"))
+        stats = _kept(scaler_stats(train, feature_cols))
+        # The balance of the whole training part, scaled to what is left of each class.
+        share = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+        weights = class_balance(train, label).join(share, label).select(
+            label, (F.col("weight") * F.greatest(F.lit(1.0), F.col("_n") / fit_rows)).alias("_w"))
+        sample = sample_per_class(train, label, "reading_id", fit_rows, seed + 1)
+        fit_on = standardize(sample, stats, feature_cols).join(F.broadcast(weights), label)  # <= 2 rows
+        assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+        rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
+                                    seed=seed, weightCol="_w")
+        model = Pipeline(stages=[assembler, rf]).fit(fit_on)
+        scored = score(model, standardize(test, stats, feature_cols))
+        m = scored.agg(
+            F.avg(F.when(F.col("predicted") == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"),
+            F.avg((F.col(label) - F.col("predicted")) ** 2).alias("mse"))
+        r2 = regression_metrics(scored, label=label, prediction="p_on", clip=False).select("r2")
+        row = _kept(m.crossJoin(r2).select(
+            F.lit("Random Forest Classifier").alias("model_name"), "accuracy", F.col("r2").alias("r2_score"), "mse",
+            F.lit(n).cast("int").alias("samples_used"), F.lit("success").alias("status"),
+            F.lit(f"Model trained successfully with {n} samples").alias("message")))
+        return TrainedClassifier(model, stats, feature_cols, row)
+    finally:
+        features.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -95,36 +111,45 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
 
 
 def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label: str = "target",
-                             seed: int = 42, trees: int = 100) -> tuple[DataFrame, dict]:
+                             seed: int = 42, trees: int = 100, max_depth: int = 30,
+                             fit_rows: int = 200_000) -> tuple[DataFrame, dict]:
     """M8: chronological 80/20 split, scaling fitted on train; random forest,
     gradient boosting and linear regression; predictions clipped to [0, 1];
-    MSE and R^2 per model; ``pos`` keeps the listing order for T11 ties."""
+    MSE and R^2 per model; ``pos`` keeps the listing order for T11 ties.
+
+    Scaling, the linear model (normal equations) and the metrics cover all rows;
+    the trees are fitted on at most ``fit_rows`` training rows, a sample by hash
+    that is the whole training part below that size. The forest's trees are as
+    deep as MLlib allows (30); boosting has depth 3."""
     spark = features.sparkSession
     split = split_chronological(features).persist()
-    train = split.filter(~F.col("is_test"))
-    test = split.filter(F.col("is_test"))
-    stats = scaler_stats(train, feature_cols).persist()
-    tr = standardize(train, stats, feature_cols).persist()
-    te = standardize(test, stats, feature_cols).persist()
-    assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-    learners = [("random_forest", RandomForestRegressor(labelCol=label, numTrees=trees, seed=seed)),
-                ("gradient_boosting", GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed)),
-                ("linear_regression", LinearRegression(labelCol=label))]
-    rows, models = [], {}
-    for pos, (name, learner) in enumerate(learners):
-        model = Pipeline(stages=[assembler, learner]).fit(tr)
-        pred = model.transform(te).select(F.col(label).cast("double").alias("label"), "prediction")
-        m = regression_metrics(pred, "label", "prediction", clip=True).first()  # one row
-        rows.append((pos, name, float(m["mse"] or 0.0), float(m["r2"] or 0.0)))
-        models[name] = model
-    for df in (tr, te, split):
-        df.unpersist()
-    metrics = spark.createDataFrame(rows, "pos int, name string, mse double, r2 double")
-    return metrics, models
-
-
-def feature_importance(model: PipelineModel, feature_cols: list[str]) -> DataFrame | None:
+    try:
+        train = split.filter(~F.col("is_test"))
+        test = split.filter(F.col("is_test"))
+        stats = _kept(scaler_stats(train, feature_cols))
+        tr = standardize(train, stats, feature_cols)
+        te = standardize(test, stats, feature_cols)
+        sample = sample_per_class(tr.withColumn("_all", F.lit(1)), "_all", "reading_id", fit_rows, seed + 1)
+        assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+        learners = [("random_forest", RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed)),
+                    ("gradient_boosting", GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed))]
+        models = {name: Pipeline(stages=[assembler, learner]).fit(sample) for name, learner in learners}
+        models["linear_regression"] = linear_regression(tr, feature_cols, label)
+        rows = []
+        for pos, (name, model) in enumerate(models.items()):
+            pred = te.withColumn("prediction", model.predict()) if isinstance(model, LinearFit) else model.transform(te)
+            pred = pred.select(F.col(label).cast("double").alias("label"), "prediction")
+            m = regression_metrics(pred, "label", "prediction", clip=True).first()  # one row
+            rows.append((pos, name, float(m["mse"] or 0.0), float(m["r2"] or 0.0)))
+        return spark.createDataFrame(rows, "pos int, name string, mse double, r2 double"), models
+    finally:
+        split.unpersist()
+
+
+def feature_importance(model: PipelineModel | LinearFit, feature_cols: list[str]) -> DataFrame | None:
     """M9: feature -> importance for tree models (None otherwise)."""
+    if isinstance(model, LinearFit):
+        return None
     last = model.stages[-1]
     if not hasattr(last, "featureImportances"):
         return None
@@ -133,13 +158,19 @@ def feature_importance(model: PipelineModel, feature_cols: list[str]) -> DataFra
     return spark.createDataFrame([(f, float(v)) for f, v in zip(feature_cols, imp)], "feature string, importance double")
 
 
-def train_health_classifier(rows: DataFrame, seed: int = 42) -> PipelineModel:
-    """Random forest (100 trees) on soil, temperature, humidity, pump
-    -> the F9 health label. No split, no metric (as in the original)."""
+def train_health_classifier(rows: DataFrame, seed: int = 42, fit_rows: int = 200_000,
+                            max_depth: int = 30) -> PipelineModel:
+    """Random forest (100 trees, as deep as MLlib allows) on soil,
+    temperature, humidity, pump -> the F9 health label. No split, no metric (as
+    in the original). Fitted on at most ``fit_rows`` rows of each label, a sample
+    by a hash of the row."""
+    content = F.to_json(F.struct("soil", "temperature", "humidity", "pump01"), {"ignoreNullFields": "false"})
+    keyed = rows.withColumn("_id", content)
+    rows = sample_per_class(keyed, "health", "_id", fit_rows, seed + 1).drop("_id")
     indexer = StringIndexer(inputCol="health", outputCol="health_idx")
     assembler = VectorAssembler(inputCols=["soil", "temperature", "humidity", "pump01"], outputCol="features",
                                 handleInvalid="keep")
-    rf = RandomForestClassifier(labelCol="health_idx", featuresCol="features", numTrees=100, seed=seed)
+    rf = RandomForestClassifier(labelCol="health_idx", featuresCol="features", numTrees=100, maxDepth=max_depth, seed=seed)
     return Pipeline(stages=[indexer, assembler, rf]).fit(rows)
 
 

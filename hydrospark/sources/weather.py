@@ -51,6 +51,16 @@ def weather_rows(df: DataFrame) -> DataFrame:
                       F.col("lon").alias("location_lon"))
 
 
+def newest_weather_row(df: DataFrame) -> DataFrame:
+    """S8 + T4: the newest weather row. Payloads without a weather entry are
+    passed over (the array alone is read of each); of what is left the newest
+    payload is taken by one aggregate and only that one is parsed."""
+    has = F.size(F.from_json(F.col("current_json"), "weather array<string>")["weather"]) > 0
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    newest = df.where(has).agg(F.max_by(row, F.struct("ts", "id")).alias("_row")).where("_row is not null").select("_row.*")
+    return weather_rows(newest)
+
+
 def join_feeds(current: DataFrame, forecast: DataFrame, bound_minutes: int = 5) -> DataFrame:
     """S8 from two landed feeds: current payloads (id, ts, city, lat, lon,
     current_json) and forecast payloads (id, ts, city, lat, lon, forecast_json)

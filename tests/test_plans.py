@@ -73,3 +73,16 @@ def test_ordered_operators_read_their_input_twice_at_most(spark):
             assert plan.count("FileScan parquet") <= most, (name, plan)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_plant_health_report_shuffles_rows_once(spark):
+    """Rows to buckets, the device list, summaries to plants; broadcasts off."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rep = plant_health_report(td.readings(spark, SF), td.as_of_lit(), known_days=30)
+        plan = rep._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") <= 4 and plan.count("FileScan parquet") <= 2, plan
+        assert plan.count("GreaterThan(ts,") == plan.count("FileScan parquet")  # no scan of all history
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
