@@ -106,12 +106,12 @@ class Aligner:
         self._name_a, self._name_b = ([str(i) for i in range(len(t.bytes_of))] for t in (a, b))
         self._memo: dict[tuple[bytes, bytes], str] = {}
 
-    def _groups(self, a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-        """The groups of a window (`a1,a2|b1;a3|b2,b3`) whose shared ends lie
-        after these numbers of its ids."""
+    def _groups(self, a: list[int], b: list[int], i: int, j: int, ends_a: list[int], ends_b: list[int]) -> str:
+        """The groups (`a1,a2|b1;a3|b2,b3`) of the window that begins at ids i and
+        j and whose shared ends lie after these numbers of ids."""
         name_a, name_b = self._name_a, self._name_b
-        out, i, j = [], 0, 0
-        for x, y in ends:
+        out = []
+        for x, y in zip(ends_a, ends_b):
             if x - i == 1 and y - j == 1:
                 out.append(f"{name_a[a[i]]}|{name_b[b[j]]}")
             else:
@@ -146,8 +146,7 @@ class Aligner:
             key = packed_a[4 * i:4 * ia], packed_b[4 * j:4 * jb]
             text = found(key)
             if text is None:
-                text = self._groups(a[i:ia], b[j:jb],
-                                    [(x - i, y - j) for x, y in zip(shared_a[k:kc], shared_b[k:kc])])
+                text = self._groups(a, b, i, j, shared_a[k:kc], shared_b[k:kc])
                 if ia - i <= MEMO_WINDOW:
                     if len(memo) >= MEMO_ENTRIES:
                         memo.clear()
