@@ -61,10 +61,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a materialised table of at most ``max_rows`` rows; a
-    larger one stays a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint for a materialised table of at most ``max_rows`` rows and
+    ``max_bytes`` bytes (strings and binaries by their length, other values as
+    16); a larger one stays a shuffle join."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        flat = f.dataType.typeName() in ("string", "binary")
+        text = F.col(f"`{f.name}`") if flat else F.to_json(F.struct(F.col(f"`{f.name}`")))
+        nested = f.dataType.typeName() in ("array", "map", "struct")
+        size = size + (F.coalesce(F.octet_length(text), F.lit(0)) if flat or nested else 16)
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and held <= max_bytes else df
 
 
 def byte_slices(column, max_rows: int = 256, max_bytes: int = 1 << 20):
