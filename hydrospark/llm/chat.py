@@ -31,16 +31,29 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """``escape``, and line breaks as a backslash and n, so that a role is one line."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(text: Column) -> Column:
+    # Between doubled backslashes, a backslash before n is a line break and any other one a broken control string.
+    parts = F.split(text, r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit(""))),
+                        "\\")
+
+
 def branches(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFrame:
     """The ``best`` root-to-leaf paths per tree.
 
     ``messages``: tree, id, parent (null at a root), score (double, null counts
-    as 0); (tree, id) is unique, and a parent that is not in the tree makes a
-    root. Returns (tree, leaf, id, depth), one row per message of a chosen path.
+    as 0); of repeated (tree, id) rows the one with the smallest parent and score
+    counts, and a parent that is not in the tree makes a root. Returns (tree, leaf, id, depth), one row per message of a chosen path.
     Paths are ranked by mean score, then depth, then leaf id, so ties have one
     result. Raises on a cycle.
     """
     nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = nodes.groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "id", "m.*")
     known = nodes.select("tree", F.col("id").alias("up"))
     up = (nodes.withColumn("up", F.col("parent")).join(known.withColumn("_in", F.lit(True)), ["tree", "up"], "left")
           .select("tree", "id", F.when(F.col("_in"), F.col("up")).alias("up"), "score"))
@@ -76,7 +89,7 @@ def format_paths(turns: DataFrame, keys: list[str], trained_role: str = "assista
     """One conversation per ``keys`` from rows (keys, depth, role, text):
     ``formatted`` and ``loss_spans``, the code point ranges (start, length) of
     the texts that count for the loss. Null roles and texts are empty."""
-    role = escape(F.regexp_replace(F.coalesce("role", F.lit("")), "\n", " "))
+    role = escape_role(F.col("role"))
     row = turns.select(*keys, F.struct(
         F.col("depth"), F.concat(F.lit(OPEN), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
         F.coalesce(F.col("role") == trained_role, F.lit(False)).alias("loss")).alias("t"))
@@ -100,7 +113,7 @@ def parse(formatted: Column) -> Column:
     parts = F.slice(parts, 2, F.size(parts))
     tail = len(CLOSE) + 1
     return F.transform(parts, lambda p: F.struct(
-        unescape(F.substring_index(p, "\n", 1)).alias("role"),
+        unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
         unescape(F.substring(p, F.instr(p, "\n") + 1, F.length(p) - F.instr(p, "\n") - tail)).alias("text")))
 
 
@@ -118,8 +131,10 @@ def format_conversations(table: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns with equal numbers (repeated rows too) all stay, ordered by role and
     text; a null turn comes first. Rows with a null conversation id form one
-    conversation. Null texts and roles are empty; a line break in a role becomes
-    a space. Other columns are ignored. An empty table gives an empty result.
+    conversation. Null texts and roles are empty; both are read back as they
+    were, line breaks and control strings included. Other columns are ignored
+    whatever their names. A conversation is one row of the result, so a very long
+    one is put together in one task. An empty table gives an empty result.
     """
     rows = table.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"),
                         F.col(f"`{role_col}`").cast("string").alias("role"),

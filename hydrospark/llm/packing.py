@@ -98,6 +98,9 @@ def pack(docs: DataFrame, length: Column, cluster: Column, id_col: str = "doc_id
     Pieces are dealt at random into shards of about ``shard_rows`` pieces, so
     every shard has the sources in the same mix and a hot source costs no task
     more than the others; each shard is packed on its own, longest pieces first.
+    A search over all bins is one shard (``shard_rows`` as large as the table).
+    ``bin_id`` names a shard's bin or, of a full piece, its row's number, so it is
+    unique whatever the ids.
     Texts are never moved: only ids, lengths, sources and clusters are.
     """
     import pandas as pd
@@ -111,7 +114,7 @@ def pack(docs: DataFrame, length: Column, cluster: Column, id_col: str = "doc_id
         "len", F.least(F.lit(capacity), F.col("n") - F.col("start")))
     # Full pieces are bins already.
     whole = pieces.where(F.col("len") == capacity).select(
-        F.concat_ws(":", F.lit("full"), F.col("doc").cast("string"), F.col("start").cast("string")).alias("bin_id"),
+        F.concat_ws(":", F.lit("full"), F.col("row").cast("string"), F.col("start").cast("string")).alias("bin_id"),
         F.array("doc").alias("doc_ids"), F.array("start").alias("starts"), F.array("len").alias("lengths"))
     rest = pieces.where(F.col("len") < capacity)
     shards = max(1, -(-rest.count() // shard_rows))

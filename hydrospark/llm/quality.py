@@ -65,6 +65,28 @@ def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z[:, :19] ** 2 / 4, np.ones((len(z), 1))], axis=1)
 
 
+def _sigmoid(t: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * t))
+
+
+def pu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk, bracket, step direction) of weights ``w``.
+
+    With the logistic loss, R_p(+) and R_p(-) the mean losses of the positives
+    as 1 and as 0 and R_u(-) that of the unlabelled rows as 0, the bracket is
+    R_u(-) - prior * R_p(-) and the risk prior * R_p(+) + max(0, bracket). The
+    direction is the risk's gradient; where the bracket is negative, that of
+    minus the bracket, which leads out of there."""
+    sp, su = _sigmoid(positive @ w), _sigmoid(unlabelled @ w)
+    grad_pos = positive.T @ (sp - 1) / len(positive)
+    grad_rest = unlabelled.T @ su / len(unlabelled) - prior * (positive.T @ sp) / len(positive)
+    as_zero = [-np.mean(np.log1p(-np.minimum(s, 1 - 1e-12))) for s in (su, sp)]
+    as_one = -np.mean(np.log(np.maximum(sp, 1e-12)))
+    rest = as_zero[0] - prior * as_zero[1]
+    risk = prior * as_one + max(0.0, rest)
+    return float(risk), float(rest), prior * grad_pos + grad_rest if rest >= 0 else -grad_rest
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05,
              decay: float = 1e-3) -> Model:
     """Adam on the non-negative PU risk with logistic loss."""
@@ -75,17 +97,8 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-
-    def sigmoid(t):
-        return 0.5 * (1 + np.tanh(0.5 * t))
-
     for step in range(1, steps + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        grad_pos = p.T @ (sp - 1) / len(p)                     # of R_p(+)
-        grad_neg = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)  # of R_u(-) - prior R_p(-)
-        rest = -np.mean(np.log1p(-np.minimum(su, 1 - 1e-12))) + prior * np.mean(np.log1p(-np.minimum(sp, 1 - 1e-12)))
-        g = prior * grad_pos + grad_neg if rest >= 0 else -grad_neg
-        g = g + decay * np.append(w[:-1], 0)
+        g = pu_risk(w, p, u, prior)[2] + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return Model(mean, scale, w, prior)
@@ -96,20 +109,20 @@ def score_matrix(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def _featurised(docs: DataFrame) -> DataFrame:
-    """(features array) of rows (text)."""
+    """(x) of rows (text): the features as packed doubles."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             for _, texts in byte_slices(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in texts],
-                                                           pa.list_(pa.float64()))], names=["x"])
+                yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in texts], pa.binary())], names=["x"])
 
-    return docs.mapInArrow(run, "x array<double>")
+    return docs.mapInArrow(run, "x binary")
 
 
 def _matrix(df: DataFrame) -> np.ndarray:
-    return np.array([r["x"] for r in df.collect()], dtype=np.float64).reshape(-1, N_FEATURES)
+    data = b"".join(bytes(r["x"]) for r in df.collect())
+    return np.frombuffer(data, dtype=np.float64).reshape(-1, N_FEATURES)
 
 
 def _thinned(df: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
@@ -127,12 +140,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     id column) holds; None if there is no positive row.
 
     Positives are documents with label 1, the unlabelled set all documents of
-    the fold whatever their label, the prior is the share of 1 among all
-    labelled rows of the fold. The classifier is fitted on about
+    the fold whatever their label. The prior is the share of 1 among all labelled
+    rows of the fold: known negatives enter it and nothing else. The classifier is fitted on about
     ``max_positive`` positives and ``max_unlabelled`` unlabelled rows at most,
-    chosen by id hash; only their features reach the driver. Null labels and
-    null texts in the labelled rows count for nothing; repeated labels are
-    taken once.
+    chosen by id hash (rows without an id all or none); only their features, as
+    packed bytes, reach the driver. Null labels count for nothing; repeated
+    labels are taken once; repeated documents and null texts (empty ones) count
+    as often as they stand there.
     """
     key = F.col(f"`{id_col}`")
     fold = docs if where is None else docs.where(where)
@@ -157,8 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All columns and rows of ``docs`` plus ``score`` (0 to 1) and ``predicted``.
 
-    Only the text is an input. Null and empty texts get the score of the empty
-    text; without a model every score is 0.5. Whole texts are read in slices of
+    Only the text is an input, so repeated rows get one score. Null and empty
+    texts get the score of the empty text; without a model every score is 0.5.
+    Whole texts are read in slices of
     bounded size. Input columns of these names are replaced. An empty table
     stays empty.
     """

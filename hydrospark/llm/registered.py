@@ -65,7 +65,8 @@ _OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(source, chr(0)) AS owner, coalesce(text, '') AS txt
            FROM documents),
 c AS ({' UNION ALL '.join(_kind_sql(k) for k in secret_scan.PATTERNS)}),
-own AS (SELECT val, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, doc_id)) AS n_repos FROM c GROUP BY val),
+own AS (SELECT val, count(DISTINCT c.owner) AS n_owners, count(DISTINCT txt) AS n_repos
+        FROM c JOIN d USING (row_id) GROUP BY val),
 cls AS (SELECT c.*, CASE WHEN n_owners >= 3 AND n_repos >= 3 THEN 'copied'
                          WHEN regexp_matches(val, '[0-9]') AND len(list_distinct(string_split(val, ''))) >= 8
                          THEN 'live' END AS class FROM c JOIN own USING (val)),
@@ -83,7 +84,7 @@ FROM d LEFT JOIN g USING (row_id)
 
 @_register("op2_secret_scan", _OP2)
 def op2(spark, sf_dir):
-    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"), by_text=True)
     counts = [F.size(F.filter("found", secret_scan.is_kind(k))).cast("long").alias(f"n_{k}")
               for k in secret_scan.PATTERNS]
     return found.select("doc_id", *counts,

@@ -113,7 +113,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source",
                  repo_col: str | None = None, min_owners: int = 3, min_repos: int = 3,
-                 thorough: bool = False) -> DataFrame:
+                 by_text: bool = False, thorough: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``_text_hash``/``_text_bytes``,
     ``found``: array of (start, rank, end, value, n_owners, n_repos, class),
     by start, then kind, and ``marks``: the different (start, rank, end) of
@@ -122,8 +122,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     ``class`` is ``copied`` for a value with at least ``min_owners`` owners in
     at least ``min_repos`` repositories, else ``live`` if it looks random, else
     null. A repository is (owner, ``repo_col``), by default the document. With
-    ``thorough`` all texts that are equal are one repository, whatever their
-    owners, and a value looks random by its kind (``_secret_shaped``).
+    ``by_text`` (and ``thorough``) all texts that are equal are one repository,
+    whatever their owners, so copies of one document make nothing an example.
+    With ``thorough`` a value looks random by its kind (``_secret_shaped``).
 
     Null texts count as empty. A null owner is an owner of its own, and so is a
     null repository. Repeated rows are scanned each; equal (owner, repository)
@@ -136,12 +137,12 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                        F.col(f"`{owner_col}`").cast("string").alias("owner"),
                        F.col(f"`{repo_col or id_col}`").cast("string").alias("repo"), base_spans(text).alias("spans"))
     base = cut_lineage(base.withColumn("_row", F.monotonically_increasing_id()))
-    hits = base.select("_row", "owner", "repo", F.explode("spans").alias("s")).select(
-        "_row", "owner", "repo", "s.*", F.sha2("s.value", 256).alias("hash"))
+    content = F.concat_ws(":", "_text_hash", "_text_bytes")
+    hits = base.select("_row", "owner", "repo", content.alias("content"), F.explode("spans").alias("s")).select(
+        "_row", "owner", "repo", "content", "s.*", F.sha2("s.value", 256).alias("hash"))
     seen = ownership(hits)
-    if thorough:
-        texts = hits.join(base.select("_row", "_text_hash", "_text_bytes"), "_row").select(
-            "hash", F.concat_ws(":", "_text_hash", "_text_bytes").alias("owner"), F.lit("").alias("repo"))
+    if by_text or thorough:
+        texts = hits.select("hash", F.col("content").alias("owner"), F.lit("").alias("repo"))
         seen = seen.drop("n_repos").join(ownership(texts).select("hash", F.col("n_owners").alias("n_repos")), "hash")
     random = _secret_shaped(F.col("value"), F.col("rank")) if thorough else _live_looking(F.col("value"))
     cls = (F.when((F.col("n_owners") >= min_owners) & (F.col("n_repos") >= min_repos), "copied")

@@ -282,7 +282,10 @@ def originals(captures: DataFrame) -> DataFrame:
     by_id = full.where("record_id is not null").select(F.col("record_id").alias("_to"), F.col("metadata").alias("_by_id"))
     by_digest = full.groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("metadata").alias("_by_digest"))
     revisit = F.col("record_type") == "revisit"
-    j = captures.withColumns({"_ref": F.when(revisit, F.col("refers_to")),
-                              "_sum": F.when(revisit & F.col("refers_to").isNull(), F.col("stated_digest"))})
+    # Captures that refer to nothing get keys of their own, which spreads them over the tasks of the joins.
+    alone = F.concat(F.lit("none "), F.coalesce("record_id", F.lit("")))
+    j = captures.withColumns({
+        "_ref": F.coalesce(F.when(revisit, F.col("refers_to")), alone),
+        "_sum": F.coalesce(F.when(revisit & F.col("refers_to").isNull(), F.col("stated_digest")), alone)})
     j = j.join(by_id, F.col("_ref") == F.col("_to"), "left").join(by_digest, F.col("_sum") == F.col("_digest"), "left")
     return j.withColumn("original", F.coalesce("_by_id", "_by_digest")).drop("_ref", "_sum", "_to", "_by_id", "_digest", "_by_digest")

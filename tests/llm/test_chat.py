@@ -54,3 +54,19 @@ def test_branches_match_brute_force(spark):
         for _, _, leaf, path in sorted(paths)[:2]:
             want[tree, leaf] = list(enumerate(path))
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_roles_are_reversible(spark):
+    roles = ["us\ner", "\n", "\\n", "\\", "\\\n", "a\\\\\nb", "<|turn|>\n", "[INST]\n[/INST]", "n", "<\\n|", "<s>\\\n</s>", "", None]
+    df = spark.createDataFrame([(i, 0, r, f"text {i}", 1, 2) for i, r in enumerate(roles)],
+                               "conv_id long, turn long, role string, text string, formatted int, depth int")
+    got = chat.format_conversations(df).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t")).collect()
+    assert {r["conv_id"]: [tuple(x) for x in r["t"]] for r in got} == {i: [(r or "", f"text {i}")] for i, r in enumerate(roles)}
+    assert all(r["formatted"].count("\n") == 2 for r in got)
+
+
+def test_repeated_messages_count_once(spark):
+    rows = [("t", 0, None, 0.0), ("t", 1, 0, 2.0), ("t", 1, 0, 1.0), ("t", 2, 0, 1.5), ("t", 2, 0, 1.5)]
+    df = spark.createDataFrame(rows, "tree string, id long, parent long, score double")
+    got = sorted(tuple(r) for r in chat.branches(df, best=2).collect())
+    assert got == [("t", 1, 0, 0), ("t", 1, 1, 1), ("t", 2, 0, 0), ("t", 2, 2, 1)]

@@ -90,3 +90,11 @@ def test_rows_of_one_id_are_dealt_over_shards(spark):
         shard = b["bin_id"].split(":")[0]
         pieces[shard] = pieces.get(shard, 0) + len(b["doc_ids"])
     assert sum(pieces.values()) == 4000 and len(pieces) == 40 and max(pieces.values()) < 200
+
+
+def test_bin_ids_are_unique(spark):
+    docs = spark.createDataFrame([(1, 20), (1, 20), (None, 25), (None, 25), (2, 7), (1, 3)], "doc_id long, n long") \
+        .withColumn("source", F.lit("s"))
+    bins = pk.pack(docs, F.col("n"), F.lit(None), capacity=10, shard_rows=2).collect()
+    assert len({b["bin_id"] for b in bins}) == len(bins)
+    assert sum(sum(b["lengths"]) for b in bins) == 100
