@@ -77,12 +77,12 @@ def pu_risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior:
     R_u(-) - prior * R_p(-) and the risk prior * R_p(+) + max(0, bracket). The
     direction is the risk's gradient; where the bracket is negative, that of
     minus the bracket, which leads out of there."""
-    sp, su = _sigmoid(positive @ w), _sigmoid(unlabelled @ w)
+    tp, tu = positive @ w, unlabelled @ w
+    sp, su = _sigmoid(tp), _sigmoid(tu)
     grad_pos = positive.T @ (sp - 1) / len(positive)
     grad_rest = unlabelled.T @ su / len(unlabelled) - prior * (positive.T @ sp) / len(positive)
-    as_zero = [-np.mean(np.log1p(-np.minimum(s, 1 - 1e-12))) for s in (su, sp)]
-    as_one = -np.mean(np.log(np.maximum(sp, 1e-12)))
-    rest = as_zero[0] - prior * as_zero[1]
+    as_one = np.logaddexp(0, -tp).mean()
+    rest = np.logaddexp(0, tu).mean() - prior * np.logaddexp(0, tp).mean()
     risk = prior * as_one + max(0.0, rest)
     return float(risk), float(rest), prior * grad_pos + grad_rest if rest >= 0 else -grad_rest
 

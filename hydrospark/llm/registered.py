@@ -180,8 +180,8 @@ FROM k
 def op7(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     token = warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, token)).drop("payload", "http", "requests", "metadatas")
-    return warc.originals(cut_lineage(captures)).select(
+    captures = warc.assemble(warc.read_records(spark, path, token), with_payload=False)
+    return warc.originals(cut_lineage(captures.drop("http", "requests", "metadatas"))).select(
         F.col("metadata.page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("original.page_id").cast("long").alias("refers_to"))
 

@@ -230,7 +230,7 @@ def _transactions(records: DataFrame) -> DataFrame:
     return direct.unionByName(over)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """One nested row per capture: each response or revisit with ``requests`` and
     ``metadatas``, arrays of the records that are concurrent to it (either one
     may name the other), by record id; ``request`` and ``metadata`` are the first
@@ -240,23 +240,27 @@ def assemble(records: DataFrame) -> DataFrame:
     revisit are the stated ones of the full payload. Equal repeated records of a
     capture count once; responses without an id are captures alone; records of
     other types and requests without a response are left out. Only record ids
-    and the blocks of requests and metadata are joined and gathered, and payloads
-    are not carried unless asked for.
+    and the blocks of requests and metadata are joined and gathered. Without
+    ``with_payload`` the archive is read once, into a table of all but payloads.
     """
     http = F.substring_index("block", _NL2, 1)
-    res = records.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", "type", "target_uri", "refers_to", "refers_to_uri", "stated_digest", "complete", http.alias("http"),
+    capture = F.col("type").isin("response", "revisit")
+    res = records.select(
+        "record_id", "type", "target_uri", "refers_to", "refers_to_uri", "stated_digest", "complete", "concurrent_to",
+        F.when(capture, http).alias("http"), F.when(~capture, F.col("block")).alias("block"),
         F.expr("substring(block, length(substring_index(block, '\\r\\n\\r\\n', 1)) + 5, length(block))").alias("payload"))
     full = F.col("type") == "response"
-    res = res.select(
-        "record_id", F.col("type").alias("record_type"), "target_uri", "refers_to", "refers_to_uri", "http", "payload",
+    rows = res.where("type in ('request', 'response', 'revisit', 'metadata')").select(
+        "record_id", "type", "concurrent_to", "block", "target_uri", "refers_to", "refers_to_uri", "http", "payload",
         "complete", F.when(full, F.octet_length("payload").cast("long")).otherwise(
             F.regexp_extract("http", r"(?im)^Content-Length:[ \t]*(\d+)", 1).try_cast("long")).alias("payload_bytes"),
         F.when(full, base32_sha1(F.col("payload"))).otherwise(F.col("stated_digest")).alias("payload_digest"),
         "stated_digest")
-    small = cut_lineage(records.select("record_id", "type", "concurrent_to",
-                                       F.when(F.col("type").isin("request", "metadata"), F.col("block")).alias("block"))
-                        .where("type in ('request', 'response', 'revisit', 'metadata')"))
+    if with_payload:
+        small = cut_lineage(rows.select("record_id", "type", "concurrent_to", "block"))
+    else:
+        rows = small = cut_lineage(rows.drop("payload"))
+    res = rows.where(capture).drop("concurrent_to", "block").withColumnRenamed("type", "record_type")
 
     def meta_field(name):
         got = F.regexp_extract("block", rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1)
