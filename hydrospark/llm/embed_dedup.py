@@ -81,11 +81,17 @@ def side(index: Index, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.
         (gap * gap).sum(axis=1))
 
 
-def probes(index: Index, x: np.ndarray, home: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+def centroid_gaps(index: Index) -> np.ndarray:
+    """Distances between the coarse centroids."""
+    c = index.centroids
+    sq = (c * c).sum(axis=1)
+    return np.sqrt(np.maximum(sq[:, None] - 2 * c @ c.T + sq, 0))
+
+
+def probes(index: Index, x: np.ndarray, home: np.ndarray, reach: float, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of every row's own list and all lists with a boundary within ``reach``."""
     c = index.centroids
     sq = (c * c).sum(axis=1)
-    gaps = np.sqrt(np.maximum(sq[:, None] - 2 * c @ c.T + sq, 0))
     rows, lists = [], []
     for lo in range(0, len(x), 1024):
         own = home[lo:lo + 1024]
@@ -212,13 +218,14 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
 
     def assign(batches):
+        gaps = centroid_gaps(index)
         for b in batches:
             if not b.num_rows:
                 continue
             u = np.stack([np.frombuffer(v.as_py()) for v in b.column(2)])
             home = _nearest(u, index.centroids)
             codes, errors = encode(index, u, home)
-            row, lists = probes(index, u, home, radius / 2)
+            row, lists = probes(index, u, home, radius / 2, gaps)
             is_home = lists == home[row]
             none = np.full(len(row), None, dtype=object)
             code_col = none.copy()

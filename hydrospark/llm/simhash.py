@@ -215,12 +215,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3, cell_rows: int = 4
 
 
 def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3,
-                   max_bits: int = 3) -> DataFrame:
+                   max_bits: int = 3, extra: list[Column] | None = None) -> DataFrame:
     """Near-duplicate groups of all rows of ``docs`` by whole-text SimHash.
 
     Returns one row per input row: the id, ``_text_hash``/``_text_bytes`` (which
     with the id identify the row's content), ``fp`` (long), ``root`` (long, one
     fingerprint of the group) and ``component_id`` (smallest id of the group).
+    ``extra`` columns, expressions over ``docs``, are carried along.
 
     Null and word-less texts have fingerprint 0 and are linked like any other.
     A null id takes part in links but is never a ``component_id`` while the
@@ -229,7 +230,8 @@ def simhash_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     a group of exact copies of any size costs one row there. Other columns are
     ignored. An empty table gives an empty result.
     """
-    fps = cut_lineage(fingerprints(docs, text_col, shingle, (id_col,), text_key(F.col(f"`{text_col}`"))))
+    fps = cut_lineage(fingerprints(docs, text_col, shingle, (id_col,),
+                                   [*text_key(F.col(f"`{text_col}`")), *(extra or [])]))
     groups = cut_lineage(fps.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("least")))
     roots = connected_components(fingerprint_links(groups, max_bits))
     member = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
