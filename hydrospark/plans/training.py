@@ -119,7 +119,8 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
 
     Scaling, the linear model (normal equations) and the metrics cover all rows;
     the trees are fitted on at most ``fit_rows`` training rows, a sample by hash
-    that is the whole training part below that size. The forest's trees are as
+    that is the whole training part below that size and is persisted beside the
+    one copy of the features. The forest's trees are as
     deep as MLlib allows (30); boosting has depth 3."""
     spark = features.sparkSession
     split = split_chronological(features).persist()
@@ -129,11 +130,13 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
         stats = _kept(scaler_stats(train, feature_cols))
         tr = standardize(train, stats, feature_cols)
         te = standardize(test, stats, feature_cols)
-        sample = sample_per_class(tr.withColumn("_all", F.lit(1)), "_all", "reading_id", fit_rows, seed + 1)
+        sample = sample_per_class(tr.withColumn("_all", F.lit(1)), "_all", "reading_id", fit_rows, seed + 1).persist()
         assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-        learners = [("random_forest", RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed)),
+        learners = [("random_forest", RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed,
+                                                        maxMemoryInMB=1024)),
                     ("gradient_boosting", GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed))]
         models = {name: Pipeline(stages=[assembler, learner]).fit(sample) for name, learner in learners}
+        sample.unpersist()
         models["linear_regression"] = linear_regression(tr, feature_cols, label)
         rows = []
         for pos, (name, model) in enumerate(models.items()):
