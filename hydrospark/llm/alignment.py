@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydrospark.llm.common import byte_slices, cut_lineage
+from hydrospark.llm.common import byte_slices, cut_lineage, drop_folder
 from hydrospark.session import checkpoint_dir
 
 # Windows of more ids than this are aligned without the memo.
@@ -215,7 +215,7 @@ def align_corpus(docs: DataFrame, load=public_tokenizers_a_b, digest: bool = Fal
     all links).
 
     The first pass over the texts is written to the shared checkpoint folder and
-    read by the counting and by the scoring. The counts are joined in slices of
+    read by the counting and by the scoring, then deleted. The counts are joined in slices of
     about ``slice_pairs`` pairs, broadcast one by one: exact at any size. Rows
     behave as in ``align_rows``.
     """
@@ -237,4 +237,7 @@ def align_corpus(docs: DataFrame, load=public_tokenizers_a_b, digest: bool = Fal
         scores = some if scores is None else scores.unionByName(some)
     if slices > 1:
         scores = scores.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return rows.drop("pairs", "times").join(scores, "row", "left").drop("row").fillna(0, ["n_best", "count_sum"])
+    out = cut_lineage(rows.drop("pairs", "times").join(scores, "row", "left").drop("row")
+                      .fillna(0, ["n_best", "count_sum"]))
+    drop_folder(spark, path)
+    return out

@@ -45,6 +45,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark, path: str) -> None:
+    """Delete a folder of intermediate files that this package wrote and that no
+    result depends on any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def text_key(text: Column) -> list[Column]:
     """Together with doc_id, two columns that identify a row's content."""
     return [F.xxhash64(text).alias("_text_hash"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("_text_bytes")]

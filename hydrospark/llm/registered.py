@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.llm import (alignment, chat, decontaminate, embed_dedup, language_id, licenses, packing, quality,
                             prefix_trie, secret_scan, sharding, simhash, warc)
-from hydrospark.llm.common import cut_lineage, held_out
+from hydrospark.llm.common import cut_lineage, drop_folder, held_out
 from hydrospark.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,7 +181,9 @@ def op7(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     token = warc.write_archive(_table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_records(spark, path, token), with_payload=False)
-    return warc.originals(cut_lineage(captures.drop("http", "requests", "metadatas"))).select(
+    captures = cut_lineage(captures.drop("http", "requests", "metadatas"))
+    drop_folder(spark, path)  # all that is wanted of the archive is read back
+    return warc.originals(captures).select(
         F.col("metadata.page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("original.page_id").cast("long").alias("refers_to"))
 
