@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrospark.llm import decontaminate, language_id, packing, secret_scan, simhash
-from hydrospark.llm.common import held_out
+from hydrospark.llm.common import drop_folder, held_out
 from hydrospark.session import checkpoint_dir
 
 # Unrelated random vectors of DIM elements have a cosine of about 1 / sqrt(DIM) = 0.022;
@@ -101,11 +101,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's table is deleted once the next
+    one is written; the last one is the result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        before = path
     return docs
