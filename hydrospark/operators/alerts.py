@@ -231,22 +231,27 @@ def alert_enabled(alerts: DataFrame, settings: DataFrame, key: str = "severity")
     return j.filter(F.coalesce(F.col("_on"), F.lit(True))).drop("alert_key", "_on")
 
 
+def mail_gate(alerts: DataFrame, settings: DataFrame, key: str = "severity") -> DataFrame:
+    """Alerts that may be mailed: e-mail enabled with a recipient, then J4 on
+    ``key``. Adds ``_cooldown`` in seconds. Settings by device decide for their
+    device, the general ones for all others."""
+    mailed = with_settings(alert_enabled(alerts, settings, key), settings).where(
+        (F.col("email_enabled") == "1") & (F.coalesce(F.length("email_recipient"), F.lit(0)) > 0))
+    return mailed.select(*alerts.columns, (F.col("email_cooldown_minutes") * 60).alias("_cooldown"))
+
+
 def notifications(alerts: DataFrame, settings: DataFrame, key: str = "severity",
                   stored: DataFrame | None = None) -> DataFrame:
-    """Alerts that would be e-mailed. Gate on e-mail enabled with a
-    recipient, then J4 on ``key``, then the greedy cooldown (W6) per
-    (device, key) with ``email_cooldown_minutes``. ``stored`` is the cooldown
-    table (device_id, alert_type, last_sent) of what was sent before; no alert
-    of ``alerts`` may be older than its entry."""
-    cfg = settings_row(settings).select(
-        ((F.col("email_enabled") == "1") & (F.coalesce(F.length("email_recipient"), F.lit(0)) > 0)).alias("_mail"),
-        "email_cooldown_minutes")
-    row = cfg.first()  # one-row settings table
-    if not row["_mail"]:
-        return alerts.limit(0)
-    enabled = alert_enabled(alerts, settings, key)
+    """Alerts that would be e-mailed. The mail gate, then the greedy cooldown
+    (W6) per (device, key) with ``email_cooldown_minutes``, the device's own
+    where it has one (one value per device: settings without versions).
+    ``stored`` is the cooldown table (device_id, alert_type, last_sent) of what
+    was sent before; no alert of ``alerts`` may be older than its entry."""
+    if "ts" in settings.columns:
+        raise ValueError("notifications take one cooldown per device; give the settings in force")
     sent = None
     if stored is not None:
         sent = stored.select("device_id", F.col("alert_type").alias(key), F.col("last_sent").alias("ts"))
-    return throttle(enabled, ["device_id", key], int(row["email_cooldown_minutes"]) * 60,
+    kept = throttle(mail_gate(alerts, settings, key), ["device_id", key], F.col("_cooldown"),
                     order_cols=("ts", "reading_id", "rule_pos"), sent=sent)
+    return kept.select(*alerts.columns)

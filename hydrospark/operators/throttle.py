@@ -19,7 +19,7 @@ in one task. Instead:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydrospark.operators.ordered import BKT, Order, prefix
@@ -33,18 +33,18 @@ def _rev_order(keys) -> Order:
                  bucket_fn=lambda: F.floor(F.col("_neg_us") / F.lit(_BUCKET_US)))
 
 
-def next_after(alerts: DataFrame, keys, cooldown_seconds: int) -> DataFrame:
+def next_after(alerts: DataFrame, keys) -> DataFrame:
     """(keys..., _seq, _nxt, _nxt_head): for each alert the first same-key
     alert at or after its ts + cooldown (null if none) and whether that alert
-    starts a burst. ``alerts`` carries ``_seq`` (per-key position) and
-    ``_head``."""
+    starts a burst. ``alerts`` carries ``_seq`` (per-key position), ``_head`` and
+    ``_cool`` (the key's cooldown in microseconds)."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    a = alerts.select(*keys, "_seq", "_head", us.alias("_us"))
+    a = alerts.select(*keys, "_seq", "_head", "_cool", us.alias("_us"))
     targets = a.select(*keys, (-F.col("_us")).alias("_neg_us"), F.lit(0).alias("_kind"),
                        (-F.col("_seq")).alias("_neg_seq"),
                        F.struct(F.col("_seq").alias("seq"), F.col("_head").alias("head")).alias("_tgt"),
                        F.lit(None).cast("long").alias("_probe"))
-    probes = a.select(*keys, (-(F.col("_us") + F.lit(cooldown_seconds * 1_000_000))).alias("_neg_us"),
+    probes = a.select(*keys, (-(F.col("_us") + F.col("_cool"))).alias("_neg_us"),
                       F.lit(1).alias("_kind"), (-F.col("_seq")).alias("_neg_seq"),
                       F.lit(None).cast("struct<seq:bigint,head:boolean>").alias("_tgt"),
                       F.col("_seq").alias("_probe"))
@@ -53,9 +53,10 @@ def next_after(alerts: DataFrame, keys, cooldown_seconds: int) -> DataFrame:
                                                 F.col("_nxt.seq").alias("_nxt"), F.col("_nxt.head").alias("_nxt_head"))
 
 
-def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",),
+def throttle(alerts: DataFrame, keys, cooldown_seconds: int | Column, order_cols=("ts",),
              sent: DataFrame | None = None) -> DataFrame:
-    """Rows of ``alerts`` kept by the greedy cooldown, per ``keys``. ``sent``
+    """Rows of ``alerts`` kept by the greedy cooldown, per ``keys``; a column as
+    ``cooldown_seconds`` must have one value per key. ``sent``
     (keys, ts) holds the last alert kept before, at most as old as any row of its
     key; a later alert within its cooldown is not kept.
 
@@ -74,19 +75,28 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",),
     if sent is not None:
         # The stored alert is the first row of its key, so a burst head and kept.
         earlier = sent.groupBy(*keys).agg(F.max("ts").alias("ts")).withColumn("_sent", F.lit(True))
-        both = alerts.withColumn("_sent", F.lit(False)).unionByName(earlier, allowMissingColumns=True)
+        cool = cooldown_seconds if isinstance(cooldown_seconds, Column) else F.lit(cooldown_seconds)
+        both = alerts.withColumns({"_sent": F.lit(False), "_seconds": cool}).unionByName(earlier, allowMissingColumns=True)
+        if isinstance(cooldown_seconds, Column):
+            # The stored row takes its key's cooldown.
+            known = alerts.groupBy(*keys).agg(F.max(cool).alias("_of_key"))
+            both = both.join(known, keys, "left").withColumn("_seconds", F.coalesce("_seconds", "_of_key", F.lit(0))) \
+                .drop("_of_key")
+            cooldown_seconds = F.col("_seconds")
         # Ties with an alert of the same time: the stored one first.
         both = both.withColumn("_after", F.when(F.col("_sent"), 0).otherwise(1))
         order_cols = (order_cols[0], "_after", *order_cols[1:])
-        return throttle(both, keys, cooldown_seconds, order_cols).where("not _sent").drop("_sent", "_after")
+        return throttle(both, keys, cooldown_seconds, order_cols).where("not _sent").drop("_sent", "_after", "_seconds")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cool = cooldown_seconds if isinstance(cooldown_seconds, Column) else F.lit(cooldown_seconds)
+    alerts = alerts.withColumn("_cool", cool.cast("long") * 1_000_000)
     numbered = prefix(alerts, Order(keys=tuple(keys), order=tuple(order_cols), ts="ts"),
                       sums={"_s0": F.lit(1).cast("long")}, lasts={"_prev_us": us}, inclusive=False).drop(BKT)
     numbered = numbered.withColumn("_seq", F.col("_s0") + 1) \
         .withColumn("_head", F.col("_prev_us").isNull()
-                    | (us - F.col("_prev_us") >= F.lit(cooldown_seconds * 1_000_000))) \
+                    | (us - F.col("_prev_us") >= F.col("_cool"))) \
         .drop("_s0", "_prev_us").checkpoint()
-    nxt = next_after(numbered, keys, cooldown_seconds)
+    nxt = next_after(numbered, keys)
     # Only rows that jump inside their burst; each round keeps fewer.
     jump = nxt.filter(~F.col("_nxt_head")).select(*keys, "_seq", F.col("_nxt").alias("_j")).checkpoint()
     kept = numbered.filter(F.col("_head")).select(*keys, "_seq")
@@ -99,4 +109,4 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int, order_cols=("ts",),
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a._j") == F.col("b._seq")]
         jump = a.join(b, cond).select(*[F.col(f"a.{k}") for k in keys], F.col("a._seq"),
                                       F.col("b._j").alias("_j")).checkpoint()
-    return numbered.join(kept, [*keys, "_seq"], "left_semi").drop("_seq", "_head")
+    return numbered.join(kept, [*keys, "_seq"], "left_semi").drop("_seq", "_head", "_cool")

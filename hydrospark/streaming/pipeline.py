@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydrospark.operators.alerts import alert_enabled, reading_alerts, run_alerts, settings_row, with_settings
+from hydrospark.operators.alerts import mail_gate, reading_alerts, run_alerts, with_settings
 from hydrospark.operators.sequences import decision_events, event_stream, plant_rows
 from hydrospark.sources.ingest import ingest
 from hydrospark.sources.weather import join_feeds
@@ -100,9 +100,9 @@ def alert_stream(readings: DataFrame, settings: DataFrame, wait_seconds: float =
     return stateless.unionByName(pump_alert_stream(readings, settings, wait_seconds, idle_seconds))
 
 
-def _throttle_step(cooldown_us: int):
+def _throttle_step():
     def step(last, row):
-        if last is None or row["ts"] - last >= cooldown_us:
+        if last is None or row["ts"] - last >= row["_cooldown"] * 1_000_000:
             return row["ts"], [row]
         return last, []
     return step
@@ -111,25 +111,24 @@ def _throttle_step(cooldown_us: int):
 def notification_stream(alerts: DataFrame, settings: DataFrame, key: str = "severity",
                         stored: DataFrame | None = None, wait_seconds: float = 0,
                         idle_seconds: float | None = None) -> DataFrame:
-    """R6 on a stream: the e-mail gate, the enable switches (J4), then the greedy
-    cooldown (W6) per (device, key). Kept alerts, and alerts that came too late
-    to be judged in order with ``late`` set.
+    """R6 on a stream: the mail gate with the enable switches (J4), then the
+    greedy cooldown (W6) per (device, key), by the settings of the device where
+    it has its own. Kept alerts, and alerts that came too late to be judged in
+    order with ``late`` set.
 
     ``stored`` is the cooldown table (device_id, alert_type, last_sent) of what
     was sent before; a new query starts from it, and
     ``operators.maintenance.cooldown_upsert`` over the kept alerts makes the
     table for the next batch job or query."""
-    cfg = settings_row(settings).select("email_enabled", "email_recipient", "email_cooldown_minutes").first()
-    mail = cfg["email_enabled"] == "1" and bool(cfg["email_recipient"])  # one-row settings table
     columns = [f.split()[0] for f in ALERT_SCHEMA.split(", ")]
-    enabled = alert_enabled(alerts, settings, key).filter(F.lit(mail)).select(*columns)
+    enabled = mail_gate(alerts.select(*columns), settings, key)
     initial = None
     if stored is not None:
         initial = stored.groupBy("device_id", F.col("alert_type").alias(key)).agg(
             F.max(micros(F.col("last_sent"))).cast("string").alias("state_text"))
     out = fold_stream(enabled, ["device_id", key], [micros(F.col("ts")), F.col("reading_id"), F.col("rule_pos")],
-                      _throttle_step(int(cfg["email_cooldown_minutes"]) * 60 * 1_000_000),
-                      ALERT_SCHEMA.replace("timestamp_ntz", "long"), wait_seconds, idle_seconds, initial)
+                      _throttle_step(), ALERT_SCHEMA.replace("timestamp_ntz", "long") + ", _cooldown int", wait_seconds,
+                      idle_seconds, initial)
     row = out.select(F.coalesce("out", "row").alias("r"), "late").select("r.*", "late")
     return row.withColumn("ts", from_micros(F.col("ts"))).select(*columns, "late")
 

@@ -256,3 +256,34 @@ def test_weather_feeds(spark):
     whole = weather_rows(pay).select("id", "rain_forecast")
     both = want.where("feeds = 'both' and id = forecast_id").select("id", "rain_forecast")
     assert both.count() == both.join(whole, ["id", "rain_forecast"]).count() > 10
+
+
+def test_mail_settings_by_device(spark):
+    """Gate and cooldown of each device, batch and stream, against a sequential fold."""
+    general = {"email_enabled": "1", "email_recipient": "a@example.invalid", "email_cooldown_minutes": "30"}
+    rows = sorted(_readings(90, 12), key=lambda x: (x[2], x[1]))
+    rows = [(d + (i % 4 == 0) * 2, i, *x) for i, (d, _, *x) in enumerate(rows)]  # devices 1 to 4
+    own = [(2, "email_cooldown_minutes", "7"), (3, "email_enabled", "0"), (4, "email_recipient", ""), (4, "alert_high_temp", "0")]
+    settings = AL.settings_table(spark, general).select(F.lit(None).cast("long").alias("device_id"), "key", "value") \
+        .unionByName(spark.createDataFrame(own, "device_id long, key string, value string"))
+    alerts = AL.alerts_all(spark.createDataFrame(rows, READING), settings)
+    last, want = {}, []
+    for a in sorted(alerts.collect(), key=lambda a: (a["ts"], a["reading_id"], a["rule_pos"])):
+        d = a["device_id"]
+        if d in (3, 4):  # off, no recipient
+            continue
+        k, minutes = (d, a["severity"]), 7 if d == 2 else 30
+        if k not in last or a["ts"] - last[k] >= dt.timedelta(minutes=minutes):
+            last[k] = a["ts"]
+            want.append((d, a["reading_id"], a["rule_pos"]))
+    got = [tuple(r) for r in AL.notifications(alerts, settings).select("device_id", "reading_id", "rule_pos").collect()]
+    assert sorted(got) == sorted(want) and {w[0] for w in want} == {1, 2}
+    path = _land(spark, [alerts.where("reading_id < 40"), alerts.where("reading_id >= 40")], None, "mail")
+    sent = _drained(spark, P.notification_stream(_stream(spark, path, alerts.schema), settings))
+    assert sent.where("late").isEmpty()
+    assert sorted(tuple(r) for r in sent.select("device_id", "reading_id", "rule_pos").collect()) == sorted(want)
+    table = spark.createDataFrame([(d, s, t) for (d, s), t in last.items()], "device_id long, alert_type string, last_sent timestamp_ntz")
+    later = alerts.withColumn("ts", F.col("ts") + F.expr("INTERVAL 95 MINUTES"))
+    first = AL.notifications(later, settings, stored=table).groupBy("device_id", "severity").agg(F.min("ts").alias("t")).collect()
+    for r in first:
+        assert r["t"] - last[(r["device_id"], r["severity"])] >= dt.timedelta(minutes=7 if r["device_id"] == 2 else 30)
