@@ -157,7 +157,7 @@ def _unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                     min_cosine: float = 0.95, sample_rows: int = 65_536, list_rows: int = 256,
+                     min_cosine: float = 0.95, sample_rows: int = 65_536, list_rows: int | None = None,
                      max_lists: int = 4096, cell_rows: int = 4096) -> DataFrame:
     """One row per vector: the id, ``n_links`` (other vectors linked directly),
     ``component_id`` (smallest id reachable) and ``kept``.
@@ -170,7 +170,11 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     names no component while the component has another id. Other columns are
     ignored. An empty table gives an empty result.
 
-    The index (at most ``max_lists`` lists of about ``list_rows`` vectors) is
+    The index has lists of about ``list_rows`` vectors; by default their number
+    grows with the root of the input, sqrt(n) / 4: a visit costs a table whatever
+    the list's length, so longer lists cost no more work and far fewer visits. At
+    most ``max_lists`` lists (reached at 268 million vectors by default); beyond,
+    lists only get longer and the work grows with the square. The index is
     fitted on a sample of about ``sample_rows`` unit vectors, chosen by hash;
     every vector is indexed. Equal unit vectors are one row with a count. A list with more than
     ``cell_rows`` members is dealt into blocks compared by different tasks. Each
@@ -204,7 +208,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
                        component.alias("component_id"), F.col("vec").eqNullSafe(component).alias("kept"))
 
 
-def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int, max_lists: int,
+def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int | None, max_lists: int,
             cell_rows: int) -> DataFrame:
     import pandas as pd
     import pyarrow as pa
@@ -214,7 +218,8 @@ def _linked(reps: DataFrame, min_cosine: float, sample_rows: int, list_rows: int
     sample = reps.where(F.pmod(F.xxhash64("u"), F.lit(1 << 30)) < int((1 << 30) * share)).select("u").limit(
         2 * sample_rows).collect()
     x = np.stack([np.frombuffer(r["u"]) for r in sample] or [np.frombuffer(reps.first()["u"])])
-    index = fit_index(x[np.lexsort(x.T)], max(1, min(max_lists, total // list_rows)))
+    lists = total // list_rows if list_rows else int(np.sqrt(total) / 4)
+    index = fit_index(x[np.lexsort(x.T)], max(1, min(max_lists, lists)))
     radius = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
 
     def assign(batches):
