@@ -429,6 +429,94 @@ def q_linear_regression(spark, sf):
     return rows.select("name", C.round_d(F.col("value"), 6).alias("value"))
 
 
+# T11, K13, K14, M20 over models that SQL can score: three fixed rules for "any pump on".
+
+_RULES = (("soil1", "CASE WHEN soil1 = 'DRY' THEN 1.0 ELSE 0.0 END"), ("soil2", "CASE WHEN soil2 = 'DRY' THEN 1.0 ELSE 0.0 END"),
+          ("both", "((CASE WHEN soil1 = 'DRY' THEN 1 ELSE 0 END) + (CASE WHEN soil2 = 'DRY' THEN 1 ELSE 0 END)) / 2.0"),
+          ("mean", "((CASE WHEN soil2 = 'DRY' THEN 1 ELSE 0 END) + (CASE WHEN soil1 = 'DRY' THEN 1 ELSE 0 END)) * 0.5"))
+_RULES_SQL = "y AS (SELECT CAST(CASE WHEN pump1 = 'ON' OR pump2 = 'ON' THEN 1 ELSE 0 END AS DOUBLE) AS y, * FROM readings),\nrules AS (" \
+    + " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{name}' AS name, ROUND(AVG((y - ({p})) * (y - ({p}))), 9) AS mse, "
+        f"ROUND(1.0 - SUM((y - ({p})) * (y - ({p}))) / (VAR_POP(y) * COUNT(*)), 9) AS r2 FROM y"
+        for i, (name, p) in enumerate(_RULES)) + "),\nbest AS (SELECT * FROM rules ORDER BY r2 DESC, pos LIMIT 1)"
+
+
+def _rule_metrics(spark, sf):
+    r = R(spark, sf)
+    soil = {"soil1": C.is_dry("soil1").cast("double"), "soil2": C.is_dry("soil2").cast("double"),
+            "both": C.combined_dryness(), "mean": C.combined_dryness()}
+    out = None
+    for pos, (name, _) in enumerate(_RULES):
+        m = ST.regression_metrics(r.select(C.any_pump_on().cast("double").alias("label"), soil[name].alias("prediction")))
+        m = m.select(F.lit(pos).alias("pos"), F.lit(name).alias("name"), C.round_d(F.col("mse"), 9).alias("mse"),
+                     C.round_d(F.col("r2"), 9).alias("r2"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@register("best_rule", f"WITH {_RULES_SQL} SELECT pos, name, mse, r2 FROM best")
+def q_best_rule(spark, sf):
+    # The largest r2; the last two rules tie and the first of them is listed first.
+    from hydrospark.operators.latest import best_model
+    return best_model(_rule_metrics(spark, sf), "r2", "name", "pos").select("pos", "name", "mse", "r2")
+
+
+@register("rules_report", f"""
+WITH {_RULES_SQL}
+SELECT '{td.AS_OF}' AS training_date, (SELECT COUNT(*) FROM rules) AS models_trained, name, r2 AS r2_score, mse,
+       0 AS n_metrics, true AS no_importance FROM best""")
+def q_rules_report(spark, sf):
+    # K13, written as JSON and read back.
+    from hydrospark.sinks.writers import training_report_json
+    path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    training_report_json(TR.training_report(_rule_metrics(spark, sf), None, td.AS_OF), path)
+    back = spark.read.schema("training_date string, models_trained long, best_model struct<name:string,r2_score:double,mse:double>, "
+                             "performance_metrics map<string,double>, feature_importance map<string,double>").json(path)
+    return back.select("training_date", "models_trained", "best_model.*",
+                       F.coalesce(F.size("performance_metrics"), F.lit(0)).alias("n_metrics"),
+                       F.col("feature_importance").isNull().alias("no_importance"))
+
+
+_LOG_STATUS = "CASE WHEN k % 3 = 0 THEN 'failed' ELSE 'success' END"
+
+
+@register("training_log_rows", f"""
+SELECT user_id AS device_id, COUNT(*) AS attempts, COUNT(*) FILTER ({_LOG_STATUS} = 'success') AS successes,
+       SUM(k) AS samples, ROUND(MAX(value / 500.0), 9) AS best_accuracy
+FROM events_k WHERE event_type = 'error' GROUP BY 1""")
+def q_training_log_rows(spark, sf):
+    # Attempts taken from ``error`` events, appended to the log in two batches and read back.
+    from hydrospark.sinks.writers import append_training_log
+    path = scratch_path(spark, f"log-{uuid.uuid4().hex}")
+    for part in (0, 1):
+        tried = _attempts(spark, sf).where(F.col("k") % 2 == part)
+        append_training_log(TR.training_log_row(tried, F.col("ts"), ("device_id",)), path)
+    return spark.read.parquet(path).groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("status") == "success").alias("successes"),
+        F.sum("samples_used").alias("samples"), C.round_d(F.max("accuracy"), 9).alias("best_accuracy"))
+
+
+def _attempts(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = td.load(spark, sf, "events").filter("event_type = 'error'").withColumn("k", k)
+    return e.select(
+        F.col("user_id").alias("device_id"), "event_id", "k", "ts", F.lit("rule").alias("model_name"),
+        (F.col("value") / 500.0).alias("accuracy"), (F.col("value") / 1000.0).alias("r2_score"), F.lit(0.5).alias("mse"),
+        F.col("k").alias("samples_used"), F.when(F.col("k") % 3 == 0, "failed").otherwise("success").alias("status"),
+        F.lit("").alias("message"))
+
+
+@register("model_status_log", f"""
+WITH last AS (SELECT * FROM events_k WHERE event_type = 'error' AND {_LOG_STATUS} = 'success'
+              ORDER BY ts DESC, event_id DESC LIMIT 1)
+SELECT true AS model_exists, value / 500.0 AS accuracy, value / 1000.0 AS r2_score, CAST(k AS INTEGER) AS samples_used,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_trained, {len(FE.SCHEDULE_FEATURES)} AS feature_count FROM last""")
+def q_model_status_log(spark, sf):
+    # M20 over the log of ``error`` events.
+    log = TR.training_log_row(_attempts(spark, sf), F.col("ts"), ("event_id",)).withColumn("id", F.col("event_id"))
+    return TR.model_status(log, len(FE.SCHEDULE_FEATURES))
+
+
 # M7-M12, M20, K13, K14 (model-based: rows-only checks) ------------------------------
 
 _TRAINED: dict = {}

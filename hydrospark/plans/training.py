@@ -196,9 +196,10 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame
             spark.read.json(f"{path}/info"))
 
 
-def training_log_row(metrics: DataFrame, ts) -> DataFrame:
-    """One training-log row per attempt, success or failure."""
-    return metrics.select(F.lit(None).cast("long").alias("id"), ts.alias("ts"), "model_name", "accuracy",
+def training_log_row(metrics: DataFrame, ts, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One training-log row per attempt, success or failure. ``keep`` passes
+    further columns, such as a device, through."""
+    return metrics.select(*keep, F.lit(None).cast("long").alias("id"), ts.alias("ts"), "model_name", "accuracy",
                           "r2_score", "mse", F.col("samples_used").cast("int"), "status", "message")
 
 
