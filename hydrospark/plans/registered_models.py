@@ -736,6 +736,14 @@ def q_forecast_scores(spark, sf):
     return h.select("device_id", "day_offset", "hour", "probability", "recommended", "confidence", "weather_factor")
 
 
+@register("day_average_hours", f"""
+WITH {_HOURLY_SQL.strip()}
+SELECT device_id, day_offset, avg_probability FROM fc""")
+def q_day_average_hours(spark, sf):
+    # A7 on scored hours.
+    return ST.day_average(q_forecast_scores(spark, sf), keys=("device_id", "day_offset")).drop("avg_raw")
+
+
 @register("save_forecast", f"""
 WITH {_HOURLY_SQL.strip()}
 SELECT device_id, {A} AS ts, date_s AS prediction_date, day_name, avg_probability, predictions_json,
