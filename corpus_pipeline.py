@@ -18,8 +18,8 @@ from hydrospark.llm.common import drop_folder, held_out
 from hydrospark.session import checkpoint_dir
 
 # Unrelated random vectors of DIM elements have a cosine of about 1 / sqrt(DIM) = 0.022;
-# the threshold is 4.5 times that. A text of fewer letters is too short to tell.
-DIM, MIN_SCORE, MIN_LETTERS = 2048, 0.1, 24
+# the threshold is 3.6 times that. A text of fewer letters is too short to tell.
+DIM, MIN_SCORE, MIN_LETTERS = 2048, 0.08, 24
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
