@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Stands for a null in the order of rows.
+_NULL = -(1 << 62)
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -37,6 +39,8 @@ def _processor(step: Callable, n_order: int, wait_us: int, idle_ms: int | None,
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
+    _NO_TIME = _NULL
+
     class Fold(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
@@ -66,7 +70,7 @@ def _processor(step: Callable, n_order: int, wait_us: int, idle_ms: int | None,
                     continue
                 orders = list(zip(*(pdf[f"order_{i}"].tolist() for i in range(n_order))))
                 for order, text in zip(orders, pdf["row_text"]):
-                    if fold["last"] is not None and list(order) < fold["last"]:
+                    if order[0] == _NO_TIME or fold["last"] is not None and list(order) < fold["last"]:
                         out.append((True, text))
                     else:
                         waiting.append([list(order), json.loads(text)])
@@ -119,7 +123,8 @@ def fold_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], s
     the row's columns (times as microseconds, absent when null). ``out`` holds a
     made row in ``out_schema``; of a late row ``row`` holds the input instead.
 
-    ``order`` are long columns, the first one a time in microseconds. With
+    ``order`` are long columns (nulls first), the first one a time in
+    microseconds; rows without a time cannot be placed and are late. With
     ``wait_seconds`` rows wait for that much event time of their key; after
     ``idle_seconds`` without rows of the key they are released all the same
     (continuous triggers; rows that wait when a drained query stops stay in its
@@ -128,7 +133,7 @@ def fold_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], s
     spark = rows.sparkSession
     use_state_store(spark)
     plain = [micros(F.col(n)).alias(n) if t.startswith("timestamp") else F.col(n) for n, t in rows.dtypes]
-    coded = rows.select(*keys, *[c.cast("long").alias(f"order_{i}") for i, c in enumerate(order)],
+    coded = rows.select(*keys, *[F.coalesce(c.cast("long"), F.lit(_NULL)).alias(f"order_{i}") for i, c in enumerate(order)],
                         F.to_json(F.struct(*plain)).alias("row_text"))
     kinds = dict(rows.dtypes)
     out = coded.groupBy(*keys).transformWithStateInPandas(

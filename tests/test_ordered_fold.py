@@ -112,6 +112,15 @@ def test_equal_time_smaller_id_is_late(spark):
     assert sorted((o["reading_id"], o["late"]) for o in out) == [(5, True), (7, False), (9, False)]
 
 
+def test_rows_without_time_or_id(spark):
+    fixed = (20.0, 50.0, "DRY", "DRY", "AVAILABLE", "ON", "ON", 0, 0, 0)
+    rows = [(1, 1, None, *fixed), (1, None, T0, *fixed), (1, 2, T0, *fixed), (None, 3, T0, *fixed)]
+    path = _land(spark, [rows], READING, "nulls")
+    out = _drained(spark, P.pump_runs_stream(_stream(spark, path, READING))).where("plant = 1").collect()
+    assert sorted(((o["device_id"], o["reading_id"], o["late"], o["run_start"]) for o in out), key=str) == sorted(
+        [(1, 1, True, False), (1, None, False, True), (1, 2, False, False), (None, 3, False, True)], key=str)
+
+
 def test_job_writes_kept_and_late_from_one_query(spark):
     rows = _readings(60, 5)
     base = scratch_path(spark, f"job-{uuid.uuid4().hex}")
