@@ -4,7 +4,7 @@ A text is encoded whole by two tokenizers. A byte offset where tokens of both
 end, verified on both sides, and before which both go on with a token that
 starts with a space, is an anchor. Anchors cut a document into windows of token
 ids; a window's alignment depends on its two id tuples only and is kept in a
-bounded memo, so frequent words are aligned once a task. Inside a window the
+bounded memo, so frequent words are aligned once a worker. Inside a window the
 offsets where tokens of both sides end cut the ids into groups, and the two
 tokens that end there are linked.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from hydrospark.session import checkpoint_dir
 
 # Windows of more ids than this are aligned without the memo.
 MEMO_WINDOW = 64
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 
 PASS_SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
                "pairs array<long>, times array<int>")
@@ -96,8 +97,15 @@ def public_tokenizers_a_b(folder: str | None = None):
     return ByteBpe(at("byte_bpe_50k.json"), public.PATTERN), PieceBpe(at("piece_bpe_32k.model"))
 
 
+@lru_cache(maxsize=1)
+def _worker_aligner(load):
+    """One aligner per worker process: the next task finds the vocabularies and
+    the memo, and their memory is not taken twice."""
+    return Aligner(*load())
+
+
 class Aligner:
-    """Aligns texts one by one; holds the vocabularies and the memo of a task."""
+    """Aligns texts one by one; holds the vocabularies and the memo."""
 
     def __init__(self, a, b):
         self.a, self.b = a, b
@@ -170,7 +178,7 @@ def align_rows(docs: DataFrame, load=public_tokenizers_a_b, digest: bool = False
     def run(batches):
         import pyarrow as pa
 
-        aligner = Aligner(*load())
+        aligner = _worker_aligner(load)
         for batch in batches:
             ids = batch.column(0)
             for start, values in byte_slices(batch.column(1)):
