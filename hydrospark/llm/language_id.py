@@ -140,7 +140,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     ``score`` is the largest cosine, cut to 0..1. Null texts, texts without
     letters and everything under a model without languages get ``und`` and 0.
-    A tie goes to the first language by name. Whole texts are read, in slices
+    A tie goes to the first language by name; repeated rows get equal results.
+    Whole texts are read, in slices
     of bounded size; one very long text is processed alone. Input columns named
     ``lang_pred`` or ``score`` are replaced. An empty table stays empty.
     """
