@@ -86,3 +86,31 @@ def test_plant_health_report_shuffles_rows_once(spark):
         assert plan.count("GreaterThan(ts,") == plan.count("FileScan parquet")  # no scan of all history
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_schedule_numbers_are_carried(spark):
+    """No window takes a whole device: rows by (device, bucket), summaries by device."""
+    from hydrospark.operators.maintenance import replace_schedule
+    rows = spark.createDataFrame([(1, p, p % 24, 0, 5, None, None) for p in range(50)],
+                                 "device_id long, pos long, hour int, minute int, duration int, plant string, enabled boolean")
+    for df in (replace_schedule(rows), latest.schedule_ordered(replace_schedule(rows))):
+        for exprs, part in _windows(_plan(df)):
+            assert "_bkt" in part or "_bs_" in exprs, (exprs, part)
+
+
+def test_newest_weather_is_taken_before_it_is_parsed(spark):
+    from pyspark.sql import functions as F
+
+    from hydrospark.sources.weather import newest_weather_row, weather_payloads_from_events, weather_rows
+    pay = weather_payloads_from_events(td.load(spark, SF, "events"))
+    want = latest.latest_weather(weather_rows(pay))
+    got = newest_weather_row(pay)
+    assert got.collect() == want.select(*got.columns).collect()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate", 1)
+    assert "StructField(main" in above and "StructField(main" not in below
+    # The newest payload without a weather entry is passed over; nothing gives nothing.
+    bare = pay.orderBy(F.desc("ts"), F.desc("id")).limit(1).withColumn("current_json", F.lit('{"main":{"temp":1}}')) \
+        .withColumn("ts", F.expr("ts + INTERVAL 1 DAY"))
+    assert newest_weather_row(pay.unionByName(bare)).collect() == got.collect()
+    assert newest_weather_row(bare).collect() == [] == newest_weather_row(pay.where("false")).collect()
