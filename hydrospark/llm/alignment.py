@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from hydrospark.llm.common import byte_slices, cut_lineage, drop_folder
 from hydrospark.session import checkpoint_dir
 
-# Windows of more ids than this are aligned without the memo.
+# Windows of more ids than this on average of both sides are aligned without the memo.
 MEMO_WINDOW = 64
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 
 PASS_SCHEMA = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
                "pairs array<long>, times array<int>")
@@ -112,7 +112,11 @@ class Aligner:
         self._len_a, self._len_b = (np.array([len(x) for x in t.bytes_of]) for t in (a, b))
         self._space_a, self._space_b = (np.array([x[:1] == b" " for x in t.bytes_of]) for t in (a, b))
         self._name_a, self._name_b = ([str(i) for i in range(len(t.bytes_of))] for t in (a, b))
-        self._memo: dict[tuple[bytes, bytes], str] = {}
+        self._flat_a, self._flat_b = (np.frombuffer(b"".join(t.bytes_of), dtype=np.uint8) for t in (a, b))
+        self._at_a, self._at_b = (np.concatenate([[0], n.cumsum()[:-1]]) for n in (self._len_a, self._len_b))
+        # Ids of the two sides never are the same number in a key.
+        self._apart = len(a.bytes_of)
+        self._memo: dict[bytes, str] = {}
 
     def _groups(self, a: list[int], b: list[int], i: int, j: int, ends_a: list[int], ends_b: list[int]) -> str:
         """The groups (`a1,a2|b1;a3|b2,b3`) of the window that begins at ids i and
@@ -127,15 +131,29 @@ class Aligner:
             i, j = x, y
         return ";".join(out)
 
+    @staticmethod
+    def _ends(raw: np.ndarray, ids: np.ndarray, lengths: np.ndarray, at: np.ndarray, flat: np.ndarray):
+        """Where each token ends, None if the joined tokens are not ``raw``."""
+        sizes = lengths[ids]
+        ends = sizes.cumsum()
+        if ends[-1] != len(raw):
+            return None
+        joined = flat[np.repeat(at[ids] - ends + sizes, sizes) + np.arange(len(raw))]
+        return ends if np.array_equal(joined, raw) else None
+
     def align(self, data: bytes, a: list[int], b: list[int]):
         """(groups, n_groups, linked pairs as ``a << 32 | b``) of a text (with its
         leading space) and its ids; None where the joined bytes of either side
-        are not the text's. A window's key are its ids on both sides, packed."""
-        if not a or not b or b"".join(map(self.a.bytes_of.__getitem__, a)) != data \
-                or b"".join(map(self.b.bytes_of.__getitem__, b)) != data:
+        are not the text's. A window's key are its ids on both sides, packed: the
+        ids of all windows stand in one buffer, each side of a window in turn."""
+        if not a or not b:
             return None
+        raw = np.frombuffer(data, dtype=np.uint8)
         ids_a, ids_b = np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)
-        ends_a, ends_b = self._len_a[ids_a].cumsum(), self._len_b[ids_b].cumsum()
+        ends_a = self._ends(raw, ids_a, self._len_a, self._at_a, self._flat_a)
+        ends_b = self._ends(raw, ids_b, self._len_b, self._at_b, self._flat_b)
+        if ends_a is None or ends_b is None:
+            return None
         # No token is without bytes, so at most one token of a side ends at a place.
         marks = np.zeros(len(data) + 1, dtype=bool)
         marks[ends_a] = True
@@ -144,23 +162,34 @@ class Aligner:
         pairs = ids_a[last_a].astype(np.int64) << 32 | ids_b[last_b]
         after_a, after_b = last_a[:-1] + 1, last_b[:-1] + 1  # the last one is the end of the text
         anchors = np.flatnonzero(self._space_a[ids_a[after_a]] & self._space_b[ids_b[after_b]])
-        cuts = zip([*after_a[anchors].tolist(), len(a)], [*after_b[anchors].tolist(), len(b)],
-                   [*(anchors + 1).tolist(), len(last_b)])
-        packed_a, packed_b = ids_a.tobytes(), ids_b.tobytes()
-        shared_a, shared_b = (last_a + 1).tolist(), (last_b + 1).tolist()
+        cut_a, cut_b = after_a[anchors], after_b[anchors]
+        size_a, size_b = np.diff(cut_a, prepend=0, append=len(a)), np.diff(cut_b, prepend=0, append=len(b))
+        packed = np.empty(len(a) + len(b), dtype=np.int32)
+        packed[np.arange(len(a)) + np.repeat(np.concatenate([[0], cut_b]), size_a)] = ids_a
+        packed[np.arange(len(b)) + np.repeat(np.concatenate([cut_a, [len(a)]]), size_b)] = ids_b + self._apart
+        data_of = packed.tobytes()
+        ends = (4 * (size_a + size_b).cumsum()).tolist()
         memo, found = self._memo, self._memo.get
-        texts, i, j, k = [], 0, 0, 0
-        for ia, jb, kc in cuts:
-            key = packed_a[4 * i:4 * ia], packed_b[4 * j:4 * jb]
-            text = found(key)
-            if text is None:
-                text = self._groups(a, b, i, j, shared_a[k:kc], shared_b[k:kc])
-                if ia - i <= MEMO_WINDOW:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[key] = text
-            texts.append(text)
-            i, j, k = ia, jb, kc
+        texts, at = [], 0
+        for end in ends:
+            texts.append(found(data_of[at:end]))
+            at = end
+        if None in texts:
+            cut_a, cut_b = [0, *cut_a.tolist(), len(a)], [0, *cut_b.tolist(), len(b)]
+            cut_k = [0, *(anchors + 1).tolist(), len(last_b)]
+            shared_a, shared_b = (last_a + 1).tolist(), (last_b + 1).tolist()
+            for n, text in enumerate(texts):
+                if text is None:
+                    key = data_of[ends[n - 1] if n else 0:ends[n]]
+                    text = found(key)  # an earlier window of this text may be the same
+                    if text is None:
+                        k, kc = cut_k[n], cut_k[n + 1]
+                        text = self._groups(a, b, cut_a[n], cut_b[n], shared_a[k:kc], shared_b[k:kc])
+                        if len(key) <= 8 * MEMO_WINDOW:
+                            if len(memo) >= MEMO_ENTRIES:
+                                memo.clear()
+                            memo[key] = text
+                    texts[n] = text
         return ";".join(texts), len(last_b), pairs
 
 
