@@ -22,7 +22,7 @@ from hydrospark.llm.common import byte_slices, without
 
 UNKNOWN = "und"
 _SPACE = 32
-_COLUMNS = 8192  # trigrams bound at a time
+_COLUMNS = 8192  # trigrams of 1,024 elements bound at a time
 
 
 @dataclass(frozen=True)
@@ -84,9 +84,10 @@ def _bundles(binder: _Binder, group: np.ndarray, keys: np.ndarray, n: int) -> np
     """Sum of trigram vectors per group. Whole numbers, so exact in any order."""
     out = np.zeros((n, binder.dim), dtype=np.float64)
     grams, inv = np.unique(keys, return_inverse=True)
-    for lo in range(0, len(grams), _COLUMNS):
-        part = grams[lo:lo + _COLUMNS]
-        sel = slice(None) if len(grams) <= _COLUMNS else (inv >= lo) & (inv < lo + _COLUMNS)
+    columns = max(256, _COLUMNS * 1024 // binder.dim)  # the same memory at any size
+    for lo in range(0, len(grams), columns):
+        part = grams[lo:lo + columns]
+        sel = slice(None) if len(grams) <= columns else (inv >= lo) & (inv < lo + columns)
         counts = np.bincount(group[sel] * len(part) + (inv[sel] - lo), minlength=n * len(part))
         out += counts.reshape(n, len(part)).astype(np.float32) @ binder.bind(part)
     return out
