@@ -84,9 +84,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20)
 
 def byte_slices(column, max_rows: int = 256, max_bytes: int = 1 << 20):
     """Cut an Arrow string column into lists of UTF-8 values of bounded total
-    size (one longer text makes a list of its own). Yields (first row, values)."""
+    size (one longer text makes a list of its own). Yields (first row, values).
+    What the batches before left in Arrow's memory pool goes back to the system,
+    since a worker process lives on through later stages."""
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
     out, start, total = [], 0, 0
     for i, v in enumerate(column.cast(pa.binary())):
         v = v.as_py()

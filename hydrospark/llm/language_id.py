@@ -22,7 +22,7 @@ from hydrospark.llm.common import byte_slices, without
 
 UNKNOWN = "und"
 _SPACE = 32
-_COLUMNS = 8192  # trigrams of 1,024 elements bound at a time
+_COLUMNS = 2048  # trigrams of 1,024 elements bound at a time
 
 
 @dataclass(frozen=True)
