@@ -9,22 +9,26 @@ the sample std).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydrospark.operators.features import scaler_stats, split_chronological, split_stratified, standardize
+from hydrospark.operators.forest import Forest, fit_forest
 from hydrospark.operators.ranking import sample_per_class
 from hydrospark.operators.regression import LinearFit, linear_regression
 from hydrospark.operators.stats import class_balance, regression_metrics
 
+_PART_ROWS = 32_768
+
 
 @dataclass
 class TrainedClassifier:
@@ -45,6 +49,14 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([df.first()], df.schema)
 
 
+def _dealt(sample: DataFrame, rows: int) -> DataFrame:
+    """A sample of at most ``rows`` rows in partitions of about ``_PART_ROWS``. A
+    tree learner fills the statistics of every open node once a partition, so
+    its work is partitions times nodes: the sample must not lie in as many
+    pieces as the table it was taken from."""
+    return sample.repartition(math.ceil(max(rows, 1) / _PART_ROWS), "reading_id")
+
+
 def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: str = "target",
                           min_samples: int = 50, seed: int = 42, num_trees: int = 100,
                           max_depth: int = 10, fit_rows: int = 200_000) -> TrainedClassifier:
@@ -120,8 +132,8 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
     Scaling, the linear model (normal equations) and the metrics cover all rows;
     the trees are fitted on at most ``fit_rows`` training rows, a sample by hash
     that is the whole training part below that size and is persisted beside the
-    one copy of the features. The forest's trees are as
-    deep as MLlib allows (30); boosting has depth 3."""
+    one copy of the features. The forest (``operators.forest``, a tree a task) has
+    trees of depth 30 at most; boosting has depth 3."""
     spark = features.sparkSession
     split = split_chronological(features).persist()
     try:
@@ -130,12 +142,12 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
         stats = _kept(scaler_stats(train, feature_cols))
         tr = standardize(train, stats, feature_cols)
         te = standardize(test, stats, feature_cols)
-        sample = sample_per_class(tr.withColumn("_all", F.lit(1)), "_all", "reading_id", fit_rows, seed + 1).persist()
+        sample = _dealt(sample_per_class(tr.withColumn("_all", F.lit(1)), "_all", "reading_id", fit_rows, seed + 1),
+                        fit_rows).persist()
         assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-        learners = [("random_forest", RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=max_depth, seed=seed,
-                                                        maxMemoryInMB=1024)),
-                    ("gradient_boosting", GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed))]
-        models = {name: Pipeline(stages=[assembler, learner]).fit(sample) for name, learner in learners}
+        boosting = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed)
+        models = {"random_forest": fit_forest(sample, feature_cols, label, trees, max_depth, seed),
+                  "gradient_boosting": Pipeline(stages=[assembler, boosting]).fit(sample)}
         sample.unpersist()
         models["linear_regression"] = linear_regression(tr, feature_cols, label)
         rows = []
@@ -149,14 +161,17 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
         split.unpersist()
 
 
-def feature_importance(model: PipelineModel | LinearFit, feature_cols: list[str]) -> DataFrame | None:
+def feature_importance(model: PipelineModel | Forest | LinearFit, feature_cols: list[str]) -> DataFrame | None:
     """M9: feature -> importance for tree models (None otherwise)."""
     if isinstance(model, LinearFit):
         return None
-    last = model.stages[-1]
-    if not hasattr(last, "featureImportances"):
-        return None
-    imp = last.featureImportances.toArray().tolist()
+    if isinstance(model, Forest):
+        imp = model.importances
+    else:
+        last = model.stages[-1]
+        if not hasattr(last, "featureImportances"):
+            return None
+        imp = last.featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(feature_cols, imp)], "feature string, importance double")
 
