@@ -89,7 +89,8 @@ def throttle(alerts: DataFrame, keys, cooldown_seconds: int | Column, order_cols
         return throttle(both, keys, cooldown_seconds, order_cols).where("not _sent").drop("_sent", "_after", "_seconds")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     cool = cooldown_seconds if isinstance(cooldown_seconds, Column) else F.lit(cooldown_seconds)
-    alerts = alerts.withColumn("_cool", cool.cast("long") * 1_000_000)
+    # The carried count reads its input twice; what makes the alerts runs once.
+    alerts = alerts.withColumn("_cool", cool.cast("long") * 1_000_000).checkpoint()
     numbered = prefix(alerts, Order(keys=tuple(keys), order=tuple(order_cols), ts="ts"),
                       sums={"_s0": F.lit(1).cast("long")}, lasts={"_prev_us": us}, inclusive=False).drop(BKT)
     numbered = numbered.withColumn("_seq", F.col("_s0") + 1) \

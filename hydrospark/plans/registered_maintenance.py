@@ -159,7 +159,9 @@ SELECT device_id, alert_type, MAX(last_sent) AS last_sent FROM (
 GROUP BY device_id, alert_type""")
 def q_cooldown_upsert(spark, sf):
     s = settings_table(spark, _MAIL)
-    sent = notifications(alerts_all(td.readings(spark, sf), s), s).select(
+    # Without the texts, which no column of the result needs and every shuffle would carry.
+    alerts = alerts_all(td.readings(spark, sf), s).drop("type", "message")
+    sent = notifications(alerts, s).select(
         "device_id", F.col("severity").alias("alert_type"), F.col("ts").alias("last_sent"))
     # The stored side: earlier mails (``signup`` events), some of a kind that no rule sends.
     stored = td.load(spark, sf, "events").filter(F.col("event_type") == "signup").select(
