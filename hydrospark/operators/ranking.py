@@ -31,14 +31,21 @@ def smallest_hashes(df: DataFrame, label: str, hash_col: str, wanted: dict) -> d
     # class -> (leading bits so far, rows still wanted among those that share them)
     open_ = {c: (0, k) for c, k in wanted.items() if k > 0}
     seen = 0
+    rows, kept = df.select(label, hash_col), None
     while open_ and seen < _BITS:
         step = min(_STEP, _BITS - seen)
         rest = _BITS - seen - step
         in_bin = F.lit(False)
         for c, (prefix, _) in open_.items():
             in_bin = in_bin | (F.col(label).eqNullSafe(F.lit(c)) & (F.shiftright(hash_col, _BITS - seen) == prefix))
-        counts = (df.where(in_bin).groupBy(label, F.shiftright(hash_col, rest).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.where(in_bin)
+        if seen:
+            rows = rows.persist()  # what shares the bits so far: two scans of the table in all
+        counts = (rows.groupBy(label, F.shiftright(hash_col, rest).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
                   .collect())  # at most 2**16 bins a class
+        if kept is not None:
+            kept.unpersist()
+        kept = rows if seen else None
         by_class: dict = {}
         for r in counts:
             by_class.setdefault(r[label], []).append((r["bin"], r["n"]))
@@ -56,6 +63,8 @@ def smallest_hashes(df: DataFrame, label: str, hash_col: str, wanted: dict) -> d
                 cuts[c] = (1 << _BITS) - 1
                 del open_[c]
         seen += step
+    if kept is not None:
+        kept.unpersist()
     for c, (prefix, _) in open_.items():
         cuts[c] = prefix - 1
     return cuts

@@ -133,19 +133,21 @@ def metrics_from_counts(counts: DataFrame, keys=()) -> DataFrame:
 
 
 def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction",
-                       keys=(), clip: bool = True) -> DataFrame:
+                       keys=(), clip: bool = True, also: tuple[Column, ...] = ()) -> DataFrame:
     """A10: mean squared error and R^2 (1 - SSE/SST; with an SST of 0, 1 if
     all predictions are right and else 0), predictions
-    clipped to [0, 1] when ``clip``."""
+    clipped to [0, 1] when ``clip``. ``also`` names further aggregates of the same
+    pass."""
     pred = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(prediction))) if clip else F.col(prediction)
     y = F.col(label).cast("double")
     agg = scored.groupBy(*keys).agg(
         F.avg((y - pred) * (y - pred)).alias("mse"),
         F.sum((y - pred) * (y - pred)).alias("_sse"),
-        (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"))
+        (F.var_pop(y) * F.count(F.lit(1))).alias("_sst"), *also)
     r2 = F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_sse") / F.col("_sst")).when(
         F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return agg.select(*keys, "mse", r2.alias("r2"))
+    known = {*keys, "mse", "_sse", "_sst"}
+    return agg.select(*keys, "mse", r2.alias("r2"), *[c for c in agg.columns if c not in known])
 
 
 def class_balance(labelled: DataFrame, label: str = "label") -> DataFrame:

@@ -28,6 +28,7 @@ from hydrospark.operators.regression import LinearFit, linear_regression
 from hydrospark.operators.stats import class_balance, regression_metrics
 
 _PART_ROWS = 32_768
+_MIN_PARTS = 8
 
 
 @dataclass
@@ -49,12 +50,13 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([df.first()], df.schema)
 
 
-def _dealt(sample: DataFrame, rows: int) -> DataFrame:
-    """A sample of at most ``rows`` rows in partitions of about ``_PART_ROWS``. A
-    tree learner fills the statistics of every open node once a partition, so
-    its work is partitions times nodes: the sample must not lie in as many
-    pieces as the table it was taken from."""
-    return sample.repartition(math.ceil(max(rows, 1) / _PART_ROWS), "reading_id")
+def _dealt(sample: DataFrame, rows: int, id_col: str = "reading_id") -> DataFrame:
+    """A sample of at most ``rows`` rows in no more partitions than make about
+    ``_PART_ROWS`` rows each, or ``_MIN_PARTS``. A tree learner fills the statistics of every open
+    node once a partition, so its work is partitions times nodes: the sample must
+    not lie in as many pieces as the table it was taken from."""
+    parts = max(_MIN_PARTS, math.ceil(rows / _PART_ROWS))
+    return sample.repartition(parts, id_col) if sample.rdd.getNumPartitions() > parts else sample
 
 
 def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: str = "target",
@@ -86,23 +88,29 @@ def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: s
         train = split.filter(~F.col("is_test"))
         test = split.filter(F.col("is_test"))
         stats = _kept(scaler_stats(train, feature_cols))
-        # The balance of the whole training part, scaled to what is left of each class.
-        share = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-        weights = class_balance(train, label).join(share, label).select(
-            label, (F.col("weight") * F.greatest(F.lit(1.0), F.col("_n") / fit_rows)).alias("_w"))
+        # The balance of the whole training part, scaled to what is left of each class; a row per class, by value.
+        balance = class_balance(train, label)
+        weights = spark.createDataFrame(balance.withColumn("_w", F.col("weight") * F.greatest(
+            F.lit(1.0), F.col("n_class") / fit_rows)).select(label, "_w").collect(),
+            T.StructType([train.schema[label], T.StructField("_w", T.DoubleType())]))
         sample = sample_per_class(train, label, "reading_id", fit_rows, seed + 1)
-        fit_on = standardize(sample, stats, feature_cols).join(F.broadcast(weights), label)  # <= 2 rows
+        fit_on = _dealt(standardize(sample, stats, feature_cols).join(F.broadcast(weights), label),  # <= 2 rows
+                        sum(min(r["count"], fit_rows) for r in counts)).persist()
         assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
         rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                     seed=seed, weightCol="_w")
-        model = Pipeline(stages=[assembler, rf]).fit(fit_on)
+        try:
+            model = Pipeline(stages=[assembler, rf]).fit(fit_on)
+        finally:
+            fit_on.unpersist()
         scored = score(model, standardize(test, stats, feature_cols))
-        m = scored.agg(
+        # All metrics from one pass over the scored rows.
+        m = regression_metrics(scored, label=label, prediction="p_on", clip=False, also=(
             F.avg(F.when(F.col("predicted") == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"),
-            F.avg((F.col(label) - F.col("predicted")) ** 2).alias("mse"))
-        r2 = regression_metrics(scored, label=label, prediction="p_on", clip=False).select("r2")
-        row = _kept(m.crossJoin(r2).select(
-            F.lit("Random Forest Classifier").alias("model_name"), "accuracy", F.col("r2").alias("r2_score"), "mse",
+            F.avg((F.col(label) - F.col("predicted")) ** 2).alias("class_mse")))
+        row = _kept(m.select(
+            F.lit("Random Forest Classifier").alias("model_name"), "accuracy", F.col("r2").alias("r2_score"),
+            F.col("class_mse").alias("mse"),
             F.lit(n).cast("int").alias("samples_used"), F.lit("success").alias("status"),
             F.lit(f"Model trained successfully with {n} samples").alias("message")))
         return TrainedClassifier(model, stats, feature_cols, row)

@@ -63,3 +63,24 @@ def test_forest_nulls_and_no_rows(spark):
     assert len(p) == 600 and all(0.0 <= v <= 1.0 for v in p)
     with pytest.raises(ValueError):
         fit_forest(f.limit(0), ["a", "b"], "target", trees=4)
+
+
+def test_pump_sample_lies_in_few_partitions(spark, monkeypatch):
+    # A learner's work is partitions times nodes, so a bounded sample must not keep the pieces of its table.
+    pieces, fit = [], TR.Pipeline.fit
+    monkeypatch.setattr(TR.Pipeline, "fit", lambda self, df: pieces.append(df.rdd.getNumPartitions()) or fit(self, df))
+    t = TR.train_pump_classifier(_features(spark).repartition(40), ["a", "b"], num_trees=5, max_depth=4)
+    assert len(pieces) == 1 and pieces[0] <= 8
+    m = t.metrics.first()
+    assert m["status"] == "success" and m["samples_used"] == 600 and m["accuracy"] > 0.7
+
+
+def test_smallest_hashes_with_ties_of_leading_bits(spark):
+    from hydrospark.operators.ranking import smallest_hashes
+    h = sorted([5 << 20, (5 << 20) + 1, (5 << 20) + 2, 7 << 44, (7 << 44) + 9, 9, 9, 9])
+    df = spark.createDataFrame([(c, v) for c in (0, 1) for v in h], "c int, h long")
+    for k in range(1, 8):
+        cut = smallest_hashes(df, "c", "h", {0: k, 1: 0})
+        # Equal hashes at the cut stay out together.
+        want = k if h[k - 1] != h[k] else sum(v < h[k - 1] for v in h)
+        assert sum(v <= cut[0] for v in h) == want and cut[1] == -1
