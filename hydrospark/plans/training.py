@@ -1,7 +1,7 @@
 """Model training, scoring and bookkeeping on Spark ML.
 
 Training runs on the executors (MLlib tree learners aggregate split
-statistics per partition); the driver only holds the fitted model. Scaling
+statistics per partition) and covers every training row. Scaling
 uses population statistics from ``features.scaler_stats`` (the reference
 scaler divides by the population std; MLlib's ``StandardScaler`` would use
 the sample std).
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +25,16 @@ from hydrospark.operators.features import scaler_stats, split_chronological, spl
 from hydrospark.operators.forest import Forest, fit_forest
 from hydrospark.operators.ranking import sample_per_class
 from hydrospark.operators.regression import LinearFit, linear_regression
+from hydrospark.operators.split_points import table_split_points
 from hydrospark.operators.stats import class_balance, regression_metrics
 
 _PART_ROWS = 32_768
 _MIN_PARTS = 8
+_MAX_PART_ROWS = 1_000_000
+# MLlib takes split points from all rows up to this many and from a sample above;
+# of (maximal bins)**2 rows if that is more, which must be an int.
+_SPLIT_ROWS = 10_000
+_MOST_BINS = 46_340
 
 
 @dataclass
@@ -50,13 +56,31 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([df.first()], df.schema)
 
 
-def _dealt(sample: DataFrame, rows: int, id_col: str = "reading_id") -> DataFrame:
-    """A sample of at most ``rows`` rows in no more partitions than make about
-    ``_PART_ROWS`` rows each, or ``_MIN_PARTS``. A tree learner fills the statistics of every open
-    node once a partition, so its work is partitions times nodes: the sample must
-    not lie in as many pieces as the table it was taken from."""
-    parts = max(_MIN_PARTS, math.ceil(rows / _PART_ROWS))
-    return sample.repartition(parts, id_col) if sample.rdd.getNumPartitions() > parts else sample
+def _dealt(df: DataFrame, rows: int, id_col: str = "reading_id") -> DataFrame:
+    """The rows in no more partitions than make about ``_PART_ROWS`` rows each, or
+    ``_MIN_PARTS``, and of those no more than there are cores, unless a partition would
+    have over ``_MAX_PART_ROWS``. A tree learner fills the statistics of every open
+    node once a partition, so its work is partitions times nodes: the rows must
+    not lie in as many pieces as the table they were taken from."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(_MIN_PARTS, min(math.ceil(rows / _PART_ROWS), cores), math.ceil(rows / _MAX_PART_ROWS))
+    return df.repartition(parts, id_col) if df.rdd.getNumPartitions() > parts else df
+
+
+def _fit_trees(learner: RandomForestClassifier | GBTRegressor, df: DataFrame, rows: int,
+               feature_cols: list[str]) -> PipelineModel:
+    """A tree model fitted on all ``rows`` rows. Where MLlib would sample rows for its
+    split points, features are first cut at points taken from all rows, and the learner
+    is made to read all rows for the thresholds between them."""
+    cols, stages = feature_cols, []
+    if rows > _SPLIT_ROWS:
+        cols = [f"_bin_{c}" for c in feature_cols]
+        edges = [[-math.inf, *p, math.inf] if len(p) else [-math.inf, 0.0, math.inf]  # a constant: one bin
+                 for p in table_split_points(df, feature_cols, nearest=True)]
+        stages = [Bucketizer(splitsArray=edges, inputCols=feature_cols, outputCols=cols, handleInvalid="keep")]
+        learner.setMaxBins(min(_MOST_BINS, math.ceil(math.sqrt(rows)) + 1))
+    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[*stages, assembler, learner]).fit(df)
 
 
 def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: str = "target",
@@ -122,6 +146,7 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
     """``p_on`` = P(class 1) and ``predicted`` = p_on >= threshold (or the
     regression value >= threshold for regressors)."""
     out = model.transform(df)
+    out = out.drop(*[c for c in out.columns if c.startswith("_bin_")])
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
     else:
@@ -131,17 +156,15 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
 
 
 def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label: str = "target",
-                             seed: int = 42, trees: int = 100, max_depth: int = 30,
-                             fit_rows: int = 200_000) -> tuple[DataFrame, dict]:
+                             seed: int = 42, trees: int = 100, max_depth: int = 30) -> tuple[DataFrame, dict]:
     """M8: chronological 80/20 split, scaling fitted on train; random forest,
     gradient boosting and linear regression; predictions clipped to [0, 1];
     MSE and R^2 per model; ``pos`` keeps the listing order for T11 ties.
 
-    Scaling, the linear model (normal equations) and the metrics cover all rows;
-    the trees are fitted on at most ``fit_rows`` training rows, a sample by hash
-    that is the whole training part below that size and is persisted beside the
-    one copy of the features. The forest (``operators.forest``, a tree a task) has
-    trees of depth 30 at most; boosting has depth 3."""
+    Scaling, split points, all three models and the metrics cover all rows; one
+    scaled copy of the training rows is persisted beside the one copy of the
+    features. The forest (``operators.forest``) has trees of depth 30 at most;
+    boosting has depth 3."""
     spark = features.sparkSession
     split = split_chronological(features).persist()
     try:
@@ -150,21 +173,22 @@ def train_regressor_ensemble(features: DataFrame, feature_cols: list[str], label
         stats = _kept(scaler_stats(train, feature_cols))
         tr = standardize(train, stats, feature_cols)
         te = standardize(test, stats, feature_cols)
-        sample = _dealt(sample_per_class(tr.withColumn("_all", F.lit(1)), "_all", "reading_id", fit_rows, seed + 1),
-                        fit_rows).persist()
-        assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-        boosting = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed)
-        models = {"random_forest": fit_forest(sample, feature_cols, label, trees, max_depth, seed),
-                  "gradient_boosting": Pipeline(stages=[assembler, boosting]).fit(sample)}
-        sample.unpersist()
+        rows = train.count()
+        fit_on = _dealt(tr, rows).persist()
+        try:
+            boosting = GBTRegressor(labelCol=label, maxIter=trees, maxDepth=3, seed=seed)
+            models = {"random_forest": fit_forest(fit_on, feature_cols, label, trees, max_depth, seed),
+                      "gradient_boosting": _fit_trees(boosting, fit_on, rows, feature_cols)}
+        finally:
+            fit_on.unpersist()
         models["linear_regression"] = linear_regression(tr, feature_cols, label)
-        rows = []
+        figures = []
         for pos, (name, model) in enumerate(models.items()):
             pred = te.withColumn("prediction", model.predict()) if isinstance(model, LinearFit) else model.transform(te)
             pred = pred.select(F.col(label).cast("double").alias("label"), "prediction")
             m = regression_metrics(pred, "label", "prediction", clip=True).first()  # one row
-            rows.append((pos, name, float(m["mse"] or 0.0), float(m["r2"] or 0.0)))
-        return spark.createDataFrame(rows, "pos int, name string, mse double, r2 double"), models
+            figures.append((pos, name, float(m["mse"] or 0.0), float(m["r2"] or 0.0)))
+        return spark.createDataFrame(figures, "pos int, name string, mse double, r2 double"), models
     finally:
         split.unpersist()
 
