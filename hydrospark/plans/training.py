@@ -85,16 +85,15 @@ def _fit_trees(learner: RandomForestClassifier | GBTRegressor, df: DataFrame, ro
 
 def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: str = "target",
                           min_samples: int = 50, seed: int = 42, num_trees: int = 100,
-                          max_depth: int = 10, fit_rows: int = 200_000) -> TrainedClassifier:
+                          max_depth: int = 10) -> TrainedClassifier:
     """M7: stratified 80/20 split, population scaling fitted on train,
     random forest with balanced class weights; metrics on the test part:
     accuracy, R^2 of label vs P(ON), MSE of label vs class. Too few samples or
     a single class -> a 'failed' metrics row and no model.
 
-    Split, scaling, class weights and metrics cover all rows. The trees are
-    fitted on at most ``fit_rows`` training rows of each class, a sample by hash
-    that is the whole training part below that size. One copy of the features
-    is persisted while this runs."""
+    Split, scaling, class weights, split points, trees and metrics cover all rows.
+    One copy of the features and one of the scaled training rows are persisted while
+    this runs."""
     spark = features.sparkSession
     features = features.persist()
     try:
@@ -112,19 +111,15 @@ def train_pump_classifier(features: DataFrame, feature_cols: list[str], label: s
         train = split.filter(~F.col("is_test"))
         test = split.filter(F.col("is_test"))
         stats = _kept(scaler_stats(train, feature_cols))
-        # The balance of the whole training part, scaled to what is left of each class; a row per class, by value.
-        balance = class_balance(train, label)
-        weights = spark.createDataFrame(balance.withColumn("_w", F.col("weight") * F.greatest(
-            F.lit(1.0), F.col("n_class") / fit_rows)).select(label, "_w").collect(),
-            T.StructType([train.schema[label], T.StructField("_w", T.DoubleType())]))
-        sample = sample_per_class(train, label, "reading_id", fit_rows, seed + 1)
-        fit_on = _dealt(standardize(sample, stats, feature_cols).join(F.broadcast(weights), label),  # <= 2 rows
-                        sum(min(r["count"], fit_rows) for r in counts)).persist()
-        assembler = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+        balance = class_balance(train, label).select(label, "weight", "n_class").collect()  # a row per class
+        rows = sum(r["n_class"] for r in balance)
+        weights = spark.createDataFrame([r[:2] for r in balance],
+                                        T.StructType([train.schema[label], T.StructField("_w", T.DoubleType())]))
+        fit_on = _dealt(standardize(train, stats, feature_cols).join(F.broadcast(weights), label), n).persist()  # <= 2 rows
         rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
                                     seed=seed, weightCol="_w")
         try:
-            model = Pipeline(stages=[assembler, rf]).fit(fit_on)
+            model = _fit_trees(rf, fit_on, rows, feature_cols)
         finally:
             fit_on.unpersist()
         scored = score(model, standardize(test, stats, feature_cols))

@@ -33,6 +33,17 @@ def test_ensemble_is_fitted_on_all_training_rows(spark, fitted_rows):
     assert fitted_rows == [216_000, 216_000] and metrics.count() == 3
 
 
+def test_pump_classifier_is_fitted_on_all_training_rows(spark, fitted_rows):
+    f = _features(spark, 270_000)
+    t = TR.train_pump_classifier(f, ["a", "b"], num_trees=1, max_depth=2)
+    assert fitted_rows == [216_000] and t.metrics.first()["samples_used"] == 270_000
+    # MLlib's thresholds lie between the bins, all of which come from all rows.
+    assert [len(e) for e in t.model.stages[0].getSplitsArray()] == [33, 33]
+    assert t.model.stages[-1].trees[0].numNodes >= 3
+    scored = TR.score(t.model, TR.standardize(f, t.stats, ["a", "b"]))
+    assert scored.columns == [*f.columns, "p_on", "predicted"]
+
+
 def test_table_split_points_are_those_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(SP, "_BLOCK_ROWS", 7_000)
     rng = np.random.default_rng(5)
